@@ -9,6 +9,7 @@ from .model import (
     Lookup,
     Metric,
     Period,
+    Rollup,
     Segment,
     SemanticModel,
     derived,
@@ -26,6 +27,7 @@ __all__ = [
     "Lookup",
     "Metric",
     "Period",
+    "Rollup",
     "Segment",
     "SemanticModel",
     "derived",

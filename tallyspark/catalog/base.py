@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.derived import ECOMMERCE_RATES
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,6 +21,9 @@ class Query:
     sql: str | None
 
 
+# Digits of the preset rates in both the Spark result and the SQL.
+FINE = dict.fromkeys((m.id for m in ECOMMERCE_RATES), 10)
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -38,8 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floating-point columns, whose last digits depend on the order of addition."""
+def rounded(df: DataFrame, digits: int = 6, fine: Mapping[str, int] | None = None) -> DataFrame:
+    """Round floating-point columns, whose last digits depend on the order of addition.
+
+    ``fine`` gives columns their own number of digits, e.g. amounts over counts, which are often
+    exact ties at few digits.
+    """
+    places = FINE if fine is None else fine
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     quoted = {n: F.col(f"`{n}`") for n in df.columns}
-    return df.select(*[F.round(c, digits).alias(n) if n in floats else c for n, c in quoted.items()])
+    return df.select(*[F.round(c, places.get(n, digits)).alias(n) if n in floats else c for n, c in quoted.items()])

@@ -10,6 +10,7 @@ from ..operators import joins, shape
 from ..operators import significance as tests
 from ..operators.aggregates import grouped
 from ..operators.aggregates import page as paged
+from ..session import durable
 from .base import query, rounded, table
 from .models import (
     EV,
@@ -96,7 +97,9 @@ def missing_dates(spark, sf_dir):
         SELECT * FROM g WHERE search_term IN (SELECT search_term FROM top)""",
 )
 def match_primary_rows(spark, sf_dir):
-    cells = grouped(shop_wide(spark, sf_dir), SHOP, ["search_term", "segment"], None, ["queries", "purchases"])
+    # Both sides come from the same cells: stored once, the fact is scanned once.
+    dims, metrics = ["search_term", "segment"], ["queries", "purchases"]
+    cells = durable(grouped(shop_wide(spark, sf_dir), SHOP, dims, None, metrics))
     primary = cells.filter(F.col("segment") == "BUILDING")
     return joins.match_primary_rows(cells, primary, ["search_term"], "queries", limit=15)
 

@@ -55,8 +55,8 @@ def derived_metrics(spark, sf_dir):
     "nested_metrics",
     f"""WITH {EV}, {_TERMS}, r AS (SELECT *, queries_pdp / nullif(queries, 0) AS ctr,
                                           purchases / nullif(queries, 0) AS conversion_rate FROM t)
-        SELECT search_term, queries, queries_pdp, purchases, round(ctr, 6) AS ctr,
-               round(conversion_rate, 6) AS conversion_rate, round(ctr - conversion_rate, 6) AS gap,
+        SELECT search_term, queries, queries_pdp, purchases, round(ctr, 10) AS ctr,
+               round(conversion_rate, 10) AS conversion_rate, round(ctr - conversion_rate, 6) AS gap,
                round((ctr - conversion_rate) * 100 / nullif(ctr, 0), 6) AS gap_pct
         FROM r""",
 )

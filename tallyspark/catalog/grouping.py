@@ -316,14 +316,17 @@ def avg_per_day(spark, sf_dir):
 def reaggregate_metric(spark, sf_dir):
     dims = ["segment", "priority"]
     rows = ops.grouped(sales_wide(spark, sf_dir), SALES, dims, None, ["quantity", "lines"])
-    for metric, excluded, aggregation in (
-        ("quantity", ["priority"], "sum"),
-        ("quantity", ["priority"], "avg"),
-        ("lines", ["segment"], "max"),
-        ("lines", dims, "min"),
-        ("lines", ["segment"], "count"),
-    ):
-        rows = ops.reaggregate_metric(rows, metric, dims, excluded, aggregation)
+    rows = ops.reaggregate_metrics(
+        rows,
+        dims,
+        [
+            ops.Reaggregation("quantity_sum", "quantity", ["priority"], "sum"),
+            ops.Reaggregation("quantity_avg", "quantity", ["priority"], "avg"),
+            ops.Reaggregation("lines_max", "lines", ["segment"], "max"),
+            ops.Reaggregation("lines_min", "lines", dims, "min"),
+            ops.Reaggregation("lines_count", "lines", ["segment"], "count"),
+        ],
+    )
     return rounded(rows, 4)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..model import Rollup
 from ..plans import rollups as jobs
 from ..plans import usage
 from ..session import scratch_path
@@ -135,14 +136,14 @@ _LOGGED = {
     "purchase": (["date", "region"], [], ["purchases"], False),
     "error": (["nation"], ["user_id"], ["queries"], False),
 }
-_ROLLUPS = [
-    ("daily_terms", ["date", "search_term"], ["queries", "purchases"], "ready"),
-    ("terms", ["search_term"], ["purchases"], "ready"),
-    ("segment_terms", ["segment", "search_term"], ["queries", "purchases"], "ready"),
-    ("daily_segments", ["date", "segment"], ["queries", "visitors"], "ready"),
-    ("daily_regions", ["region", "date"], ["purchases"], "ready"),
-    ("nations", ["nation", "user_id"], ["queries"], "stale"),
-]
+_ROLLUPS = (
+    Rollup("daily_terms", ["date", "search_term"], ["queries", "purchases"]),
+    Rollup("terms", ["search_term"], ["purchases"]),
+    Rollup("segment_terms", ["segment", "search_term"], ["queries", "purchases"]),
+    Rollup("daily_segments", ["date", "segment"], ["queries", "visitors"]),
+    Rollup("daily_regions", ["region", "date"], ["purchases"]),
+    Rollup("nations", ["nation", "user_id"], ["queries"], ready=False),
+)
 
 
 def logged_queries(spark, sf_dir):
@@ -165,11 +166,6 @@ def logged_queries(spark, sf_dir):
     )
 
 
-def rollup_catalogue(spark):
-    schema = "rollup_id string, dimensions array<string>, metrics array<string>, status string"
-    return spark.createDataFrame(_ROLLUPS, schema)
-
-
 @query(
     "rollup_coverage",
     """SELECT event_id AS query_id,
@@ -181,7 +177,7 @@ def rollup_catalogue(spark):
        FROM events""",
 )
 def rollup_coverage(spark, sf_dir):
-    return jobs.rollup_coverage(logged_queries(spark, sf_dir), rollup_catalogue(spark))
+    return jobs.rollup_coverage(logged_queries(spark, sf_dir), _ROLLUPS)
 
 
 @query(
@@ -192,7 +188,7 @@ def rollup_coverage(spark, sf_dir):
        FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL""",
 )
 def rollup_recommendations(spark, sf_dir):
-    return jobs.rollup_recommendations(logged_queries(spark, sf_dir), rollup_catalogue(spark))
+    return jobs.rollup_recommendations(logged_queries(spark, sf_dir), _ROLLUPS)
 
 
 _USAGE = """count(*) AS {n}, coalesce(sum(bytes_processed), 0)::BIGINT AS {p},

@@ -162,7 +162,7 @@ VOLUME_SQL = {
     "orders": "count(DISTINCT l_orderkey)",
 }
 
-RATE_SQL = {m.id: f"round({m.numerator} / nullif({m.denominator}, 0), 6)" for m in ECOMMERCE_RATES}
+RATE_SQL = {m.id: f"round({m.numerator} / nullif({m.denominator}, 0), 10)" for m in ECOMMERCE_RATES}
 
 
 def volumes_sql(*ids: str) -> str:

@@ -214,6 +214,16 @@ class Segment:
     dimensions: Mapping[str, Sequence[str]]
 
 
+@dataclass(frozen=True)
+class Rollup:
+    """A materialised aggregate: its dimensions (with the date, if daily), metrics and whether it can be read."""
+
+    id: str
+    dimensions: Sequence[str]
+    metrics: Sequence[str] = ()
+    ready: bool = True
+
+
 @dataclass(frozen=True)
 class SemanticModel:
     metrics: Sequence[Metric]

@@ -7,6 +7,7 @@ a third of all rows arrives at the reducer as a handful of partial rows per map
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import truncate_date
 from ..functions.scalars import composite_key, composite_key_name, label_value
 from ..model import Filters, Metric, SemanticModel
+from ..session import durable
 from .derived import derived_metrics, pct_of_total, totals_of
 from .filters import (
     all_of,
@@ -409,6 +411,48 @@ def avg_per_day(
     return df.withColumn(name or f"{metric}_per_day", F.try_divide(F.col(metric), requested_days(filters)))
 
 
+@dataclass(frozen=True)
+class Reaggregation:
+    """A custom metric: ``metric`` re-aggregated over the dimensions that are not excluded."""
+
+    name: str
+    metric: str
+    excluded: Sequence[str]
+    aggregation: str = "sum"
+
+
+def reaggregate_metrics(
+    df: DataFrame, dimensions: Sequence[str], wanted: Sequence[Reaggregation]
+) -> DataFrame:
+    """Attach re-aggregated metrics to each row of an aggregated frame.
+
+    Aggregates and joins back instead of using a window: a window would bring all rows of a hot
+    group into one task, the aggregate meets it in partial form and the join can split it. The
+    frame is stored first, so the fact behind it is read once however many metrics are asked for.
+    """
+    for w in wanted:
+        if w.aggregation not in AGGREGATION_TYPES:
+            raise ValueError(f"unknown aggregation {w.aggregation!r}")
+    groups: dict[tuple[str, ...], list[Reaggregation]] = {}
+    for w in wanted:
+        groups.setdefault(tuple(d for d in dimensions if d not in set(w.excluded)), []).append(w)
+    result = durable(df) if any(len(kept) < len(dimensions) for kept in groups) else df
+    stored = result
+    for kept, members in groups.items():
+        values = [AGGREGATION_TYPES[w.aggregation](w.metric).alias(w.name) for w in members]
+        if len(kept) == len(dimensions):
+            result = result.withColumns({w.name: F.col(w.metric) for w in members})
+        elif not kept:
+            totals = stored.agg(F.struct(*values).alias("totals")).scalar()
+            result = result.withColumns({w.name: totals[w.name] for w in members})
+        else:
+            totals = stored.groupBy(*[F.col(k).alias(f"_group_{k}") for k in kept]).agg(*values)
+            match = all_of(F.col(k).eqNullSafe(F.col(f"_group_{k}")) for k in kept)
+            names = [w.name for w in members]
+            result = result.join(totals, match, "left").select(*result.columns, *names)
+    return result.select(*df.columns, *[w.name for w in wanted])
+
+
 def reaggregate_metric(
     df: DataFrame,
     metric: str,
@@ -417,23 +461,9 @@ def reaggregate_metric(
     aggregation: str = "sum",
     name: str | None = None,
 ) -> DataFrame:
-    """Attach to each row a metric re-aggregated over the dimensions that are not excluded.
-
-    Aggregates and joins back instead of using a window: a window would bring all rows of a hot
-    group into one task, the aggregate meets it in partial form and the join can split it.
-    """
-    if aggregation not in AGGREGATION_TYPES:
-        raise ValueError(f"unknown aggregation {aggregation!r}")
-    name = name or f"{metric}_{aggregation}"
-    kept = [d for d in dimensions if d not in set(excluded)]
-    if len(kept) == len(dimensions):
-        return df.withColumn(name, F.col(metric))
-    value = AGGREGATION_TYPES[aggregation](metric).alias(name)
-    if not kept:
-        return df.withColumn(name, df.agg(value).scalar())
-    totals = df.groupBy(*[F.col(k).alias(f"_group_{k}") for k in kept]).agg(value)
-    match = all_of(F.col(k).eqNullSafe(F.col(f"_group_{k}")) for k in kept)
-    return df.join(totals, match, "left").select(*df.columns, name)
+    """``reaggregate_metrics`` for a single custom metric."""
+    wanted = Reaggregation(name or f"{metric}_{aggregation}", metric, excluded, aggregation)
+    return reaggregate_metrics(df, dimensions, [wanted])
 
 
 def total_row(
@@ -473,7 +503,9 @@ __all__ = [
     "page",
     "pivot",
     "pivot_from_rollup",
+    "Reaggregation",
     "reaggregate_metric",
+    "reaggregate_metrics",
     "requested_days",
     "rollup_totals",
     "segment_totals",

@@ -67,8 +67,15 @@ MARKETING_RATES = (
 
 
 def totals_of(df: DataFrame, metrics: Sequence[str]) -> Column:
-    """Sums over all rows as a struct, evaluated once as a scalar subquery (no join, no collect)."""
-    return df.agg(F.struct(*[F.sum(m).alias(m) for m in metrics]).alias("totals")).scalar()
+    """Sums over all rows as a struct, evaluated once as a scalar subquery (no join, no collect).
+
+    The other columns are counted along: the subquery then reads exactly what the rows read, so
+    both share one shuffle and the fact behind an aggregated frame is scanned once.
+    """
+    others = [c for c in df.columns if c not in set(metrics)]
+    fields = [F.sum(F.col(f"`{m}`")).alias(m) for m in metrics]
+    fields += [F.count(F.col(f"`{c}`")).alias(c) for c in others]
+    return df.agg(F.struct(*fields).alias("totals")).scalar()
 
 
 def share_of(value: Column, total: Column) -> Column:

@@ -23,6 +23,10 @@ from ..model import (
 )
 
 
+# A side with at most this many rows, by limit or by the caller's list, may be broadcast.
+BROADCAST_ROWS = 10_000
+
+
 def date_bounds(filters: Filters) -> tuple[Column | None, Column | None]:
     """First and last requested day; a preset is resolved before anything else looks at the range."""
     if filters.preset:
@@ -107,9 +111,11 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Iterable[tuple[str, str]
     return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def semi_join(df: DataFrame, keys: DataFrame, names: Sequence[str]) -> DataFrame:
+def semi_join(df: DataFrame, keys: DataFrame, names: Sequence[str], distinct: bool = True) -> DataFrame:
     """Rows of ``df`` whose ``names`` occur in ``keys``, NULL matching NULL."""
-    other = keys.select(*[F.col(n).alias(f"_key_{n}") for n in names]).distinct()
+    other = keys.select(*[F.col(n).alias(f"_key_{n}") for n in names])
+    if distinct:
+        other = other.distinct()
     return df.join(other, null_safe(df, other, [(n, f"_key_{n}") for n in names]), "left_semi")
 
 
@@ -133,7 +139,12 @@ def filter_dimension_tuples(
     rows = [tuple(None if p is None or p == NULL_MARKER else str(p) for p in v) for v in values]
     text = df.sparkSession.createDataFrame(rows, schema)
     typed = text.select(*[F.col(d).cast(df.schema[d].dataType).alias(d) for d in dimensions])
-    return semi_join(df, typed, dimensions)
+    # Each column alone is a plain IN list, which the scan can use; the tuples decide the rest.
+    listed = {d: [NULL_MARKER if r[i] is None else r[i] for r in rows] for i, d in enumerate(dimensions)}
+    df = filter_dimensions(df, {d: sorted(set(v)) for d, v in listed.items()})
+    # The list came through the driver; up to this length a copy per executor is small.
+    small = len(rows) <= BROADCAST_ROWS
+    return semi_join(df, F.broadcast(typed) if small else typed, dimensions, distinct=not small)
 
 
 def with_calculated_dimensions(df: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:

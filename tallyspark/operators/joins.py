@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import label_value
 from ..model import LABEL_SEPARATOR, Filters, Lookup, Segment, SemanticModel
 from .aggregates import derive_cells, ordering, segment_totals
-from .filters import apply_filters, null_safe, search_values
+from .filters import BROADCAST_ROWS, apply_filters, null_safe, search_values
 
-# A top-k side up to this many rows is broadcast; a larger one is left to adaptive execution.
-BROADCAST_ROWS = 10_000
 # Most columns a comparison may be laid out in. More is an error, never a silent cut.
 MAX_COLUMNS = 1_000
 

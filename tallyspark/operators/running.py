@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import durable
 
 _PART = "_slice"
 
@@ -20,9 +20,8 @@ def running_totals(df: DataFrame, order_by: Sequence[Column], sums: Mapping[str,
     slice) are added on top. The sorted rows are checkpointed first: both passes must see the very
     same slices, also after an executor is lost.
     """
-    shared_dir(df.sparkSession)
     inputs = {f"_in_{name}": value for name, value in sums.items()}
-    ordered = df.withColumns(inputs).orderBy(*order_by).checkpoint()
+    ordered = durable(df.withColumns(inputs).orderBy(*order_by))
     sliced = ordered.withColumn(_PART, F.spark_partition_id())
 
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import Z_975, norm_cdf
 from ..model import Filters, Metric, Segment, SemanticModel
 from .aggregates import derive_cells, segment_totals
+from .derived import totals_of
 
 # A metric whose id contains one of these is better when lower.
 LOWER_IS_BETTER_KEYWORDS = (
@@ -264,12 +265,17 @@ def share_significance(
     segments = [control, *treatments]
     base = list(dict.fromkeys(shares.values()))
     wide = segment_totals(df, model, segments, base, filters, rows, stored)
-    # Totals keep a column's own filters, also on a row dimension.
-    whole = segment_totals(df, model, segments, base, filters, (), stored)
     names = [f"{s.label}__{m}" for s in segments for m in base]
-    totals = whole.select(
-        F.struct(*[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("bigint").alias(n) for n in names])
-    ).scalar()
+    filtered = {d for s in segments for d in s.dimensions} | set((filters or Filters()).dimensions)
+    additive = all(model.metric(m).agg in ("sum", "count") for m in base)
+    if additive and not filtered & set(rows):
+        # The rows add up to the columns, from the same shuffle.
+        totals = totals_of(wide, [c for c in wide.columns if c not in set(rows)])
+    else:
+        # A column keeps its own filter on a row dimension, and distinct counts do not add up.
+        whole = segment_totals(df, model, segments, base, filters, (), stored)
+        totals = totals_of(whole, whole.columns)
+    total = {n: F.coalesce(totals.getField(n), F.lit(0)).cast("bigint") for n in names}
     tests = [
         _test(
             t.label,
@@ -277,9 +283,9 @@ def share_significance(
             id,
             F.lit(True),
             _cell(control.label, m),
-            totals.getField(f"{control.label}__{m}"),
+            total[f"{control.label}__{m}"],
             _cell(t.label, m),
-            totals.getField(f"{t.label}__{m}"),
+            total[f"{t.label}__{m}"],
         )
         for i, t in enumerate(treatments, start=1)
         for id, m in shares.items()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import composite_key_name
-from ..model import Lookup, SemanticModel
+from ..model import Lookup, Rollup, SemanticModel
 from ..operators.aggregates import with_composite_keys
 from ..operators.filters import required_columns, with_calculated_dimensions
 from ..operators.joins import join_dimensions_dedup, missing_dates
@@ -160,7 +160,9 @@ def staleness(
 ) -> DataFrame:
     """One row: does the target exist, lag behind in dates, or lack composite key columns?"""
     wanted = [composite_key_name(k) for k in keys]
-    newest = source.agg(F.max(date_column).alias("source_max"))
+    # All dates come from one pass: at most one row per calendar day.
+    dates = source.select(date_column).filter(F.col(date_column).isNotNull()).distinct()
+    newest = dates.agg(F.max(date_column).alias("source_max"))
     if target is None:
         return newest.select(
             F.lit(True).alias("is_stale"),
@@ -207,10 +209,14 @@ def build_enriched_source(
     lookups: Sequence[Lookup] = (),
     cluster_by: Sequence[str] = (),
     metrics: Sequence[str] | None = None,
+    exchange: bool = True,
 ) -> None:
-    """Write the enriched copy of the fact, partitioned by date and sorted by the cluster columns."""
+    """Write the enriched copy of the fact, partitioned by date and sorted by the cluster columns.
+
+    A fact that is itself partitioned by date needs no ``exchange``.
+    """
     frame = enriched_frame(source, model, keys, lookups, metrics, cluster_by)
-    write_daily_table(frame, path, cluster_by, model.date)
+    write_daily_table(frame, path, cluster_by, model.date, exchange)
 
 
 def refresh_enriched_source(
@@ -222,6 +228,7 @@ def refresh_enriched_source(
     cluster_by: Sequence[str] = (),
     metrics: Sequence[str] | None = None,
     incremental: bool = True,
+    exchange: bool = True,
 ) -> int:
     """Add the dates the copy lacks, or rebuild it; returns the number of dates written.
 
@@ -229,12 +236,12 @@ def refresh_enriched_source(
     """
     spark: SparkSession = source.sparkSession
     if not incremental or not path_exists(spark, path):
-        build_enriched_source(source, model, path, keys, lookups, cluster_by, metrics)
+        build_enriched_source(source, model, path, keys, lookups, cluster_by, metrics, exchange)
         return len(collect_dates(spark.read.parquet(path), model.date))
     dates = collect_dates(missing_dates(source, spark.read.parquet(path), model.date), model.date)
     if dates:
         frame = enriched_frame(on_dates(source, dates, model.date), model, keys, lookups, metrics, cluster_by)
-        append_dates(frame, path, cluster_by, model.date)
+        append_dates(frame, path, cluster_by, model.date, exchange)
     return len(dates)
 
 
@@ -245,68 +252,80 @@ REAGGREGATE_DISTINCT_SCORE = 80
 NO_FIT = -1
 
 
-def _dimension_key(dimensions: Column) -> Column:
-    return F.concat_ws(",", F.array_sort(F.array_distinct(dimensions)))
+def _needs(dimensions: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(dimensions)), ",")
+
+
+def _set_key(rollup: Rollup) -> str:
+    return ",".join(sorted(set(rollup.dimensions)))
+
+
+def _candidates(rollups: Sequence[Rollup]) -> Column:
+    """Readable rollups by their set of dimensions, in the order given."""
+    by_key: dict[str, list[Rollup]] = {}
+    for r in rollups:
+        if r.ready:
+            by_key.setdefault(_set_key(r), []).append(r)
+    pairs = []
+    for key, members in by_key.items():
+        entries = [
+            F.struct(
+                F.lit(r.id).alias("id"), F.array(*map(F.lit, r.metrics)).cast("array<string>").alias("metrics")
+            )
+            for r in members
+        ]
+        pairs += [F.lit(key), F.array(*entries)]
+    empty = F.lit(None).cast("map<string,array<struct<id:string,metrics:array<string>>>>")
+    return F.create_map(*pairs) if pairs else empty
 
 
-def rollup_coverage(queries: DataFrame, rollups: DataFrame, date_column: str = "date") -> DataFrame:
+def rollup_coverage(queries: DataFrame, rollups: Sequence[Rollup], date_column: str = "date") -> DataFrame:
     """The best rollup for every logged query, or -1.
 
     ``queries``: query_id, dimensions, filter_dimensions, metrics (arrays), distinct_metrics
-    (boolean). ``rollups``: rollup_id, dimensions, metrics (arrays), status.
+    (boolean).
 
     A rollup fits only when its dimensions are exactly the query's (grouped and filtered), or those
-    plus the date. So each query has at most two dimension sets to look up, and matching is an
-    equi-join on the sorted set instead of trying every rollup.
+    plus the date. So each query has at most two dimension sets to look up in the catalogue, which
+    is part of the plan: no join, no shuffle, whatever the size of the log.
     """
-    ready = rollups.filter(F.col("status") == "ready").select(
-        "rollup_id", _dimension_key(F.col("dimensions")).alias("_key"), F.col("metrics").alias("_has")
-    )
-    needs = F.array_union("dimensions", F.coalesce("filter_dimensions", F.array().cast("array<string>")))
-    # Log entries asking for the same thing are matched once.
-    shape = ["_needs_key", "_dated", "_metrics", "distinct_metrics"]
-    asked = queries.select(
+    none = F.array().cast("array<string>")
+    needs = F.array_union(F.coalesce("dimensions", none), F.coalesce("filter_dimensions", none))
+    with_date = F.array_union(needs, F.array(F.lit(date_column)))
+    catalogue = _candidates(rollups)
+
+    def first_fit(key: Column) -> Column:
+        fitting = F.filter(
+            F.try_element_at(catalogue, key),
+            lambda r: F.size(F.array_except(F.coalesce("metrics", none), r["metrics"])) == 0,
+        )
+        return F.try_element_at(fitting, F.lit(1))["id"]
+
+    found = queries.select(
         "query_id",
-        _dimension_key(needs).alias("_needs_key"),
-        F.array_contains(needs, date_column).alias("_dated"),
-        F.array_sort(F.array_distinct("metrics")).alias("_metrics"),
         "distinct_metrics",
-        _dimension_key(F.concat(needs, F.array(F.lit(date_column)))).alias("_with_date"),
+        first_fit(_needs(needs)).alias("_exact"),
+        F.when(~F.array_contains(needs, date_column), first_fit(_needs(with_date))).alias("_daily"),
     )
-    dated_score = F.when(F.col("distinct_metrics"), REAGGREGATE_DISTINCT_SCORE).otherwise(REAGGREGATE_SCORE)
-    exact = F.struct(F.col("_needs_key").alias("key"), F.lit(EXACT_SCORE).alias("score"))
-    dated = F.struct(F.col("_with_date").alias("key"), dated_score.alias("score"))
-    candidates = F.when(F.col("_dated"), F.array(exact)).otherwise(F.array(exact, dated))
-    tried = (
-        asked.select(*shape, "_with_date")
-        .distinct()
-        .select(*shape, F.inline(candidates))
-        .join(ready, F.col("key") == F.col("_key"))
-        .filter(F.size(F.array_except("_metrics", "_has")) == 0)
-    )
-    best = tried.groupBy(*shape).agg(
-        F.max_by(F.struct("rollup_id", "score"), F.struct("score", F.col("rollup_id"))).alias("best")
-    )
-    match = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in shape]
-    joined = asked.alias("a").join(best.alias("b"), match, "left")
-    return joined.select(
+    exact, daily = F.col("_exact").isNotNull(), F.col("_daily").isNotNull()
+    daily_score = F.when(F.col("distinct_metrics"), REAGGREGATE_DISTINCT_SCORE).otherwise(REAGGREGATE_SCORE)
+    return found.select(
         "query_id",
-        F.col("best.rollup_id").alias("rollup_id"),
-        F.coalesce("best.score", F.lit(NO_FIT)).alias("score"),
-        F.coalesce(F.col("best.score") < EXACT_SCORE, F.lit(False)).alias("needs_reaggregation"),
+        F.coalesce("_exact", "_daily").alias("rollup_id"),
+        F.when(exact, EXACT_SCORE).when(daily, daily_score).otherwise(NO_FIT).alias("score"),
+        (~exact & daily).alias("needs_reaggregation"),
     )
 
 
-def rollup_recommendations(queries: DataFrame, rollups: DataFrame) -> DataFrame:
+def rollup_recommendations(queries: DataFrame, rollups: Sequence[Rollup]) -> DataFrame:
     """Dimension combinations that are queried but not materialised, with how often."""
-    have = rollups.select(_dimension_key(F.col("dimensions")).alias("dimension_key")).distinct()
-    asked = queries.groupBy(_dimension_key(F.col("dimensions")).alias("dimension_key")).agg(
-        F.count(F.lit(1)).alias("query_count")
-    )
-    lacking = asked.join(have, "dimension_key", "left_anti")
-    return lacking.select(
-        F.col("dimension_key").alias("dimensions"),
-        F.concat(F.lit("rollup_"), F.translate("dimension_key", ",", "_")).alias("suggested_id"),
+    have = sorted({_set_key(r) for r in rollups})
+    asked = queries.select(_needs(F.col("dimensions")).alias("dimensions"))
+    lacking = asked.filter(~F.col("dimensions").isin(have)) if have else asked
+    counted = lacking.groupBy("dimensions").agg(F.count(F.lit(1)).alias("query_count"))
+    return counted.select(
+        "dimensions",
+        F.concat(F.lit("rollup_"), F.translate("dimensions", ",", "_")).alias("suggested_id"),
         "query_count",
     )
 

@@ -5,7 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+# Settings worth giving a cluster session for facts of many terabytes; none changes a result.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    # Start wide and let adaptive execution merge what turns out small.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split skewed join partitions even if that costs a further shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # Filters through joins that turn out small also prune the date partitions.
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+}
 
 
 def local_session(cores: int | str = "*", app: str = "tallyspark", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,3 +56,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tallyspark-{uuid.uuid4().hex}/{name}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute a frame once and store it in the shared folder.
+
+    For aggregated frames that a plan reads more than once: without it Catalyst may prune the
+    readers differently and scan the fact again for each.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -9,23 +9,36 @@ from pyspark.sql import DataFrame
 MAX_CLUSTER_COLUMNS = 4
 
 
-def _laid_out(df: DataFrame, date_column: str, cluster_by: Sequence[str]) -> DataFrame:
+def _laid_out(
+    df: DataFrame, date_column: str, cluster_by: Sequence[str], exchange: bool = True
+) -> DataFrame:
     """Rows of one day together, sorted by the cluster columns.
 
     REBALANCE lets adaptive execution cut a large day into several tasks of advisory size and pack
     small days into one, so no day, however large, has to pass through a single writer.
     """
     cluster = [c for c in cluster_by if c != date_column][:MAX_CLUSTER_COLUMNS]
+    if not exchange:
+        order = [c for c in [date_column, *cluster] if c in df.columns]
+        return df.sortWithinPartitions(*order) if order else df
     if date_column not in df.columns:
         return df.hint("rebalance").sortWithinPartitions(*cluster) if cluster else df.hint("rebalance")
     return df.hint("rebalance", date_column).sortWithinPartitions(date_column, *cluster)
 
 
 def write_daily_table(
-    df: DataFrame, path: str, cluster_by: Sequence[str] = (), date_column: str = "date"
+    df: DataFrame,
+    path: str,
+    cluster_by: Sequence[str] = (),
+    date_column: str = "date",
+    exchange: bool = True,
 ) -> None:
-    """Create or replace a table, partitioned by date and sorted by up to four columns."""
-    writer = _laid_out(df, date_column, cluster_by).write.mode("overwrite")
+    """Create or replace a table, partitioned by date and sorted by up to four columns.
+
+    ``exchange=False`` skips the shuffle for rows that already arrive by date, as from a daily
+    partitioned fact.
+    """
+    writer = _laid_out(df, date_column, cluster_by, exchange).write.mode("overwrite")
     # Replace the whole table, whatever the session's overwrite mode is.
     writer = writer.option("partitionOverwriteMode", "static")
     if date_column in df.columns:
@@ -34,7 +47,11 @@ def write_daily_table(
 
 
 def append_dates(
-    df: DataFrame, path: str, cluster_by: Sequence[str] = (), date_column: str = "date"
+    df: DataFrame,
+    path: str,
+    cluster_by: Sequence[str] = (),
+    date_column: str = "date",
+    exchange: bool = True,
 ) -> None:
     """Add whole dates to a daily table.
 
@@ -42,7 +59,7 @@ def append_dates(
     run leaves the same table.
     """
     (
-        _laid_out(df, date_column, cluster_by)
+        _laid_out(df, date_column, cluster_by, exchange)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_column)
