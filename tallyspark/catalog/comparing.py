@@ -194,7 +194,7 @@ def page(spark, sf_dir):
         d AS (SELECT *, CASE WHEN coalesce("BUILDING__purchases", 0) <> 0
                   THEN (coalesce("MACHINERY__purchases", 0) / "BUILDING__purchases" - 1) * 100 END AS key FROM w)
         SELECT search_term, "BUILDING__purchases", "MACHINERY__purchases" FROM d
-        ORDER BY key DESC NULLS LAST, search_term LIMIT 40""",
+        ORDER BY key DESC NULLS LAST, search_term""",
 )
 def sort_rows(spark, sf_dir):
     pair = [s for s in SEGMENTS if s.label in ("BUILDING", "MACHINERY")]
@@ -202,7 +202,7 @@ def sort_rows(spark, sf_dir):
     ordered = shape.sort_rows(
         compared, "purchases", ["search_term"], column="MACHINERY", control="BUILDING", by="pct_diff"
     )
-    return ordered.limit(40).select("search_term", "BUILDING__purchases", "MACHINERY__purchases")
+    return ordered.select("search_term", "BUILDING__purchases", "MACHINERY__purchases")
 
 
 @query(
@@ -218,11 +218,11 @@ def order_columns(spark, sf_dir):
 @query(
     "sort_by_label",
     f"""WITH {EV} SELECT segment, region, segment || ' - ' || region AS label, {volumes_sql("queries")}
-        FROM ev GROUP BY ALL ORDER BY label DESC LIMIT 12""",
+        FROM ev GROUP BY ALL ORDER BY label DESC""",
 )
 def sort_by_label(spark, sf_dir):
     rows = grouped(shop_wide(spark, sf_dir), SHOP, ["segment", "region"], None, ["queries"])
-    return shape.sort_by_label(rows, ["segment", "region"], ascending=False).limit(12)
+    return shape.sort_by_label(rows, ["segment", "region"], ascending=False)
 
 
 def _chart_sql() -> str:
