@@ -1,7 +1,7 @@
 """Column functions: dates, labels and keys, safe arithmetic, the normal distribution."""
 
 from .dates import DATE_PRESETS, preset_bounds, preset_table, truncate_date
-from .normal import norm_cdf
+from .normal import norm_cdf, normal_tail
 from .scalars import (
     composite_key,
     composite_key_name,
@@ -21,6 +21,7 @@ __all__ = [
     "extract_or_null",
     "label_value",
     "norm_cdf",
+    "normal_tail",
     "preset_bounds",
     "preset_table",
     "safe_divide",

@@ -37,9 +37,14 @@ def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
-def norm_cdf(z: Column) -> Column:
-    """P(Z <= z). Beyond +-7.07 the tail is below 1e-12 and is taken as 0."""
+def normal_tail(z: Column) -> Column:
+    """P(Z > |z|). Beyond 7.07 it is below 1e-12 and taken as 0."""
     x = F.least(F.abs(z), F.lit(HART_SWITCH))
     tail = F.exp(-x * x / 2) * _horner(HART_NUMERATOR, x) / _horner(HART_DENOMINATOR, x)
-    tail = F.when(F.abs(z) >= HART_SWITCH, F.lit(0.0)).otherwise(tail)
+    return F.when(F.abs(z) >= HART_SWITCH, F.lit(0.0)).otherwise(tail)
+
+
+def norm_cdf(z: Column) -> Column:
+    """P(Z <= z)."""
+    tail = normal_tail(z)
     return F.when(z > 0, 1 - tail).otherwise(tail)

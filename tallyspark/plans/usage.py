@@ -10,6 +10,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import as_date
 
@@ -29,6 +30,16 @@ def _zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 
 
+def _period(log: DataFrame, unit: str) -> Column:
+    moment = F.col("created_at")
+    if not isinstance(log.schema["created_at"].dataType, T.TimestampNTZType):
+        return F.date_trunc(unit, moment)
+    # Without a zone: plain calendar arithmetic, which date_trunc would do in the session's zone.
+    day = F.to_date(moment)
+    begin = (F.trunc(day, "week") if unit == "week" else day).cast("timestamp_ntz")
+    return begin + F.make_dt_interval(hours=F.hour(moment)) if unit == "hour" else begin
+
+
 def usage_stats(log: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Totals of the log in one aggregate; an empty range gives zeros."""
     return _in_range(log, start, end).agg(
@@ -56,10 +67,10 @@ def usage_timeseries(
     log: DataFrame, granularity: str = "daily", start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Log activity per hour, day or week (from Monday), in order."""
-    period = F.date_trunc(_UNITS.get(granularity, "day"), F.col("created_at")).alias("period")
+    period = _period(log, _UNITS.get(granularity, "day"))
     return (
         _in_range(log, start, end)
-        .groupBy(period)
+        .groupBy(period.alias("period"))
         .agg(
             F.count(F.lit(1)).alias("query_count"),
             _zero(F.sum("bytes_processed")).alias("bytes_processed"),
