@@ -16,7 +16,7 @@ from ..functions.dates import truncate_date
 from ..functions.scalars import composite_key, composite_key_name, label_value
 from ..model import Filters, Metric, SemanticModel
 from ..session import durable
-from .derived import derived_metrics, pct_of_total, totals_of
+from .derived import TOTALS, derived_metrics, pct_of_total
 from .filters import (
     all_of,
     apply_filters,
@@ -443,8 +443,8 @@ def reaggregate_metrics(
         if len(kept) == len(dimensions):
             result = result.withColumns({w.name: F.col(w.metric) for w in members})
         elif not kept:
-            totals = stored.agg(F.struct(*values).alias("totals")).scalar()
-            result = result.withColumns({w.name: totals[w.name] for w in members})
+            result = result.withColumn(TOTALS, stored.agg(F.struct(*values).alias(TOTALS)).scalar())
+            result = result.withColumns({w.name: F.col(TOTALS)[w.name] for w in members}).drop(TOTALS)
         else:
             totals = stored.groupBy(*[F.col(k).alias(f"_group_{k}") for k in kept]).agg(*values)
             match = all_of(F.col(k).eqNullSafe(F.col(f"_group_{k}")) for k in kept)
@@ -511,7 +511,6 @@ __all__ = [
     "segment_totals",
     "top_terms",
     "total_row",
-    "totals_of",
     "trend",
     "volume_metrics",
     "with_composite_keys",

@@ -66,6 +66,9 @@ MARKETING_RATES = (
 )
 
 
+TOTALS = "_totals"
+
+
 def totals_of(df: DataFrame, metrics: Sequence[str]) -> Column:
     """Sums over all rows as a struct, evaluated once as a scalar subquery (no join, no collect).
 
@@ -75,7 +78,12 @@ def totals_of(df: DataFrame, metrics: Sequence[str]) -> Column:
     others = [c for c in df.columns if c not in set(metrics)]
     fields = [F.sum(F.col(f"`{m}`")).alias(m) for m in metrics]
     fields += [F.count(F.col(f"`{c}`")).alias(c) for c in others]
-    return df.agg(F.struct(*fields).alias("totals")).scalar()
+    return df.agg(F.struct(*fields).alias(TOTALS)).scalar()
+
+
+def with_totals(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Every row with the totals in one struct column, so that the plan holds one subquery."""
+    return df.withColumn(TOTALS, totals_of(df, metrics))
 
 
 def share_of(value: Column, total: Column) -> Column:
@@ -85,10 +93,10 @@ def share_of(value: Column, total: Column) -> Column:
 
 def pct_of_total(df: DataFrame, metrics: Sequence[str], digits: int = 2) -> DataFrame:
     """Add ``<metric>_pct`` per metric, and ``percentage_of_total`` from the first positive total."""
-    totals = totals_of(df, metrics)
+    totals = F.col(TOTALS)
     shares = {f"{m}_pct": F.round(share_of(F.col(m), totals[m]), digits) for m in metrics}
     first = F.coalesce(*[F.when(totals[m] > 0, share_of(F.col(m), totals[m])) for m in metrics], F.lit(0.0))
-    return df.withColumns({**shares, "percentage_of_total": first})
+    return with_totals(df, metrics).withColumns({**shares, "percentage_of_total": first}).drop(TOTALS)
 
 
 def cumulative_share(
@@ -110,12 +118,16 @@ def baseline_inflation(
 
     Metrics without a positive baseline are left out.
     """
-    base = totals_of(baseline, metrics)
     now = current.agg(*[F.sum(m).cast("double").alias(m) for m in metrics])
+    now = now.withColumn(TOTALS, totals_of(baseline.select(*metrics), metrics))
     # One row in, one row per metric out.
     entries = F.array(
         *[
-            F.struct(F.lit(m).alias("metric"), base[m].cast("double").alias("baseline"), F.col(m).alias("current"))
+            F.struct(
+                F.lit(m).alias("metric"),
+                F.col(TOTALS)[m].cast("double").alias("baseline"),
+                F.col(m).alias("current"),
+            )
             for m in metrics
         ]
     )

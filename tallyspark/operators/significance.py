@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import Z_975, normal_tail
 from ..model import Filters, Metric, Segment, SemanticModel
 from .aggregates import derive_cells, segment_totals
-from .derived import totals_of
+from .derived import TOTALS, totals_of, with_totals
 
 # A metric whose id contains one of these is better when lower.
 LOWER_IS_BETTER_KEYWORDS = (
@@ -268,12 +268,12 @@ def share_significance(
     additive = all(model.metric(m).agg in ("sum", "count") for m in base)
     if additive and not filtered & set(rows):
         # The rows add up to the columns, from the same shuffle.
-        totals = totals_of(wide, [c for c in wide.columns if c not in set(rows)])
+        wide = with_totals(wide, [c for c in wide.columns if c not in set(rows)])
     else:
         # A column keeps its own filter on a row dimension, and distinct counts do not add up.
         whole = segment_totals(df, model, segments, base, filters, (), stored)
-        totals = totals_of(whole, whole.columns)
-    total = {n: F.coalesce(totals.getField(n), F.lit(0)).cast("bigint") for n in names}
+        wide = wide.withColumn(TOTALS, totals_of(whole, whole.columns))
+    total = {n: F.coalesce(F.col(TOTALS).getField(n), F.lit(0)).cast("bigint") for n in names}
     tests = [
         _test(
             t.label,

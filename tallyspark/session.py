@@ -20,6 +20,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     # Filters through joins that turn out small also prune the date partitions.
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    # Checkpoints nobody refers to any more are deleted (set before the context starts).
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
