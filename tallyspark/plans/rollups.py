@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import composite_key_name
-from ..model import Lookup, Rollup, SemanticModel
+from ..model import Lookup, Metric, Rollup, SemanticModel
 from ..operators.aggregates import with_composite_keys
 from ..operators.filters import required_columns, with_calculated_dimensions
 from ..operators.joins import join_dimensions_dedup, missing_dates
@@ -23,19 +23,20 @@ from ..sources.tables import append_dates, path_exists, write_daily_table
 BATCH_DATES = 7
 
 
-def on_dates(df: DataFrame, dates: Sequence[date], date_column: str = "date") -> DataFrame:
-    """Rows of the given dates.
+def on_dates(
+    df: DataFrame, dates: Sequence[date], date_column: str = "date", undated: bool = False
+) -> DataFrame:
+    """Rows of the given dates, and with ``undated`` the rows without a date.
 
     The surrounding range is stated too: it is what a file reader can use when the date is computed
     from a timestamp.
     """
-    if not dates:
-        return df.filter(F.lit(False))
-    literals = [F.lit(d).cast("date") for d in dates]
     day = F.col(date_column)
-    return df.filter(day.between(F.lit(min(dates)).cast("date"), F.lit(max(dates)).cast("date"))).filter(
-        day.isin(literals)
-    )
+    chosen = F.lit(False)
+    if dates:
+        span = day.between(F.lit(min(dates)).cast("date"), F.lit(max(dates)).cast("date"))
+        chosen = span & day.isin([F.lit(d).cast("date") for d in dates])
+    return df.filter(chosen | day.isNull() if undated else chosen)
 
 
 def collect_dates(dates: DataFrame, date_column: str = "date") -> list[date]:
@@ -93,9 +94,10 @@ def build_rollup_batched(
     """
     dates = collect_dates(source.select(model.date).filter(F.col(model.date).isNotNull()), model.date)
     batches = [dates[i : i + batch_dates] for i in range(0, len(dates), batch_dates)]
-    for i, batch in enumerate(batches):
-        frame = rollup_frame(on_dates(source, batch, model.date), model, dimensions, metrics, lookups)
-        # The first batch replaces whatever table was there.
+    for i, batch in enumerate(batches or [[]]):
+        # The first batch replaces whatever table was there and takes the rows without a date.
+        rows = on_dates(source, batch, model.date, undated=not i)
+        frame = rollup_frame(rows, model, dimensions, metrics, lookups)
         (append_dates if i else write_daily_table)(frame, path, dimensions, model.date)
     return len(batches)
 
@@ -113,7 +115,8 @@ def refresh_rollup(
     """Bring a rollup up to date; returns the number of dates written.
 
     Incremental runs add the dates the rollup does not have. Dates it has are left alone, even if
-    late rows arrived, except those named in ``recompute``. A missing rollup is built in full.
+    late rows arrived, except those named in ``recompute``. A missing rollup is built in full. Rows
+    without a date belong to no day and are written by full builds only.
     """
     spark = source.sparkSession
     if not incremental or not path_exists(spark, path):
@@ -279,36 +282,52 @@ def _candidates(rollups: Sequence[Rollup]) -> Column:
     return F.create_map(*pairs) if pairs else empty
 
 
-def rollup_coverage(queries: DataFrame, rollups: Sequence[Rollup], date_column: str = "date") -> DataFrame:
+def rollup_coverage(
+    queries: DataFrame,
+    rollups: Sequence[Rollup],
+    model: SemanticModel | None = None,
+    date_column: str = "date",
+) -> DataFrame:
     """The best rollup for every logged query, or -1.
 
-    ``queries``: query_id, dimensions, filter_dimensions, metrics (arrays), distinct_metrics
-    (boolean).
+    ``queries``: query_id, dimensions, filter_dimensions, metrics (arrays) and, unless a model tells
+    which metrics count distinct values, distinct_metrics (boolean). With a model only its volumes
+    have to be stored; the other metrics are derived from them.
 
     A rollup fits only when its dimensions are exactly the query's (grouped and filtered), or those
     plus the date. So each query has at most two dimension sets to look up in the catalogue, which
     is part of the plan: no join, no shuffle, whatever the size of the log.
     """
     none = F.array().cast("array<string>")
+
+    def names(metrics: Sequence[Metric]) -> Column:
+        return F.array(*[F.lit(m.id) for m in metrics]).cast("array<string>")
+
     needs = F.array_union(F.coalesce("dimensions", none), F.coalesce("filter_dimensions", none))
     with_date = F.array_union(needs, F.array(F.lit(date_column)))
+    wanted, distinct = F.coalesce("metrics", none), F.lit(False)
+    if "distinct_metrics" in queries.columns:
+        distinct = F.col("distinct_metrics")
+    if model is not None:
+        distinct = F.arrays_overlap(wanted, names([m for m in model.volumes if m.is_distinct]))
+        wanted = F.array_intersect(wanted, names(model.volumes))
     catalogue = _candidates(rollups)
 
     def first_fit(key: Column) -> Column:
         fitting = F.filter(
             F.try_element_at(catalogue, key),
-            lambda r: F.size(F.array_except(F.coalesce("metrics", none), r["metrics"])) == 0,
+            lambda r: F.size(F.array_except(wanted, r["metrics"])) == 0,
         )
         return F.try_element_at(fitting, F.lit(1))["id"]
 
     found = queries.select(
         "query_id",
-        "distinct_metrics",
+        distinct.alias("_distinct"),
         first_fit(_needs(needs)).alias("_exact"),
         F.when(~F.array_contains(needs, date_column), first_fit(_needs(with_date))).alias("_daily"),
     )
     exact, daily = F.col("_exact").isNotNull(), F.col("_daily").isNotNull()
-    daily_score = F.when(F.col("distinct_metrics"), REAGGREGATE_DISTINCT_SCORE).otherwise(REAGGREGATE_SCORE)
+    daily_score = F.when(F.col("_distinct"), REAGGREGATE_DISTINCT_SCORE).otherwise(REAGGREGATE_SCORE)
     return found.select(
         "query_id",
         F.coalesce("_exact", "_daily").alias("rollup_id"),

@@ -38,3 +38,20 @@ def test_entry(spark):
 def test_sql_only_for_registered_queries():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"group_count_approx", "daily_bayes_test"}
+
+
+@pytest.mark.parametrize("name", ["filter_options", "column_profile"])
+def test_values_are_cut_before_the_shuffle(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit .* Partial", plan)
+
+
+def test_no_unpartitioned_window_over_rows(spark):
+    # Those left order one row per slice of a sorted frame, or one row per column of the schema.
+    allowed = {"cumulative_share", "cumulative_count", "order_columns", "cardinality_ranking"}
+    cheap = ["pivot", "pct_of_total", "filter_options", "reaggregate_metric", "compare_columns", *allowed]
+    for name in cheap:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        windows = re.findall(r"Window \[.*", plan)
+        unpartitioned = [w for w in windows if re.search(r"\], \[[^\]]*(ASC|DESC)[^\]]*\]$", w) and w.count("], [") == 1]
+        assert not unpartitioned or name in allowed, (name, unpartitioned)

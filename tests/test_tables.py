@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark import Dimension, Filters, Lookup, Rollup, SemanticModel, volume
+from tallyspark import Dimension, Filters, Lookup, Rollup, SemanticModel, ratio, volume
 from tallyspark.operators import aggregates
 from tallyspark.plans import rollups as jobs
 from tallyspark.plans import usage
@@ -43,6 +43,12 @@ def test_batched_equals_one_write(spark, fact, tmp_path):
     jobs.build_rollup(fact, MODEL, ["date", "term"], one)
     assert jobs.build_rollup_batched(fact, MODEL, ["date", "term"], many) == 3
     assert rows_of(spark.read.parquet(one)) == rows_of(spark.read.parquet(many))
+    # Rows without a date are kept by both.
+    undated = fact.union(spark.createDataFrame([(None, "t1", 1, 5)], SCHEMA))
+    jobs.build_rollup(undated, MODEL, ["date", "term"], one)
+    jobs.build_rollup_batched(undated, MODEL, ["date", "term"], many)
+    assert rows_of(spark.read.parquet(one)) == rows_of(spark.read.parquet(many))
+    assert spark.read.parquet(one).filter("date is null").count() == 1
     # Building again replaces the table.
     jobs.build_rollup_batched(fact.filter("date < DATE '2024-01-05'"), MODEL, ["date", "term"], many)
     assert spark.read.parquet(many).select("date").distinct().count() == 4
@@ -235,6 +241,12 @@ def test_coverage(spark):
         6: (None, -1, False),
         7: ("dates", 100, True),
     }
+    # With a model the distinct metrics are known, and only volumes have to be stored.
+    model = SemanticModel((volume("m", "count_distinct", "{u}"), ratio("x", "m", "m")))
+    modelled = {r.query_id: (r.rollup_id, r.score) for r in jobs.rollup_coverage(log.drop("distinct_metrics"), catalogue, model).collect()}
+    assert modelled[3] == ("a", 150)
+    assert modelled[4] == ("daily_b", 80)
+    assert modelled[7] == ("dates", 100)
     plan = jobs.rollup_coverage(log, catalogue)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     wanted = {r.dimensions: (r.suggested_id, r.query_count) for r in jobs.rollup_recommendations(log, catalogue[:2]).collect()}
