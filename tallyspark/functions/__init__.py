@@ -3,6 +3,7 @@
 from .dates import DATE_PRESETS, preset_bounds, preset_table, truncate_date
 from .normal import norm_cdf, normal_tail
 from .scalars import (
+    approx_distinct,
     composite_key,
     composite_key_name,
     dimension_label,
@@ -15,6 +16,7 @@ from .scalars import (
 
 __all__ = [
     "DATE_PRESETS",
+    "approx_distinct",
     "composite_key",
     "composite_key_name",
     "dimension_label",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import truncate_date
-from ..functions.scalars import composite_key, composite_key_name, label_value
+from ..functions.scalars import approx_distinct, composite_key, composite_key_name, label_value
 from ..model import Filters, Metric, SemanticModel
 from ..session import durable
 from .derived import TOTALS, derived_metrics, pct_of_total
@@ -261,11 +261,10 @@ def group_count_approx(
     model: SemanticModel,
     dimensions: Sequence[str],
     filters: Filters | None = None,
-    rsd: float = 0.02,
 ) -> DataFrame:
     """Approximate number of dimension combinations: one small sketch per task instead of a shuffle."""
     rows = apply_filters(df, model, filters, dimensions)
-    return rows.agg(F.approx_count_distinct(F.xxhash64(*dimensions), rsd).alias("total_count"))
+    return rows.agg(approx_distinct(*map(F.col, dimensions), nulls=True).alias("total_count"))
 
 
 def with_composite_keys(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
@@ -273,11 +272,9 @@ def with_composite_keys(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFra
     return df.withColumns({composite_key_name(k): composite_key(sorted(k, key=str.lower)) for k in keys})
 
 
-def cardinality_ranking(
-    df: DataFrame, dimensions: Sequence[str], top: int = 4, rsd: float = 0.02
-) -> DataFrame:
+def cardinality_ranking(df: DataFrame, dimensions: Sequence[str], top: int = 4) -> DataFrame:
     """The dimensions with the most distinct values, by sketches taken in one pass."""
-    counts = df.agg(*[F.approx_count_distinct(d, rsd).alias(d) for d in dimensions])
+    counts = df.agg(*[approx_distinct(F.col(d)).alias(d) for d in dimensions])
     long = counts.unpivot([], list(dimensions), "column_name", "cardinality")
     # One row per dimension of the schema.
     rank = F.row_number().over(Window.orderBy(F.col("cardinality").desc(), "column_name"))
@@ -343,12 +340,13 @@ def segment_totals(
     filters: Filters | None = None,
     by: Sequence[str] = (),
     stored: bool = False,
+    presence: bool = True,
 ) -> DataFrame:
     """Volumes of many, possibly overlapping segments in one pass: ``<label>__<metric>`` columns.
 
     ``by`` adds row dimensions; a row's own value then replaces what a segment or the base filter
-    says about that dimension. ``<label>__rows`` counts the fact rows behind a cell, so an absent
-    cell can be told from a zero.
+    says about that dimension. With ``presence``, ``<label>__rows`` counts the fact rows behind a
+    cell, so an absent cell can be told from a zero.
     """
     filters = (filters or Filters()).without(by)
     segments = [type(s)(s.label, {d: v for d, v in s.dimensions.items() if d not in by}) for s in segments]
@@ -361,7 +359,8 @@ def segment_totals(
     rows = rows.filter(shared).filter(anywhere)
     columns = []
     for segment, condition in zip(segments, conditions, strict=True):
-        columns.append(F.count_if(condition).alias(f"{segment.label}__rows"))
+        if presence:
+            columns.append(F.count_if(condition).alias(f"{segment.label}__rows"))
         for m in model.required_volumes(metrics):
             cell = m.merge(condition) if stored else m.aggregate(condition)
             columns.append(cell.alias(f"{segment.label}__{m.id}"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, preset_bounds
 from ..model import OTHER, Bucket, Condition, Filters, LabelRule, Metric, Period, SemanticModel
-from .aggregates import grouped
+from .aggregates import derivations, grouped
+from .derived import derived_metrics
 from .filters import all_of
 
 _COMPARE = {
@@ -96,12 +97,15 @@ def bucket_by_condition(
     metrics: Sequence[str] | None = None,
     name: str = "bucket",
 ) -> DataFrame:
-    """Aggregate by the base dimensions, label each group by a metric, then sum volumes per label."""
+    """Aggregate by the base dimensions, label each group by a metric, then sum volumes per label.
+
+    The label may look at a derived metric; derived metrics of the result come from the sums.
+    """
     wanted = None if metrics is None else list(dict.fromkeys([*metrics, metric]))
     base = grouped(df, model, dimensions, filters, wanted)
     labelled = base.withColumn(name, rule_column(F.col(metric), rules))
     volumes = [m.id for m in model.required_volumes(metrics)]
-    return reaggregate_by_bucket(labelled, name, volumes)
+    return derived_metrics(reaggregate_by_bucket(labelled, name, volumes), derivations(model, metrics))
 
 
 def period_column(day: Column, periods: Sequence[Period], as_of: str | date | None = None) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import label_value
 from ..model import LABEL_SEPARATOR, Filters, Lookup, Segment, SemanticModel
@@ -28,7 +29,8 @@ def _salted(fact: DataFrame, side: DataFrame, salts: int) -> tuple[DataFrame, Da
 
     The salt is a hash of the fact row, so a recomputed task places its rows as before.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)).cast("int")
+    hashable = [f.name for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return fact.withColumn("_salt", salt), side.withColumn("_copy", copies)
 

@@ -77,7 +77,7 @@ def chart_series(
         rows = grouped(df, model, [dimension], filters, metrics, stored)
         top = rows.orderBy(F.col(metrics[0]).desc_nulls_last(), dimension).limit(20)
         return top.select(dimension, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in metrics])
-    wide = segment_totals(df, model, segments, metrics, filters, [dimension], stored)
+    wide = segment_totals(df, model, segments, metrics, filters, [dimension], stored, presence=False)
     wide = derive_cells(wide, model, segments, metrics)
     series = [
         F.coalesce(F.col(f"`{s.label}__{m}`"), F.lit(0)).alias(f"{s.label}_{m}")

@@ -214,7 +214,8 @@ def segment_significance(
     if not eligible:
         raise ValueError("no metric is a percent ratio of two metrics")
     needed = list(dict.fromkeys(n for m in eligible for n in (m.numerator, m.denominator)))
-    wide = segment_totals(df, model, [control, *treatments], needed, filters, rows, stored)
+    segments = [control, *treatments]
+    wide = segment_totals(df, model, segments, needed, filters, rows, stored, presence=False)
     tests = [
         _test(
             t.label,
@@ -262,7 +263,7 @@ def share_significance(
         raise ValueError("no metric is a share (<metric>_pct) of a metric of the model")
     segments = [control, *treatments]
     base = list(dict.fromkeys(shares.values()))
-    wide = segment_totals(df, model, segments, base, filters, rows, stored)
+    wide = segment_totals(df, model, segments, base, filters, rows, stored, presence=False)
     names = [f"{s.label}__{m}" for s in segments for m in base]
     filtered = {d for s in segments for d in s.dimensions} | set((filters or Filters()).dimensions)
     additive = all(model.metric(m).agg in ("sum", "count") for m in base)
@@ -271,7 +272,7 @@ def share_significance(
         wide = with_totals(wide, [c for c in wide.columns if c not in set(rows)])
     else:
         # A column keeps its own filter on a row dimension, and distinct counts do not add up.
-        whole = segment_totals(df, model, segments, base, filters, (), stored)
+        whole = segment_totals(df, model, segments, base, filters, (), stored, presence=False)
         wide = wide.withColumn(TOTALS, totals_of(whole, whole.columns))
     total = {n: F.coalesce(F.col(TOTALS).getField(n), F.lit(0)).cast("bigint") for n in names}
     tests = [

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import approx_distinct
+
 DATE_COLUMN = "date"
 
 
@@ -138,7 +140,7 @@ def column_profile(df: DataFrame, samples: int = 5, exact: bool = False) -> Data
     else:
         sketches = df.agg(
             *[F.count_if(F.col(n).isNull()).alias(f"nulls_{n}") for n in names],
-            *[F.approx_count_distinct(n, 0.02).alias(f"unique_{n}") for n in names],
+            *[approx_distinct(F.col(n)).alias(f"unique_{n}") for n in names],
         )
         entries = [
             F.struct(

@@ -188,6 +188,15 @@ def test_first_rule_wins(overlap):
     assert got == ["Other", "some", "some", "big", "missing"]
 
 
+def test_rules_on_a_derived_metric(zero):
+    rules = [LabelRule("never", [Condition("is_null")]), LabelRule("seldom", [Condition("<=", 0.5)])]
+    got = buckets.bucket_by_condition(zero, MODEL, ["term"], "rate", rules)
+    assert {r.bucket: (r.queries, r.purchases, r.rate) for r in got.collect()} == {
+        "never": (0, 1, None),
+        "seldom": (4, 1, 0.25),
+    }
+
+
 def test_last_period_wins(spark):
     days = spark.createDataFrame([(D(2024, 1, d), d) for d in (1, 10, 20, 31)], "date date, queries long")
     periods = [
@@ -247,5 +256,9 @@ def test_approximate_count(spark):
     df = spark.range(20000).select((F.col("id") % 5000).alias("a"), F.lit("k").alias("b"))
     got = aggregates.group_count_approx(df, MODEL, ["a", "b"]).first().total_count
     assert abs(got - 5000) < 5000 * 0.08
+    some = df.select(F.when(F.col("a") > 0, F.col("a")).alias("a"), "b")
+    with_null = aggregates.group_count_approx(some, MODEL, ["a", "b"]).first().total_count
+    assert abs(with_null - 5000) < 5000 * 0.08
+    assert aggregates.group_count_approx(df.filter("false"), MODEL, ["a", "b"]).first().total_count == 0
     ranked = aggregates.cardinality_ranking(df, ["b", "a"], top=1).collect()
     assert [(r.column_name, r.position) for r in ranked] == [("a", 1)]
