@@ -81,12 +81,19 @@ def join_dimensions_dedup(fact: DataFrame, lookups: Sequence[Lookup], salts: int
     """
     for lookup in lookups:
         _check_lookup(lookup)
-        side = (
+        rows = (
             lookup.df.filter(F.col(lookup.key).isNotNull())
             .groupBy(F.col(lookup.key).alias(_KEY))
-            .agg(*[F.min(source).alias(name) for name, source in lookup.columns.items()])
+            .agg(
+                F.count(F.lit(1)).alias("_n"),
+                *[F.min(source).alias(name) for name, source in lookup.columns.items()],
+            )
         )
-        fact = _attach(fact, lookup, side, salts)
+        # Always the key itself, but no longer the grouping column: the join then shuffles this side
+        # for itself instead of sitting on the aggregate, and only a join between two shuffles of its
+        # own has its skewed partitions split by adaptive execution.
+        key = F.when(F.col("_n") > 0, F.col(_KEY))
+        fact = _attach(fact, lookup, rows.select(key.alias(_KEY), *lookup.columns), salts)
     return fact
 
 
