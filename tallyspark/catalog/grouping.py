@@ -267,6 +267,9 @@ def pivot_from_rollup(spark, sf_dir):
             count(*) FILTER (WHERE region = 'ASIA') AS "asia__rows",
             count(*) FILTER (WHERE region = 'ASIA' AND event_type = 'view') AS "asia__queries",
             count(*) FILTER (WHERE region = 'ASIA' AND event_type = 'purchase') AS "asia__purchases",
+            count(DISTINCT user_id) FILTER (WHERE region = 'ASIA') AS "asia__visitors",
+            count(DISTINCT user_id) FILTER (WHERE region IN ('ASIA', 'EUROPE') AND segment = 'BUILDING')
+              AS "builders__visitors",
             count(*) FILTER (WHERE region IN ('ASIA', 'EUROPE') AND segment = 'BUILDING') AS "builders__rows",
             count(*) FILTER (WHERE region IN ('ASIA', 'EUROPE') AND segment = 'BUILDING' AND event_type = 'view')
               AS "builders__queries",
@@ -278,7 +281,7 @@ def segment_totals(spark, sf_dir):
     # The second segment overlaps the first and keeps the base filter's regions.
     segments = [Segment("asia", {"region": ["ASIA"]}), Segment("builders", {"segment": ["BUILDING"]})]
     filters = Filters(start="2024-01-05", dimensions={"region": ["ASIA", "EUROPE"]})
-    return ops.segment_totals(shop_wide(spark, sf_dir), SHOP, segments, ["queries", "purchases"], filters)
+    return ops.segment_totals(shop_wide(spark, sf_dir), SHOP, segments, ["queries", "purchases", "visitors"], filters)
 
 
 @query(

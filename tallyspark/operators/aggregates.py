@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import truncate_date
 from ..functions.scalars import approx_distinct, composite_key, composite_key_name, label_value
-from ..model import Filters, Metric, SemanticModel
+from ..model import Filters, Metric, Segment, SemanticModel, fill_placeholders
 from ..session import durable
 from .derived import TOTALS, derived_metrics, pct_of_total
 from .filters import (
@@ -35,6 +35,13 @@ AGGREGATION_TYPES = {
 }
 
 
+def _with(metrics: Sequence[str] | None, sort_by: str | None) -> Sequence[str] | None:
+    """The wanted metrics and the one to sort by."""
+    if metrics is None or sort_by is None:
+        return metrics
+    return list(dict.fromkeys([*metrics, sort_by]))
+
+
 def volume_metrics(
     model: SemanticModel, metrics: Sequence[str] | None = None, stored: bool = False
 ) -> list[Column]:
@@ -122,7 +129,7 @@ def pivot(
 
     Shares refer to the whole filtered result, or with ``scope="page"`` to the returned rows.
     """
-    rows = grouped(df, model, dimensions, filters, metrics, stored)
+    rows = grouped(df, model, dimensions, filters, _with(metrics, order_by), stored)
     volumes = [m.id for m in model.required_volumes(metrics)]
     shown = [m.id for m in wanted_metrics(model, metrics) if m.id in rows.columns]
     wanted_volumes = [v for v in volumes if v in shown]
@@ -195,7 +202,10 @@ def top_terms(
     stored: bool = False,
 ) -> DataFrame:
     """The top terms by a metric."""
-    return page(grouped(df, model, [term], filters, metrics, stored), sort_by, [term], limit)
+    rows = grouped(df, model, [term], filters, _with(metrics, sort_by), stored)
+    top = page(rows, sort_by, [term], limit)
+    shown = [m.id for m in wanted_metrics(model, metrics) if m.id in top.columns]
+    return top.select(term, *shown)
 
 
 def dimension_values(
@@ -357,16 +367,60 @@ def segment_totals(
     for c in conditions[1:]:
         anywhere = anywhere | c
     rows = rows.filter(shared).filter(anywhere)
+    volumes = model.required_volumes(metrics)
+    cells = list(zip(segments, conditions, strict=True))
+    if not stored and len(cells) > 1 and _one_distinct_input(volumes):
+        return _distinct_cells(rows, by, cells, volumes, presence)
     columns = []
-    for segment, condition in zip(segments, conditions, strict=True):
+    for segment, condition in cells:
         if presence:
             columns.append(F.count_if(condition).alias(f"{segment.label}__rows"))
-        for m in model.required_volumes(metrics):
+        for m in volumes:
             cell = m.merge(condition) if stored else m.aggregate(condition)
             columns.append(cell.alias(f"{segment.label}__{m.id}"))
     return rows.groupBy(*by).agg(*columns) if by else rows.agg(*columns)
 
 
+def _one_distinct_input(volumes: Sequence[Metric]) -> bool:
+    """Do all exact distinct counts look at one expression, beside metrics that can be summed up?"""
+    inputs = {m.expr for m in volumes if m.agg == "count_distinct"}
+    return len(inputs) == 1 and all(m.agg in ("count_distinct", "sum", "count", "min", "max") for m in volumes)
+
+
+def _distinct_cells(
+    rows: DataFrame,
+    by: Sequence[str],
+    cells: Sequence[tuple[Segment, Column]],
+    volumes: Sequence[Metric],
+    presence: bool,
+) -> DataFrame:
+    """Segment cells with distinct counts, in two steps: per distinct value, then per row.
+
+    Counting ``distinct CASE WHEN ...`` per segment would copy every fact row once per segment. Here a
+    value is grouped once and remembers in which segments it occurred.
+    """
+    counted = next(m for m in volumes if m.agg == "count_distinct")
+    others = [m for m in volumes if m.agg != "count_distinct"]
+    first, second = [], []
+    for i, (segment, condition) in enumerate(cells):
+        seen = F.count_if(condition).alias(f"_seen_{i}")
+        first += [seen, *[m.aggregate(condition).alias(f"_{i}_{m.id}") for m in others]]
+        here = F.col(f"_seen_{i}")
+        if presence:
+            second.append(F.coalesce(F.sum(here), F.lit(0)).alias(f"{segment.label}__rows"))
+        for m in volumes:
+            if m.agg == "count_distinct":
+                cell = F.count_if(F.col("_value").isNotNull() & (here > 0))
+            elif m.agg == "count":
+                cell = F.coalesce(F.sum(f"_{i}_{m.id}"), F.lit(0))
+            else:
+                cell = {"sum": F.sum, "min": F.min, "max": F.max}[m.agg](f"_{i}_{m.id}")
+            second.append(cell.alias(f"{segment.label}__{m.id}"))
+    value = F.expr(fill_placeholders(counted.expr)).alias("_value")
+    per_value = rows.groupBy(*by, value).agg(*first)
+    return per_value.groupBy(*by).agg(*second) if by else per_value.agg(*second)
+
+
 def derive_cells(
     wide: DataFrame, model: SemanticModel, segments: Sequence, metrics: Sequence[str]
 ) -> DataFrame:

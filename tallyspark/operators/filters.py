@@ -170,9 +170,11 @@ def apply_filters(
     needed = model.calculated_dimensions([*filters.dimensions, *extra_dimensions])
     missing = [d for d in needed if d.id not in df.columns]
     start, end = date_bounds(filters)
-    if model.date in df.columns:
-        df = clamp_dates(df, model.min_date, model.max_date, model.date)
-        df = filter_dates(df, start, end, model.date)
+    limited = model.min_date or model.max_date or start is not None or end is not None
+    if limited and model.date not in df.columns:
+        raise ValueError(f"dates are restricted but there is no column {model.date!r}")
+    df = clamp_dates(df, model.min_date, model.max_date, model.date)
+    df = filter_dates(df, start, end, model.date)
     return filter_calculated(df, filters.dimensions, missing)
 
 

@@ -94,6 +94,19 @@ def test_ties_are_ordered(spark):
     assert got == ["c", "d"]
 
 
+def test_sorting_by_a_metric_that_is_not_shown(zero):
+    got = aggregates.pivot(zero, MODEL, ["term"], metrics=["purchases"], order_by="rate")
+    assert got.columns == ["term", "label", "purchases", "purchases_pct", "percentage_of_total"]
+    assert got.first().term == "c"
+    terms = aggregates.top_terms(zero, MODEL, None, ["purchases"], sort_by="queries", term="term", limit=1)
+    assert [tuple(r) for r in terms.collect()] == [("c", 1)]
+
+
+def test_dates_cannot_be_filtered_without_a_date(zero):
+    with pytest.raises(ValueError, match="no column 'date'"):
+        aggregates.pivot(zero, MODEL, ["term"], Filters(start="2024-01-01"))
+
+
 def test_nulls_in_groups(spark):
     df = spark.createDataFrame([(None, 1, 0), (None, 2, 0), ("", 4, 0), ("x", 8, 0)], "country string, queries long, purchases long")
     got = {r.dimension_value: r.queries for r in aggregates.breakdown(df, MODEL, "country").collect()}
@@ -262,3 +275,38 @@ def test_approximate_count(spark):
     assert aggregates.group_count_approx(df.filter("false"), MODEL, ["a", "b"]).first().total_count == 0
     ranked = aggregates.cardinality_ranking(df, ["b", "a"], top=1).collect()
     assert [(r.column_name, r.position) for r in ranked] == [("a", 1)]
+
+
+def test_distinct_counts_per_segment(spark):
+    rows = [(f"t{i % 5}", f"s{i % 3}", None if i % 11 == 0 else i % 17, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "t string, s string, u int, v long")
+    model = SemanticModel(
+        (
+            volume("users", "count_distinct", "{u}"),
+            volume("total", "sum", "{v}"),
+            volume("n", "count", "{u}"),
+            volume("low", "min", "{v}"),
+        )
+    )
+    # The third overlaps the others, the last is empty.
+    picks = {"a": ["s0"], "b": ["s1"], "ab": ["s0", "s1"], "none": ["s9"]}
+    segments = [Segment(k, {"s": v}) for k, v in picks.items()]
+    ids = ["users", "total", "n", "low"]
+
+    def want(select, values):
+        chosen = [r for r in rows if select(r) and r[1] in values]
+        users = {r[2] for r in chosen if r[2] is not None}
+        numbers = [r[3] for r in chosen]
+        counted = sum(r[2] is not None for r in chosen)
+        return len(chosen), len(users), sum(numbers) if numbers else None, counted, min(numbers, default=None)
+
+    got = aggregates.segment_totals(df, model, segments, ids, by=["t"])
+    for r in got.collect():
+        for k, values in picks.items():
+            cell = tuple(r[f"{k}__{m}"] for m in ("rows", *ids))
+            assert cell == want(lambda x, t=r.t: x[0] == t, values), (r.t, k)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    whole = aggregates.segment_totals(df, model, segments, ids).first()
+    assert tuple(whole[f"ab__{m}"] for m in ("rows", *ids)) == want(lambda x: True, picks["ab"])
+    nothing = aggregates.segment_totals(df.filter("false"), model, segments, ids).first()
+    assert (nothing["a__rows"], nothing["a__users"], nothing["a__total"], nothing["a__n"]) == (0, 0, None, 0)
