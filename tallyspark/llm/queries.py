@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack
 from .simhash import near_duplicates
+from .substring_dedup import remove_repeats
+from .token_counts import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +20,20 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, max_bits=4)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), fields=("source", "lang", "text"), by="line")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), capacity=2048)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), window=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_duplicates,)
+    f.__name__: f for f in (op1_simhash_near_duplicates, op2_token_counts, op6_best_fit_packing, op10_substring_dedup)
 }
 
 SQL: dict[str, str] = {}
