@@ -87,8 +87,8 @@ def fillings(room: int, sizes: list[int], left: Mapping[int, int], keep: int = 4
     """Undominated ways to fill a room, least waste first, then fewest items.
 
     ``sizes`` are the lengths at hand in order, ``left`` how many of each. A filling is dominated if a
-    further item fits, or if one of its items can be exchanged for a longer one that fits: whatever
-    packs the rest after the lesser filling also packs it after the greater.
+    further item fits, or if one or two of its items can be exchanged for one that is as long and fits: whatever
+    packs the rest after the greater filling has no less room than after the lesser.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     perfect = 0
@@ -109,9 +109,10 @@ def fillings(room: int, sizes: list[int], left: Mapping[int, int], keep: int = 4
                     search(space - n * size, k, chosen + (size,) * n)
 
     def dominated(waste: int, chosen: tuple[int, ...]) -> bool:
-        for size in set(chosen):
+        pairs = {x + y: {x, y} for i, x in enumerate(chosen) for y in chosen[:i]} if len(chosen) < 8 else {}
+        for size, given in [*((x, {x}) for x in set(chosen)), *pairs.items()]:
             at = bisect_right(sizes, size + waste) - 1
-            while at >= 0 and sizes[at] > size:
+            while at >= 0 and (sizes[at] > size or sizes[at] == size and len(given) > 1):
                 if chosen.count(sizes[at]) < left[sizes[at]]:
                     return True
                 at -= 1
