@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ PACKED = 1 << 24
 
 # Rule: (share, bad if it holds, good if it holds); otherwise the rule abstains. In SQL for both engines.
 RULES: dict[str, tuple[str, str]] = {
-    "length": ("n_words < 50", "n_words >= 100"),
+    "length": ("n_words < 10", "n_words >= 100"),
     "repeats": ("5 * n_repeat_words > n_words", "20 * n_repeat_words <= n_words AND n_words > 0"),
     "symbols": ("25 * n_symbols > n_words", "n_symbols = 0 AND n_words > 0"),
     "capitals": ("5 * n_capitals > word_chars", "15 * n_capitals <= word_chars AND n_words > 0"),
@@ -29,7 +30,17 @@ RULES: dict[str, tuple[str, str]] = {
 }
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 ROUNDS = 20
-FIRST_ACCURACY, FIRST_PRIOR = 0.8, 0.8
+# A document is good or has one chief fault, that which a rule looks for. A rule that votes finds fault with good
+# documents seldom, with those of its own fault mostly, and with those of other faults as often as may be. Where the estimate
+# starts, between which bounds it stays, and with the weight of how many documents the start is counted in.
+KINDS_OF_TEXT = ("good", *RULES)
+START_PRIOR = {k: 0.8 if k == "good" else 0.2 / len(RULES) for k in KINDS_OF_TEXT}
+WEIGHT = 20
+
+
+def _start(kind: str, rule: str) -> tuple[float, float, float]:
+    """Chance that the rule's vote on a document of the kind is bad: start, least, most."""
+    return (0.005, 0.001, 0.005) if kind == "good" else (0.9, 0.8, 0.999) if kind == rule else (0.2, 0.001, 0.999)
 
 
 def _starts_of_repeats(words: Column, ordered: Column) -> Column:
@@ -111,33 +122,54 @@ def _vote(rule: str) -> Column:
     return F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0))
 
 
-def _posterior(accuracies: Mapping[str, float], prior: float) -> Column:
-    logit = F.lit(log(prior / (1 - prior)))
-    for rule, a in accuracies.items():
-        logit = logit + F.col(f"v_{rule}") * F.lit(log(a / (1 - a)))
-    return 1 / (1 + F.exp(-logit))
+Faults = Mapping[str, Mapping[str, float]]
+
+
+def _posterior(faults: Faults, priors: Mapping[str, float]) -> Column:
+    """Probability that a document is good, from its votes."""
+    weights = []
+    for kind in KINDS_OF_TEXT:
+        total = F.lit(log(priors[kind]))
+        for rule in RULES:
+            f, vote = faults[kind][rule], F.col(f"v_{rule}")
+            total = total + F.when(vote == -1, log(f)).when(vote == 1, log(1 - f)).otherwise(0.0)
+        weights.append(F.exp(total))
+    return weights[0] / reduce(lambda x, y: x + y, weights)
 
 
-def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracy of each rule where it votes, and the share of good documents, from counted vote patterns.
+def estimate(
+    patterns: Mapping[tuple[int, ...], int], rounds: int = ROUNDS
+) -> tuple[dict[str, dict[str, float]], dict[str, float]]:
+    """How often each rule finds fault with each kind of document, and the share of each kind, from counted votes.
 
-    A round weighs each pattern by its posterior and counts how often each rule agrees with it.
+    A round gives each pattern of votes its posterior over the kinds, then counts by it. What a rule gets right about good
+    documents is one minus its share of faults there, about its own kind the share itself.
     """
-    accuracies, prior = dict.fromkeys(RULES, FIRST_ACCURACY), FIRST_PRIOR
+    faults = {k: {r: _start(k, r)[0] for r in RULES} for k in KINDS_OF_TEXT}
+    priors = dict(START_PRIOR)
     for _ in range(rounds):
-        weights = [log(a / (1 - a)) for a in accuracies.values()]
-        right, votes = dict.fromkeys(RULES, 8.0), dict.fromkeys(RULES, 10)
-        rows, good = 10, 8.0
+        logs = {
+            k: (log(priors[k]), [{-1: log(faults[k][r]), 1: log(1 - faults[k][r]), 0: 0.0} for r in RULES]) for k in KINDS_OF_TEXT
+        }
+        bad = {k: {r: _start(k, r)[0] * WEIGHT for r in RULES} for k in KINDS_OF_TEXT}
+        votes = {k: dict.fromkeys(RULES, float(WEIGHT)) for k in KINDS_OF_TEXT}
+        rows, share = float(WEIGHT), {k: p * WEIGHT for k, p in START_PRIOR.items()}
         for pattern, n in patterns.items():
-            p = 1 / (1 + exp(-log(prior / (1 - prior)) - sum(v * w for v, w in zip(pattern, weights, strict=True))))
-            rows, good = rows + n, good + n * p
-            for rule, v in zip(RULES, pattern, strict=True):
-                if v:
-                    votes[rule] += n
-                    right[rule] += n * (p if v > 0 else 1 - p)
-        prior = min(max(good / rows, 0.001), 0.999)
-        accuracies = {r: min(max(right[r] / votes[r], 0.5), 0.999) for r in RULES}
-    return accuracies, prior
+            weights = {
+                k: exp(first + sum(own[v] for own, v in zip(rest, pattern, strict=True))) for k, (first, rest) in logs.items()
+            }
+            total = sum(weights.values())
+            rows += n
+            for k, w in weights.items():
+                held = n * w / total
+                share[k] += held
+                for rule, v in zip(RULES, pattern, strict=True):
+                    if v:
+                        votes[k][rule] += held
+                        bad[k][rule] += held if v < 0 else 0.0
+        priors = {k: x / rows for k, x in share.items()}
+        faults = {k: {r: min(max(bad[k][r] / votes[k][r], _start(k, r)[1]), _start(k, r)[2]) for r in RULES} for k in KINDS_OF_TEXT}
+    return faults, priors
 
 
 def judged(docs: DataFrame, text_col: str, keep: Mapping[str, Column]) -> DataFrame:
@@ -159,8 +191,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Counts and verdict of every document.
 
     Rules on length, repetition, symbols, capitals, lines and variety vote good or bad or abstain.
-    Expectation-maximisation estimates how often each is right from how they agree over all documents, without
-    labels; a document is kept if it does not fail the base rule and its posterior probability of being good is at
+    Expectation-maximisation estimates from their agreement over all documents, without labels, how
+    often each is right about good documents and about each kind of fault; a document is kept if it does not fail the base rule and its posterior probability of being good is at
     least one half. Votes are counted by pattern before anything else, so the shuffle is as small as the patterns.
 
     Null and empty texts have no words and fail the base rule. Rows with null or repeated ids are judged
@@ -183,17 +215,32 @@ def quality_sql() -> str:
     """The result of ``quality_verdicts`` over documents in DuckDB's SQL, rounds of the estimate unrolled."""
     votes = ", ".join(f"CASE WHEN {b} THEN -1 WHEN {g} THEN 1 ELSE 0 END AS v_{r}" for r, (b, g) in RULES.items())
     names = ", ".join(f"v_{r}" for r in RULES)
-    logit = "ln(prior / (1 - prior))" + "".join(f" + v_{r} * ln(a_{r} / (1 - a_{r}))" for r in RULES)
-    first = ", ".join(f"{FIRST_ACCURACY}::DOUBLE AS a_{r}" for r in RULES)
-    agree = ", ".join(
-        f"least(greatest((coalesce(sum(n * CASE v_{r} WHEN 1 THEN p WHEN -1 THEN 1 - p ELSE 0 END), 0) + 8)"
-        f" / (coalesce(sum(CASE WHEN v_{r} <> 0 THEN n END), 0) + 10), 0.5), 0.999)::DOUBLE AS a_{r}"
-        for r in RULES
+    weights = {
+        k: f"exp(ln(p_{k})" + "".join(
+            f" + CASE v_{r} WHEN -1 THEN ln(f_{k}_{r}) WHEN 1 THEN ln(1 - f_{k}_{r}) ELSE 0 END" for r in RULES
+        ) + ")"
+        for k in KINDS_OF_TEXT
+    }
+    all_weights = ", ".join(f"{w} AS w_{k}" for k, w in weights.items())
+    total = " + ".join(f"w_{k}" for k in KINDS_OF_TEXT)
+    first = ", ".join(f"{p!r}::DOUBLE AS p_{k}" for k, p in START_PRIOR.items())
+    first += "".join(f", {_start(k, r)[0]}::DOUBLE AS f_{k}_{r}" for k in KINDS_OF_TEXT for r in RULES)
+
+    def fault(k: str, r: str) -> str:
+        start, least, most = _start(k, r)
+        bad = f"coalesce(sum(CASE WHEN v_{r} < 0 THEN n * w_{k} / w END), 0) + {start * WEIGHT!r}"
+        votes = f"coalesce(sum(CASE WHEN v_{r} <> 0 THEN n * w_{k} / w END), 0) + {WEIGHT}"
+        return f"least(greatest(({bad}) / ({votes}), {least}), {most})::DOUBLE AS f_{k}_{r}"
+
+    counted = ", ".join(
+        f"((coalesce(sum(n * w_{k} / w), 0) + {p * WEIGHT!r}) / (coalesce(sum(n), 0) + {WEIGHT}))::DOUBLE AS p_{k}"
+        for k, p in START_PRIOR.items()
     )
+    counted += "".join(f", {fault(k, r)}" for k in KINDS_OF_TEXT for r in RULES)
     rounds = ",".join(
         f"""
-    e{k + 1} AS MATERIALIZED (SELECT least(greatest((coalesce(sum(n * p), 0) + 8) / (coalesce(sum(n), 0) + 10), 0.001), 0.999)::DOUBLE AS prior,
-             {agree} FROM (SELECT patterns.*, 1 / (1 + exp(-({logit}))) AS p FROM patterns, e{k}))"""
+    e{k + 1} AS MATERIALIZED (SELECT {counted}
+        FROM (SELECT *, {total} AS w FROM (SELECT patterns.*, {all_weights} FROM patterns, e{k})))"""
         for k in range(ROUNDS)
     )
     return f"""
@@ -213,9 +260,9 @@ def quality_sql() -> str:
                FROM w LEFT JOIN repeats USING (r)),
     voted AS MATERIALIZED (SELECT *, {BASE_FAILED} AS base_failed, {votes} FROM counts),
     patterns AS MATERIALIZED (SELECT {names}, count(*) AS n FROM voted GROUP BY ALL),
-    e0 AS (SELECT {FIRST_PRIOR}::DOUBLE AS prior, {first}),{rounds}
+    e0 AS (SELECT {first}),{rounds}
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-           NOT base_failed AND 1 / (1 + exp(-({logit}))) >= 0.5 AS kept
-    FROM voted, e{ROUNDS}
+           NOT base_failed AND w_good / ({total}) >= 0.5 AS kept
+    FROM (SELECT voted.*, {all_weights} FROM voted, e{ROUNDS})
     """

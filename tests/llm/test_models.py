@@ -256,19 +256,26 @@ def test_counts_of_texts_beyond_the_packed_form(odd, monkeypatch):
     assert ordered(tuple(r)[:6] for r in quality_verdicts(odd).collect()) == ordered(want)
 
 
-def test_estimated_accuracies_follow_agreement():
+def test_estimated_faults_follow_agreement():
     rng = np.random.default_rng(5)
-    true, names = [0.95, 0.9, 0.85, 0.7, 0.6, 0.9, 0.8], list(RULES)
+    names = list(RULES)
+    shares = {"good": 0.7, "repeats": 0.15, "symbols": 0.1, "capitals": 0.05}
+    also = {("repeats", "variety"): 0.9, ("capitals", "repeats"): 0.6}  # what a fault shows to other rules
     patterns = Counter()
-    for _ in range(20_000):
-        good = rng.random() < 0.7
-        votes = [0 if rng.random() < 0.3 else (1 if (rng.random() < a) == good else -1) for a in true]
+    for kind in rng.choice(list(shares), 30_000, p=list(shares.values())):
+        votes = []
+        for rule in names:
+            fault = 0.003 if kind == "good" else 0.95 if kind == rule else also.get((kind, rule), 0.02)
+            votes.append(0 if rng.random() < 0.3 else -1 if rng.random() < fault else 1)
         patterns[tuple(votes)] += 1
-    accuracies, prior = estimate(patterns, rounds=100)
-    assert prior == pytest.approx(0.7, abs=0.05)
-    for name, a in zip(names, true, strict=True):
-        assert accuracies[name] == pytest.approx(a, abs=0.05)
-    assert estimate({})[0]["length"] == pytest.approx(0.8)
+    faults, priors = estimate(patterns, rounds=60)
+    for kind, share in shares.items():
+        assert priors[kind] == pytest.approx(share, abs=0.04)
+    for kind in ("repeats", "symbols", "capitals"):
+        assert faults[kind][kind] == pytest.approx(0.95, abs=0.06)
+        assert faults["good"][kind] < 0.01
+    assert faults["repeats"]["variety"] == pytest.approx(0.9, abs=0.06)
+    assert estimate({})[0]["good"]["length"] == pytest.approx(0.005)
 
 
 def test_keep_good_agrees_with_the_verdicts(spark):
