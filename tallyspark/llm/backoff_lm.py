@@ -29,7 +29,7 @@ class _Grams:
     END = np.uint64(0x2545F4914F6CDD1D)
 
     def __init__(self, texts: list[bytes], ids: list, order: int, fold: tuple[int, int]) -> None:
-        hashes, counts = WordHasher(3).many([t.lower() for t in texts])  # of bytes: A-Z alone
+        (hashes,), counts = WordHasher(3).many([t.lower() for t in texts])  # of bytes: A-Z alone
         ends = np.cumsum(counts)
         tokens = np.insert(hashes, ends, self.END)
         self.n_tokens = counts + 1

@@ -45,7 +45,7 @@ class LineReader:
                 codes, starts, _ = self.hasher.spans(data + b"\n")
                 counts = np.add.reduceat(self.classes[codes], offsets, axis=0, dtype=np.int64)
                 owner = np.searchsorted(offsets, starts, side="right") - 1
-                hashes = self.hasher.one(data)
+                hashes = self.hasher.one(data)[0]
                 own = out[a:b]
                 own[:, 1] += np.bincount(owner, minlength=b - a)
                 own[:, 2:7] += counts

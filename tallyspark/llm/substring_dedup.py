@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .bundles import answers, bundled, expand, expand_bits, shard_cuts, shrink, shrink_bits, unpack_texts, with_answers
-from .words import WordHasher, joined, mix
+from .words import WordHasher, distinct, joined, mix
 
 # Rows of the count-min sketch, and counters in a row per window of the corpus.
 DEPTH = 2
@@ -21,23 +21,42 @@ WIDTH = 4
 SHARD = 3_000_000
 
 
+# Bits of a counter's place by which a bundle looks it up.
+LOOKUP = 24
+
+
+def _low(cells: np.ndarray) -> np.ndarray:
+    return mix(cells) >> np.uint64(64 - LOOKUP)
+
+
+def _groups(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (key, check) stand together, and where each group starts."""
+    order = np.argsort(keys)
+    ordered, second = keys[order], check[order]
+    same = ordered[1:] == ordered[:-1]
+    if (second[1:] != second[:-1])[same].any():  # keys alike of windows that are not
+        order = np.lexsort((check, keys))
+        ordered, second = keys[order], check[order]
+        same = (ordered[1:] == ordered[:-1]) & (second[1:] == second[:-1])
+    new = np.ones(len(keys), bool)
+    new[1:] = ~same
+    return order, np.flatnonzero(new)
+
+
 class _Windows:
     """The windows of a bundle: hashes, and documents by position in the bundle."""
 
     def __init__(self, texts: list[bytes], length: int, width_bits: int, check: bool) -> None:
-        hashes, counts = WordHasher(1).many(texts)
-        self.counts, self.length, self.n_words = counts, length, len(hashes)
+        (first, *second), counts = WordHasher(*([1, 2] if check else [1])).many(texts)
+        self.counts, self.n_words = counts, len(first)
         ends = np.cumsum(counts)
-        document = np.repeat(np.arange(len(texts)), counts)
-        at = np.arange(max(0, len(hashes) - length + 1))
-        inside = at + length <= ends[document[at]] if len(at) else np.zeros(0, bool)
-        self.at = at[inside]  # place of the first word
-        self.document = document[self.at]
-        self.keys = joined(hashes, length)[inside]
-        self.check = None
-        if check:
-            second = joined(WordHasher(2).many(texts)[0], length)[inside]
-            self.check = (second >> np.uint64(32)).astype(np.uint32)
+        # A window starts at each word that has enough words of its document from there on.
+        starting = np.maximum(counts - length + 1, 0)
+        self.document = np.repeat(np.arange(len(texts)), starting)
+        self.at = np.arange(starting.sum()) + np.repeat(ends - counts - (np.cumsum(starting) - starting), starting)
+        self.keys = joined(first, length)[self.at]
+        # Every second hash is 32 bits of a function of its own.
+        self.check = (joined(second[0], length)[self.at] >> np.uint64(32)).astype(np.uint32) if check else None
         self.shift = np.uint64(64 - width_bits)
 
     def cells(self, row: int) -> np.ndarray:
@@ -51,12 +70,12 @@ def _sketch_batches(length: int, width_bits: int, shards: int):
             for bundle, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 windows = _Windows(unpack_texts(data), length, width_bits, False)
                 for row in range(DEPTH):
-                    cells, counts = np.unique(windows.cells(row), return_counts=True)
+                    cells, twice = distinct(windows.cells(row))
                     cuts = shard_cuts(cells, shards)
                     for s in range(shards):
                         a, b = cuts[s : s + 2]
                         if a < b:
-                            own = [row, s, bundle, shrink(cells[a:b] >> windows.shift, True), shrink_bits(counts[a:b] > 1)]
+                            own = [row, s, bundle, shrink(cells[a:b] >> windows.shift, True), shrink_bits(twice[a:b])]
                             yield pa.RecordBatch.from_pylist(
                                 [dict(zip(("table", "shard", "bundle", "cells", "many"), own, strict=True))], _SKETCH
                             )
@@ -97,10 +116,12 @@ class _Candidates:
         keep = np.ones(len(windows.keys), bool)
         for row in range(DEPTH):
             own = windows.cells(row)
-            cells, inverse = np.unique(own, return_inverse=True)
             marks = [expand_bits(flags[k]) for k in sorted(k for k in flags if k[0] == row)]
-            mark = np.concatenate(marks) if marks else np.zeros(len(cells), bool)
-            keep &= mark[inverse]
+            repeated = distinct(own)[0][np.concatenate(marks)] if marks else own[:0]
+            # Looked up by some of their bits: that lets a few more windows through, and none less.
+            table = np.zeros(1 << LOOKUP, bool)
+            table[_low(repeated)] = True
+            keep &= table[_low(own)]
         # A row without an id has no place in the order of ids: it neither removes nor is removed from.
         known = np.array([i is not None for i in ids], bool)
         owner = np.array([0 if i is None else i for i in ids], np.int64)
@@ -108,12 +129,11 @@ class _Candidates:
         self.at = windows.at[keep]
         self.owner = owner[windows.document[keep]]
         keys, check = windows.keys[keep], windows.check[keep]
-        order = np.lexsort((self.owner, check, keys))
-        keys, check = keys[order], check[order]
-        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])]) if len(keys) else order
-        self.keys, self.check, self.least = keys[first], check[first], self.owner[order][first]
+        order, starts = _groups(keys, check)
+        self.keys, self.check = keys[order][starts], check[order][starts]
+        self.least = np.minimum.reduceat(self.owner[order], starts) if len(starts) else self.owner[:0]
         self.group = np.empty(len(keys), np.int64)
-        self.group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+        self.group[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
 
 
 def _candidates(bundle: pa.Table, replies: pa.Table, length: int, width_bits: int) -> tuple[list, list[bytes], _Windows, _Candidates]:
@@ -151,8 +171,7 @@ def _group(table: pa.Table) -> pa.Table:
     flat = np.concatenate(keys)
     check = np.concatenate([expand(x) for x in table.column("check").to_pylist()])
     least = np.concatenate([expand(x) for x in table.column("least").to_pylist()]).view(np.int64)
-    order = np.lexsort((check, flat))
-    starts = np.flatnonzero(np.r_[True, (np.diff(flat[order]) != 0) | (np.diff(check[order]) != 0)])
+    order, starts = _groups(flat, check)
     smallest = np.repeat(np.minimum.reduceat(least[order], starts), np.diff(np.r_[starts, len(flat)]))
     smaller = np.empty(len(flat), bool)
     smaller[order] = smallest < least[order]
@@ -177,10 +196,9 @@ def _remove(length: int, width_bits: int, with_text: bool):
             marks = [expand_bits(found.flags[k]) for k in sorted(k for k in found.flags if k[0] == DEPTH)]
             elsewhere = np.concatenate(marks) if marks else np.zeros(len(found.keys), bool)
             gone = elsewhere[found.group] | (found.owner > found.least[found.group])
-            cover = np.zeros(windows.n_words + 1, np.int64)
-            np.add.at(cover, found.at[gone], 1)
-            np.add.at(cover, found.at[gone] + length, -1)
-            stays = np.cumsum(cover[:-1]) == 0
+            cover = np.bincount(found.at[gone], minlength=windows.n_words + 1)
+            cover[length:] -= cover[: max(0, len(cover) - length)].copy()
+            stays = np.cumsum(cover[: windows.n_words]) == 0
             n_words = windows.counts.tolist()
             starts = np.cumsum(windows.counts) - windows.counts
             for text, start, n in zip(texts, starts.tolist(), n_words, strict=True):
