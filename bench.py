@@ -11,6 +11,7 @@ import io
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -68,7 +69,8 @@ def main() -> None:
         from tallyspark.catalog import REGISTRY
         from tallyspark.session import local_session
 
-        spark = local_session(cores, "bench", int(cores))
+        shared = tempfile.TemporaryDirectory(prefix="bench-", ignore_cleanup_errors=True)
+        spark = local_session(cores, "bench", int(cores), shared.name)
         spark.sparkContext.setLogLevel("ERROR")
         REGISTRY["kpi_totals"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times: dict[str, float] = {}
@@ -80,6 +82,7 @@ def main() -> None:
                 best = min(best, time.perf_counter() - start)
             times[name] = round(best, 3)
         spark.stop()
+        shared.cleanup()
     print(
         json.dumps(
             {

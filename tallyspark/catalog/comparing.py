@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.normal import HART_DENOMINATOR, HART_NUMERATOR, HART_SWITCH, Z_975
-from ..model import Filters, Lookup
+from ..functions.normal import FRACTION_TERMS, HART_DENOMINATOR, HART_NUMERATOR, HART_SWITCH, SQRT_2_PI, Z_975, norm_cdf
+from ..model import Filters, Lookup, SemanticModel, sql_volume, volume
 from ..operators import joins, shape
 from ..operators import significance as tests
 from ..operators.aggregates import grouped
@@ -115,6 +115,15 @@ def column_combinations(spark, sf_dir):
     return joins.column_combinations(shop_wide(spark, sf_dir), SHOP, ["segment", "region", "event_type"])
 
 
+@query(
+    "observed_combinations",
+    f"""WITH {EV} SELECT DISTINCT segment, region, event_type, segment || ' - ' || region || ' - ' || event_type AS label
+        FROM ev""",
+)
+def observed_combinations(spark, sf_dir):
+    return joins.observed_combinations(shop_wide(spark, sf_dir), SHOP, ["segment", "region", "event_type"])
+
+
 def _wide_sql(metrics: tuple[str, ...], values: tuple[str, ...] = SEGMENT_VALUES) -> str:
     return ", ".join(
         f"max(CASE WHEN segment = '{v}' THEN {m} END) AS \"{v}__{m}\"" for m in metrics for v in values
@@ -166,6 +175,50 @@ def compare_top_rows(spark, sf_dir):
     return rounded(compared)
 
 
+_FREE = SemanticModel(
+    metrics=(
+        sql_volume("buyers_per_value", "count(DISTINCT {user_id}) / sum({value})"),
+        volume("users", "count_distinct", "{user_id}"),
+        volume("mean_value", "avg", "{value}"),
+    ),
+    dimensions=SHOP.dimensions,
+)
+_FREE_METRICS = ("buyers_per_value", "users", "mean_value")
+_FREE_SQL = """count(DISTINCT user_id) / sum(value) AS buyers_per_value, count(DISTINCT user_id) AS users,
+               avg(value) AS mean_value"""
+
+
+@query(
+    "compare_free_metrics",
+    f"""WITH {EV}, r AS (SELECT search_term, segment, {_FREE_SQL} FROM ev GROUP BY ALL),
+        w AS (SELECT search_term, {_wide_sql(_FREE_METRICS)} FROM r GROUP BY 1)
+        SELECT search_term, {", ".join(f'round("{v}__{m}", 6) AS "{v}__{m}"' if m != "users" else f'"{v}__{m}"'
+                                       for m in _FREE_METRICS for v in SEGMENT_VALUES)},
+               {_differences_sql(_FREE_METRICS)} FROM w""",
+)
+def compare_free_metrics(spark, sf_dir):
+    """Any aggregate expression, an average and distinct counts per compared column."""
+    compared = joins.compare_columns(shop_wide(spark, sf_dir), _FREE, ["search_term"], SEGMENTS, list(_FREE_METRICS))
+    return rounded(compared)
+
+
+@query(
+    "compare_rows",
+    f"""WITH {EV}, g AS (
+            SELECT search_term, segment, {volumes_sql("queries", "queries_pdp", "gross_purchase")} FROM ev GROUP BY ALL),
+        r AS (SELECT *, queries_pdp / nullif(queries, 0) AS ctr FROM g),
+        c AS (SELECT search_term, {", ".join(f"{m} AS c_{m}" for m in _COMPARED)} FROM r WHERE segment = '{SEGMENT_VALUES[0]}')
+        SELECT search_term, segment, {", ".join(
+            f"round({m}, 6) AS {m}, round(coalesce({m}, 0) - coalesce(c_{m}, 0), 6) AS {m}_diff, "
+            f"round(CASE WHEN coalesce(c_{m}, 0) <> 0 THEN (coalesce({m}, 0) / c_{m} - 1) * 100 END, 6) AS {m}_pct_diff"
+            for m in _COMPARED)}
+        FROM r LEFT JOIN c USING (search_term)""",
+)
+def compare_rows(spark, sf_dir):
+    compared = joins.compare_rows(shop_wide(spark, sf_dir), SHOP, ["search_term"], SEGMENTS, list(_COMPARED))
+    return rounded(compared)
+
+
 @query(
     "joined_dimension_values",
     "SELECT DISTINCT n_name AS value FROM nation WHERE contains(lower(n_name), 'n_1') ORDER BY 1 LIMIT 8",
@@ -287,9 +340,14 @@ def _horner_sql(coefficients: tuple[float, ...], x: str) -> str:
 
 def _cdf_sql(z: str) -> str:
     """The normal integral in SQL."""
-    x = f"least(abs({z}), {HART_SWITCH!r})"
-    tail = f"exp(-{x} * {x} / 2) * {_horner_sql(HART_NUMERATOR, x)} / {_horner_sql(HART_DENOMINATOR, x)}"
-    tail = f"(CASE WHEN abs({z}) >= {HART_SWITCH!r} THEN 0 ELSE {tail} END)"
+    x = f"abs({z})"
+    near = f"exp(-{x} * {x} / 2) * {_horner_sql(HART_NUMERATOR, x)} / {_horner_sql(HART_DENOMINATOR, x)}"
+    fraction = x
+    for k in range(FRACTION_TERMS, 0, -1):
+        fraction = f"({x} + {k}::DOUBLE / {fraction})"
+    # The fraction only in range: DuckDB evaluates both branches.
+    far = f"exp(-{x} * {x} / 2) / ({SQRT_2_PI!r} * greatest({fraction.replace(x, f'greatest({x}, 1.0)')}, 1.0))"
+    tail = f"(CASE WHEN {x} < {HART_SWITCH!r} THEN {near} ELSE {far} END)"
     return f"(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
@@ -424,12 +482,6 @@ def metric_direction(spark, sf_dir):
     return tests.metric_direction(types.select(F.concat("query_type", F.lit("_rate")).alias("metric"), "n"))
 
 
-@query("daily_bayes_test")
-def daily_bayes_test(spark, sf_dir):
-    metrics = ["queries", "gross_purchase", "conversion_rate"]
-    return rounded(tests.daily_bayes_test(shop_wide(spark, sf_dir), SHOP, CONTROL, TREATMENTS, metrics))
-
-
 _DAILY_METRICS = ("queries", "gross_purchase", "conversion_rate")
 
 
@@ -461,3 +513,38 @@ def daily_statistics(spark, sf_dir):
     return rounded(
         tests.daily_statistics(shop_wide(spark, sf_dir), SHOP, CONTROL, TREATMENTS, list(_DAILY_METRICS))
     )
+
+
+@query(
+    "daily_bayes_test",
+    f"""SELECT metric_id, segment, control_avg AS control_mean, treatment_avg AS treatment_mean,
+               round(treatment_avg - control_avg, 5) AS mean_difference, least(control_n, treatment_n) AS n_days,
+               true AS probability_agrees, true AS interval_agrees FROM ({_daily_sql()})""",
+)
+def daily_bayes_test(spark, sf_dir):
+    """The test's means and days, and whether its draws agree with the posterior in closed form.
+
+    With thirty days that is a normal distribution; fewer days have wider tails, for which more room is given.
+    """
+    args = (shop_wide(spark, sf_dir), SHOP, CONTROL, TREATMENTS, list(_DAILY_METRICS))
+    stats = durable(tests.daily_statistics(*args))
+    drawn = tests.daily_bayes_test(*args).join(stats, ["metric_id", "segment"])
+    variance = [F.pow(F.col(f"{s}_std"), 2) / F.col(f"{s}_n") for s in ("control", "treatment")]
+    error = F.sqrt(variance[0] + variance[1])
+    exact = norm_cdf(F.col("mean_difference") / error)
+    exact = F.when(F.col("better_high"), exact).otherwise(1 - exact)
+    few = F.col("n_days") < 30
+    near = F.abs(F.col("prob_beat_control") - exact) <= F.when(few, 0.05).otherwise(0.02)
+    room = F.when(few, 1.0).otherwise(0.15) * error
+    ends = [("credible_interval_lower", -Z_975), ("credible_interval_upper", Z_975)]
+    inside = [F.abs(F.col(c) - F.col("mean_difference") - z * error) <= room for c, z in ends]
+    return drawn.select(
+        "metric_id",
+        "segment",
+        F.round("control_mean", 6).alias("control_mean"),
+        F.round("treatment_mean", 6).alias("treatment_mean"),
+        F.round(F.round("treatment_mean", 6) - F.round("control_mean", 6), 5).alias("mean_difference"),
+        "n_days",
+        near.alias("probability_agrees"),
+        (inside[0] & inside[1]).alias("interval_agrees"),
+    )

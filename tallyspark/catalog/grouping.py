@@ -178,9 +178,9 @@ def dimension_values_by_metric(spark, sf_dir):
 
 
 def _options_sql(dimension: str) -> str:
-    return f"""SELECT dimension, value, CAST(row_number() OVER (ORDER BY value) AS INTEGER) AS position FROM
-               (SELECT DISTINCT '{dimension}' AS dimension, CAST({dimension} AS VARCHAR) AS value FROM ev)
-               QUALIFY position <= 25"""
+    return f"""SELECT '{dimension}' AS dimension, coalesce(CAST(v AS VARCHAR), '__NULL__') AS value,
+                      CAST(row_number() OVER (ORDER BY v NULLS FIRST) AS INTEGER) AS position
+               FROM (SELECT DISTINCT {dimension} AS v FROM ev) QUALIFY position <= 25"""
 
 
 @query(
@@ -200,9 +200,17 @@ def group_count(spark, sf_dir):
     return ops.group_count(shop(spark, sf_dir), SHOP, ["search_term", "user_id"])
 
 
-@query("group_count_approx")
+@query(
+    "group_count_approx",
+    f"""WITH {EV} SELECT count(*) AS total_count, true AS is_close
+        FROM (SELECT DISTINCT search_term, user_id FROM ev)""",
+)
 def group_count_approx(spark, sf_dir):
-    return ops.group_count_approx(shop(spark, sf_dir), SHOP, ["search_term", "user_id"])
+    """The exact count, and whether the sketch is within five percent of it."""
+    names = ["search_term", "user_id"]
+    estimate = ops.group_count_approx(shop(spark, sf_dir), SHOP, names).scalar()
+    exact = ops.group_count(shop(spark, sf_dir), SHOP, names)
+    return exact.withColumn("is_close", F.abs(estimate - F.col("total_count")) <= 0.05 * F.col("total_count"))
 
 
 @query(

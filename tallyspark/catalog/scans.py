@@ -62,28 +62,43 @@ def conform_join_key(spark, sf_dir):
     return conform(suppliers, "join_key", "bigint")
 
 
-def _profile_sql(column: str, kind: str, role: str, filterable: str) -> str:
+def _profile_sql(column: str, kind: str, role: str, filterable: str, unique: str = "") -> str:
+    unique = unique or f"count(DISTINCT {column}) AS unique_count"
     return f"""SELECT '{column}' AS "column", '{kind}' AS inferred_type, '{role}' AS role,
                       {filterable} AS is_filterable, count(*) - count({column}) AS null_count,
-                      count(DISTINCT {column}) AS unique_count,
+                      {unique},
                       (SELECT string_agg(v, ';' ORDER BY v) FROM
                         (SELECT DISTINCT CAST({column} AS VARCHAR) AS v FROM customer
                          WHERE {column} IS NOT NULL ORDER BY v LIMIT 5)) AS samples
                FROM customer"""
 
 
+_CUSTOMER_COLUMNS = (
+    ("c_custkey", "INTEGER", "dimension", "true"),
+    ("c_name", "STRING", "dimension", "true"),
+    ("c_nationkey", "INTEGER", "dimension", "true"),
+    ("c_acctbal", "FLOAT", "dimension", "true"),
+    ("c_mktsegment", "STRING", "dimension", "true"),
+)
+
+
 @query(
-    "column_profile",
-    " UNION ALL ".join(
-        [
-            _profile_sql("c_custkey", "INTEGER", "dimension", "true"),
-            _profile_sql("c_name", "STRING", "dimension", "true"),
-            _profile_sql("c_nationkey", "INTEGER", "dimension", "true"),
-            _profile_sql("c_acctbal", "FLOAT", "dimension", "true"),
-            _profile_sql("c_mktsegment", "STRING", "dimension", "true"),
-        ]
-    ),
+    "column_profile_sketched",
+    " UNION ALL ".join(_profile_sql(*c, unique="true AS unique_is_close") for c in _CUSTOMER_COLUMNS),
 )
+def column_profile_sketched(spark, sf_dir):
+    """The default profile; its distinct counts are held against the exact ones."""
+    customers = table(spark, sf_dir, "customer")
+    exact = profile_columns(customers, exact=True).select("column", F.col("unique_count").alias("_exact"))
+    profile = profile_columns(customers).join(exact, "column")
+    close = F.abs(F.col("unique_count") - F.col("_exact")) <= 0.1 * F.col("_exact")
+    samples = F.array_join("sample_values", ";").alias("samples")
+    return profile.select(
+        "column", "inferred_type", "role", "is_filterable", "null_count", close.alias("unique_is_close"), samples
+    )
+
+
+@query("column_profile", " UNION ALL ".join(_profile_sql(*c) for c in _CUSTOMER_COLUMNS))
 def column_profile(spark, sf_dir):
     profile = profile_columns(table(spark, sf_dir, "customer"), exact=True)
     return profile.withColumn("samples", F.array_join("sample_values", ";")).drop("sample_values")

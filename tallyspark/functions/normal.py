@@ -29,6 +29,9 @@ HART_DENOMINATOR = (
     440.413735824752,
 )
 HART_SWITCH = 7.07106781186547
+# Terms of the continued fraction beyond the switch; enough for double precision there.
+FRACTION_TERMS = 20
+SQRT_2_PI = 2.5066282746310002
 # Fixed value: 97.5 % point of the standard normal.
 Z_975 = 1.959963984540054
 
@@ -37,11 +40,17 @@ def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
+def _fraction(x: Column) -> Column:
+    """Laplace's continued fraction of the tail over the density, from its far end."""
+    return reduce(lambda rest, k: x + F.lit(float(k)) / rest, range(FRACTION_TERMS, 0, -1), x)
+
+
 def normal_tail(z: Column) -> Column:
-    """P(Z > |z|). Beyond 7.07 it is below 1e-12 and taken as 0."""
-    x = F.least(F.abs(z), F.lit(HART_SWITCH))
-    tail = F.exp(-x * x / 2) * _horner(HART_NUMERATOR, x) / _horner(HART_DENOMINATOR, x)
-    return F.when(F.abs(z) >= HART_SWITCH, F.lit(0.0)).otherwise(tail)
+    """P(Z > |z|), by a rational approximation near zero and a continued fraction far out."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2)
+    near = density * _horner(HART_NUMERATOR, x) / _horner(HART_DENOMINATOR, x)
+    return F.when(x < HART_SWITCH, near).otherwise(density / (F.lit(SQRT_2_PI) * _fraction(x)))
 
 
 def norm_cdf(z: Column) -> Column:

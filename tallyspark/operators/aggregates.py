@@ -139,7 +139,7 @@ def pivot(
     if limit is not None and dimensions:
         rows = page(rows, sort, dimensions, limit, offset, ascending)
     if scope == "page" and wanted_volumes:
-        rows = pct_of_total(rows, wanted_volumes)
+        rows = pct_of_total(rows, wanted_volumes, is_page=limit is not None and bool(dimensions))
     rows = with_label(rows, dimensions)
     shares = [f"{v}_pct" for v in wanted_volumes] + (["percentage_of_total"] if wanted_volumes else [])
     return rows.select(*dimensions, "label", *shown, *shares)
@@ -245,17 +245,25 @@ def filter_options(
     filters: Filters | None = None,
     limit: int = 100,
 ) -> DataFrame:
-    """The first values of every dimension in one pass over the data.
+    """The first values of every dimension in their natural order, as ``dimension_values`` has them.
 
-    Each map task keeps at most ``limit`` values per dimension before the shuffle (Spark's window
-    group limit), so a dimension with billions of values never meets in one task.
+    One pass over the data: a row per dimension, in which only that dimension's own column is filled, so values
+    keep their types until they are ordered. Each map task keeps at most ``limit`` values per dimension before
+    the shuffle (Spark's window group limit), so a dimension with billions of values never meets in one task.
     """
     rows = apply_filters(df, model, filters, dimensions)
-    long = rows.select(*[label_value(d).alias(d) for d in dimensions]).unpivot(
-        [], list(dimensions), "dimension", "value"
-    )
-    rank = F.row_number().over(Window.partitionBy("dimension").orderBy("value"))
-    return long.distinct().withColumn("position", rank).filter(F.col("position") <= limit)
+    typed = {d: rows.schema[d].dataType for d in dimensions}
+
+    def entry(d: str) -> Column:
+        cells = [(F.col(d) if o == d else F.lit(None).cast(t)).alias(f"_{i}") for i, (o, t) in enumerate(typed.items())]
+        return F.struct(F.lit(d).alias("dimension"), *cells)
+
+    long = rows.select(F.inline(F.array(*[entry(d) for d in dimensions])))
+    cells = [f"_{i}" for i in range(len(dimensions))]
+    order = Window.partitionBy("dimension").orderBy(*[F.col(c).asc_nulls_first() for c in cells])
+    first = long.distinct().withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    own = F.coalesce(*[F.when(F.col("dimension") == d, label_value(c)) for d, c in zip(dimensions, cells, strict=True)])
+    return first.select("dimension", own.alias("value"), "position")
 
 
 def group_count(
@@ -342,97 +350,101 @@ def segment_plan(
     return all_of(dimension_conditions(df, shared)), conditions
 
 
-def segment_totals(
+SEGMENT = "_segment"
+ROWS = "rows"
+
+
+def segment_rows(
     df: DataFrame,
     model: SemanticModel,
-    segments: Sequence,
+    segments: Sequence[Segment],
     metrics: Sequence[str],
     filters: Filters | None = None,
     by: Sequence[str] = (),
     stored: bool = False,
-    presence: bool = True,
 ) -> DataFrame:
-    """Volumes of many, possibly overlapping segments in one pass: ``<label>__<metric>`` columns.
+    """One row per (``by``, segment) that has fact rows: ``_segment`` (its position), ``rows`` and all metrics.
 
-    ``by`` adds row dimensions; a row's own value then replaces what a segment or the base filter
-    says about that dimension. With ``presence``, ``<label>__rows`` counts the fact rows behind a
-    cell, so an absent cell can be told from a zero.
+    Each fact row is mapped to the segments it is in, mostly one, and takes part in plain aggregates by
+    segment, whatever they are: the plan has the same size for any number of segments, and there is no
+    limit to them. ``by`` adds row dimensions; a row's own value then replaces what a segment or
+    the base filter says about that dimension.
     """
     filters = (filters or Filters()).without(by)
     segments = [type(s)(s.label, {d: v for d, v in s.dimensions.items() if d not in by}) for s in segments]
     names = [*by, *filters.dimensions, *[d for s in segments for d in s.dimensions]]
     rows = apply_filters(df, model, filters.without(filters.dimensions), names)
     shared, conditions = segment_plan(rows, filters.dimensions, segments)
-    anywhere = conditions[0]
-    for c in conditions[1:]:
-        anywhere = anywhere | c
-    rows = rows.filter(shared).filter(anywhere)
-    volumes = model.required_volumes(metrics)
-    cells = list(zip(segments, conditions, strict=True))
-    if not stored and len(cells) > 1 and _one_distinct_input(volumes):
-        return _distinct_cells(rows, by, cells, volumes, presence)
-    columns = []
-    for segment, condition in cells:
-        if presence:
-            columns.append(F.count_if(condition).alias(f"{segment.label}__rows"))
-        for m in volumes:
-            cell = m.merge(condition) if stored else m.aggregate(condition)
-            columns.append(cell.alias(f"{segment.label}__{m.id}"))
-    return rows.groupBy(*by).agg(*columns) if by else rows.agg(*columns)
+    rows = rows.filter(shared).filter(_anywhere(rows, filters, segments))
+    member = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
+    rows = rows.withColumn(SEGMENT, F.explode(member))
+    result = rows.groupBy(*by, SEGMENT).agg(F.count(F.lit(1)).alias(ROWS), *volume_metrics(model, metrics, stored))
+    return derived_metrics(result, derivations(model, metrics))
+
+
+def _anywhere(rows: DataFrame, filters: Filters, segments: Sequence[Segment]) -> Column:
+    """What a row in any segment meets, one value list per dimension that all of them restrict, for the scan."""
+    listed: dict[str, list[str]] = {}
+    for d in {d for s in segments for d in s.dimensions}:
+        values = [s.dimensions.get(d) or filters.dimensions.get(d) for s in segments]
+        if all(values):
+            listed[d] = list(dict.fromkeys(v for own in values for v in own))
+    return all_of(dimension_conditions(rows, listed))
 
 
-def _one_distinct_input(volumes: Sequence[Metric]) -> bool:
-    """Do all exact distinct counts look at one expression, beside metrics that can be summed up?"""
-    inputs = {m.expr for m in volumes if m.agg == "count_distinct"}
-    return len(inputs) == 1 and all(m.agg in ("count_distinct", "sum", "count", "min", "max") for m in volumes)
+def quoted(name: str) -> str:
+    """A column's name in SQL."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _distinct_cells(
-    rows: DataFrame,
-    by: Sequence[str],
-    cells: Sequence[tuple[Segment, Column]],
-    volumes: Sequence[Metric],
-    presence: bool,
+def in_columns(
+    long: DataFrame, segments: Sequence[Segment], names: Sequence[str], by: Sequence[str], zeros: Sequence[str] = ()
+) -> DataFrame:
+    """Lay rows by segment out as ``<label>__<name>`` columns; absent cells are NULL, or 0 for ``zeros``."""
+    cells = []  # as SQL: a wide layout has thousands of cells, and each call of a function takes its time
+    for i, segment in enumerate(segments):
+        for name in names:
+            cell = f"max(CASE WHEN {SEGMENT} = {i} THEN {quoted(name)} END)"
+            cell = f"coalesce({cell}, 0)" if name in zeros else cell
+            cells.append(F.expr(f"{cell} AS {quoted(f'{segment.label}__{name}')}"))
+    return long.groupBy(*by).agg(*cells) if by else long.agg(*cells)
+
+
+def segment_totals(
+    df: DataFrame,
+    model: SemanticModel,
+    segments: Sequence[Segment],
+    metrics: Sequence[str],
+    filters: Filters | None = None,
+    by: Sequence[str] = (),
+    stored: bool = False,
+    presence: bool = True,
 ) -> DataFrame:
-    """Segment cells with distinct counts, in two steps: per distinct value, then per row.
+    """Volumes of many, possibly overlapping segments in one pass: ``<label>__<metric>`` columns.
 
-    Counting ``distinct CASE WHEN ...`` per segment would copy every fact row once per segment. Here a
-    value is grouped once and remembers in which segments it occurred.
+    With ``presence``, ``<label>__rows`` counts the fact rows behind a cell, so an absent cell can be told from a
+    zero. ``by`` is as in ``segment_rows``.
     """
-    counted = next(m for m in volumes if m.agg == "count_distinct")
-    others = [m for m in volumes if m.agg != "count_distinct"]
-    first, second = [], []
-    for i, (segment, condition) in enumerate(cells):
-        seen = F.count_if(condition).alias(f"_seen_{i}")
-        first += [seen, *[m.aggregate(condition).alias(f"_{i}_{m.id}") for m in others]]
-        here = F.col(f"_seen_{i}")
-        if presence:
-            second.append(F.coalesce(F.sum(here), F.lit(0)).alias(f"{segment.label}__rows"))
-        for m in volumes:
-            if m.agg == "count_distinct":
-                cell = F.count_if(F.col("_value").isNotNull() & (here > 0))
-            elif m.agg == "count":
-                cell = F.coalesce(F.sum(f"_{i}_{m.id}"), F.lit(0))
-            else:
-                cell = {"sum": F.sum, "min": F.min, "max": F.max}[m.agg](f"_{i}_{m.id}")
-            second.append(cell.alias(f"{segment.label}__{m.id}"))
-    value = F.expr(fill_placeholders(counted.expr)).alias("_value")
-    per_value = rows.groupBy(*by, value).agg(*first)
-    return per_value.groupBy(*by).agg(*second) if by else per_value.agg(*second)
-
-
-def derive_cells(
-    wide: DataFrame, model: SemanticModel, segments: Sequence, metrics: Sequence[str]
+    volumes = model.required_volumes(metrics)
+    long = segment_rows(df, model, segments, [m.id for m in volumes], filters, by, stored)
+    counts = [m.id for m in volumes if not stored and (m.agg == "count" or m.is_distinct)]
+    names = [*([ROWS] if presence else []), *[m.id for m in volumes]]
+    return in_columns(long, segments, names, by, [ROWS, *counts])
+
+
+def segment_metrics(
+    df: DataFrame,
+    model: SemanticModel,
+    segments: Sequence[Segment],
+    metrics: Sequence[str],
+    filters: Filters | None = None,
+    by: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
-    """Add each compared column's derived metrics, ``<label>__<metric>``, from its own volumes."""
-    wanted = derivations(model, metrics)
-    volumes = [m.id for m in model.required_volumes(metrics)]
-    for s in segments if wanted else ():
-        cell = wide.withColumns({v: F.col(f"`{s.label}__{v}`") for v in volumes})
-        cell = derived_metrics(cell, wanted)
-        added = {m.id: f"{s.label}__{m.id}" for m in wanted if m.id in cell.columns}
-        wide = cell.withColumnsRenamed(added).drop(*volumes)
-    return wide
+    """Like ``segment_totals`` for the metrics themselves, derived ones too; a cell without rows is NULL throughout."""
+    long = segment_rows(df, model, segments, metrics, filters, by, stored)
+    names = [m for m in dict.fromkeys(metrics) if m in long.columns]
+    return in_columns(long, segments, [ROWS, *names], by, [ROWS])
 
 
 def observed_days(
@@ -543,7 +555,7 @@ __all__ = [
     "breakdown",
     "cardinality_ranking",
     "derivations",
-    "derive_cells",
+    "in_columns",
     "dimension_values",
     "dimension_values_by_metric",
     "filter_options",
@@ -561,6 +573,8 @@ __all__ = [
     "reaggregate_metrics",
     "requested_days",
     "rollup_totals",
+    "segment_metrics",
+    "segment_rows",
     "segment_totals",
     "top_terms",
     "total_row",

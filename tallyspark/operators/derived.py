@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Metric, ratio
@@ -91,12 +91,22 @@ def share_of(value: Column, total: Column) -> Column:
     return F.when(total > 0, F.coalesce(value, F.lit(0)) / total * 100).otherwise(0.0)
 
 
-def pct_of_total(df: DataFrame, metrics: Sequence[str], digits: int = 2) -> DataFrame:
-    """Add ``<metric>_pct`` per metric, and ``percentage_of_total`` from the first positive total."""
+def page_totals(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """``with_totals`` for the rows of a page, which a limit has put into one task already: a window, no second plan."""
+    whole = Window.partitionBy()
+    return df.withColumn(TOTALS, F.struct(*[F.sum(F.col(f"`{m}`")).over(whole).alias(m) for m in metrics]))
+
+
+def pct_of_total(df: DataFrame, metrics: Sequence[str], digits: int = 2, is_page: bool = False) -> DataFrame:
+    """Add ``<metric>_pct`` per metric, and ``percentage_of_total`` from the first positive total.
+
+    ``is_page`` says that the rows are few, as after a limit.
+    """
     totals = F.col(TOTALS)
     shares = {f"{m}_pct": F.round(share_of(F.col(m), totals[m]), digits) for m in metrics}
     first = F.coalesce(*[F.when(totals[m] > 0, share_of(F.col(m), totals[m])) for m in metrics], F.lit(0.0))
-    return with_totals(df, metrics).withColumns({**shares, "percentage_of_total": first}).drop(TOTALS)
+    rows = page_totals(df, metrics) if is_page else with_totals(df, metrics)
+    return rows.withColumns({**shares, "percentage_of_total": first}).drop(TOTALS)
 
 
 def cumulative_share(

@@ -15,6 +15,7 @@ from ..functions.dates import as_date, preset_bounds
 from ..functions.scalars import dimension_label
 from ..model import (
     EMPTY_MARKER,
+    LABEL_SEPARATOR,
     NULL_MARKER,
     Dimension,
     Filters,
@@ -23,10 +24,6 @@ from ..model import (
 )
 
 
-# A side with at most this many rows, by limit or by the caller's list, may be broadcast.
-BROADCAST_ROWS = 10_000
-
-
 def date_bounds(filters: Filters) -> tuple[Column | None, Column | None]:
     """First and last requested day; a preset is resolved before anything else looks at the range."""
     if filters.preset:
@@ -119,6 +116,28 @@ def semi_join(df: DataFrame, keys: DataFrame, names: Sequence[str], distinct: bo
     return df.join(other, null_safe(df, other, [(n, f"_key_{n}") for n in names]), "left_semi")
 
 
+# Types whose values are written in one way only, so a part of a label can be looked up in the column.
+_LABELLED = (T.StringType, T.IntegralType, T.DateType, T.BooleanType)
+
+
+def _label_parts(df: DataFrame, dimensions: Sequence[str], labels: Sequence[str]) -> dict[str, list[str]]:
+    """Per dimension the values that any reading of the labels gives it: plain IN lists, which a scan can use.
+
+    A value may hold the separator itself, so a dimension can be any run of parts that leaves one for each other.
+    """
+    parts: dict[str, set[str]] = {d: set() for d in dimensions if isinstance(df.schema[d].dataType, _LABELLED)}
+    for label in labels:
+        cut = label.split(LABEL_SEPARATOR)
+        spare = len(cut) - len(dimensions)
+        if spare < 0:
+            continue  # no row has this label
+        for i, d in enumerate(dimensions):
+            if d in parts:
+                runs = ((a, b) for a in range(i, i + spare + 1) for b in range(a + 1, i + spare + 2))
+                parts[d].update(LABEL_SEPARATOR.join(cut[a:b]) for a, b in runs)
+    return {d: sorted(v) for d, v in parts.items()}
+
+
 def filter_dimension_tuples(
     df: DataFrame, dimensions: Sequence[str], values: Sequence[str] | Sequence[Sequence] | DataFrame
 ) -> DataFrame:
@@ -134,6 +153,7 @@ def filter_dimension_tuples(
         flat = [v[0] if isinstance(v, (tuple, list)) else v for v in values]
         return filter_dimensions(df, {dimensions[0]: [NULL_MARKER if v is None else str(v) for v in flat]})
     if all(isinstance(v, str) for v in values):
+        df = filter_dimensions(df, _label_parts(df, dimensions, values))
         return df.filter(dimension_label(dimensions).isin(list(values)))
     schema = T.StructType([T.StructField(d, T.StringType()) for d in dimensions])
     rows = [tuple(None if p is None or p == NULL_MARKER else str(p) for p in v) for v in values]
@@ -142,9 +162,8 @@ def filter_dimension_tuples(
     # Each column alone is a plain IN list, which the scan can use; the tuples decide the rest.
     listed = {d: [NULL_MARKER if r[i] is None else r[i] for r in rows] for i, d in enumerate(dimensions)}
     df = filter_dimensions(df, {d: sorted(set(v)) for d, v in listed.items()})
-    # The list came through the driver; up to this length a copy per executor is small.
-    small = len(rows) <= BROADCAST_ROWS
-    return semi_join(df, F.broadcast(typed) if small else typed, dimensions, distinct=not small)
+    # A local list has a known size, so Catalyst itself broadcasts it while it is small.
+    return semi_join(df, typed, dimensions)
 
 
 def with_calculated_dimensions(df: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:

@@ -1,8 +1,7 @@
 """Enrichment from lookups, date differences, and column-against-column comparison.
 
-No join is forced to broadcast by size guess: lookups are left to adaptive execution, which
-broadcasts a side once its measured size is below the threshold and otherwise sort-merges, with
-skewed partitions split. The only hinted broadcasts are rows limited by construction.
+No join is forced to broadcast: lookups are left to Catalyst and adaptive execution, which
+broadcast a side whose size is below the threshold and otherwise sort-merge, with skewed partitions split.
 """
 
 from __future__ import annotations
@@ -15,11 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import label_value
 from ..model import LABEL_SEPARATOR, Filters, Lookup, Segment, SemanticModel
-from .aggregates import derive_cells, ordering, segment_totals
-from .filters import BROADCAST_ROWS, apply_filters, null_safe, search_values
-
-# Most columns a comparison may be laid out in. More is an error, never a silent cut.
-MAX_COLUMNS = 1_000
+from .aggregates import SEGMENT, in_columns, ordering, quoted, segment_metrics, segment_rows
+from .filters import apply_filters, null_safe, search_values
 
 _KEY = "_lookup_key"
 
@@ -118,33 +114,28 @@ def match_primary_rows(
     """Restrict ``df`` to the row keys of the primary column's top rows, NULL matching NULL."""
     top = primary.orderBy(*ordering(primary, metric, dimensions)).limit(limit)
     keys = top.select(*[F.col(d).alias(f"_key_{d}") for d in dimensions])
-    if limit <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
     return df.join(keys, null_safe(df, keys, [(d, f"_key_{d}") for d in dimensions]), "left_semi")
 
 
-def column_values(df: DataFrame, dimension: str, limit: int = MAX_COLUMNS) -> list[str]:
+def column_values(df: DataFrame, dimension: str, limit: int | None = None) -> list[str]:
     """The values of a column dimension as a list, needed before a wide result can be planned.
 
-    Fetches at most ``limit`` + 1 values and fails when there are more.
+    A ``limit`` on the columns of a layout is the caller's; more values are an error then, never a cut.
     """
-    values = df.select(label_value(dimension).alias("v")).distinct().orderBy("v").limit(limit + 1).collect()
-    if len(values) > limit:
+    found = df.select(label_value(dimension).alias("v")).distinct().orderBy("v")
+    values = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(values) > limit:
         raise ValueError(f"{dimension!r} has more than {limit} values and cannot be laid out as columns")
     return [r.v for r in values]
 
 
 def column_combinations(
-    df: DataFrame,
-    model: SemanticModel,
-    dimensions: Sequence[str],
-    filters: Filters | None = None,
-    limit: int = MAX_COLUMNS,
+    df: DataFrame, model: SemanticModel, dimensions: Sequence[str], filters: Filters | None = None
 ) -> DataFrame:
     """Every combination of the distinct values of the column dimensions.
 
-    The values are gathered into one array per dimension, each at most ``limit`` long (more fails
-    the job), and the combinations come from exploding the arrays one after the other.
+    The distinct values of each dimension are joined one dimension after the other. The result is what is asked for and
+    as long as their product; it is spread over the tasks of the longest dimension, with the others as lists.
     """
     rows = apply_filters(df, model, filters, dimensions)
     values = (
@@ -152,22 +143,25 @@ def column_combinations(
         .unpivot([], list(dimensions), "dimension", "value")
         .distinct()
     )
-    # collect_set is fed at most limit + 1 rows per dimension.
-    parts = [
-        values.filter(F.col("dimension") == d).select("dimension", "value").orderBy("value").limit(limit + 1)
-        for d in dimensions
-    ]
-    gathered = parts[0]
-    for part in parts[1:]:
-        gathered = gathered.unionByName(part)
-    arrays = gathered.groupBy().agg(
+    lists = values.groupBy().agg(
         *[F.array_sort(F.collect_set(F.when(F.col("dimension") == d, F.col("value")))).alias(d) for d in dimensions]
     )
-    for d in dimensions:
-        too_many = F.raise_error(F.lit(f"{d} has more than {limit} values and cannot be laid out as columns"))
-        checked = F.when(F.size(d) > limit, too_many.cast("array<string>")).otherwise(F.col(d))
-        arrays = arrays.withColumn(d, F.explode(checked))
-    return arrays.withColumn("label", F.concat_ws(LABEL_SEPARATOR, *dimensions))
+    first, *others = dimensions
+    # The first dimension's values are rows; those of the others come along as lists from one subquery.
+    along = lists.select(F.struct(*[F.col(d) for d in dimensions]).alias("lists")).scalar()
+    result = values.filter(F.col("dimension") == first).select(F.col("value").alias(first), along.alias("_lists"))
+    for d in others:
+        result = result.withColumn(d, F.explode(F.col("_lists").getField(d)))
+    return result.select(*dimensions, F.concat_ws(LABEL_SEPARATOR, *dimensions).alias("label"))
+
+
+def observed_combinations(
+    df: DataFrame, model: SemanticModel, dimensions: Sequence[str], filters: Filters | None = None
+) -> DataFrame:
+    """The combinations of column values that occur, of any number, as one distinct over the rows."""
+    rows = apply_filters(df, model, filters, dimensions)
+    found = rows.select(*[label_value(d).alias(d) for d in dimensions]).distinct()
+    return found.withColumn("label", F.concat_ws(LABEL_SEPARATOR, *dimensions))
 
 
 def segments_of(values: Mapping[str, Sequence[str]]) -> list[Segment]:
@@ -197,37 +191,55 @@ def compare_columns(
     """Rows against compared columns: ``<label>__<metric>`` and, against the first (control)
     column, ``..._diff`` and ``..._pct_diff``.
 
-    One scan and one shuffle on the row dimensions, whatever the number of columns. A row that a
+    One scan, aggregated by row and column and then laid out, so metrics may be of any kind. A row that a
     column does not have stays NULL there. ``top_rows`` keeps the control column's largest rows by
-    the first metric.
+    the first metric. The layout has a column per cell; for very many compared columns there is ``compare_rows``.
     """
-    if len(segments) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} compared columns")
-    wide = segment_totals(df, model, segments, metrics, filters, rows, stored)
-    volumes = [m.id for m in model.required_volumes(metrics)]
+    cells = segment_metrics(df, model, segments, metrics, filters, rows, stored)
     control = segments[0].label
-    cells = wide
-    for s in segments:
-        present = F.col(f"`{s.label}__rows`") > 0
-        cells = cells.withColumns(
-            {f"{s.label}__{v}": F.when(present, F.col(f"`{s.label}__{v}`")) for v in volumes}
-        )
-    cells = derive_cells(cells, model, segments, metrics)
-    select: list[Column] = [F.col(r) for r in rows]
+    select = [quoted(r) for r in rows]
     for m in metrics:
-        base = F.col(f"`{control}__{m}`")
+        c = f"coalesce({quoted(f'{control}__{m}')}, 0)"
         for s in segments:
-            value = F.col(f"`{s.label}__{m}`")
-            select.append(value)
-            if s is not segments[0]:
-                diff, pct = difference_columns(value, base)
-                select += [diff.alias(f"{s.label}__{m}_diff"), pct.alias(f"{s.label}__{m}_pct_diff")]
+            cell = f"{s.label}__{m}"
+            select.append(quoted(cell))
+            if s is not segments[0]:  # as ``difference_columns``, in SQL for the sake of wide layouts
+                v = f"coalesce({quoted(cell)}, 0)"
+                select.append(f"{v} - {c} AS {quoted(f'{cell}_diff')}")
+                select.append(f"CASE WHEN {c} <> 0 THEN (try_divide({v}, {c}) - 1) * 100 END AS {quoted(f'{cell}_pct_diff')}")
     result = cells
     if top_rows is not None:
         first = f"{control}__{metrics[0]}"
         result = result.filter(F.col(f"`{control}__rows`") > 0)
         result = result.orderBy(*ordering(result, f"`{first}`", rows)).limit(top_rows)
-    return result.select(*select)
+    return result.selectExpr(*select)
+
+
+def compare_rows(
+    df: DataFrame,
+    model: SemanticModel,
+    rows: Sequence[str],
+    segments: Sequence[Segment],
+    metrics: Sequence[str],
+    filters: Filters | None = None,
+    stored: bool = False,
+) -> DataFrame:
+    """The comparison in long form: a row per (row, compared column) that has data, for any number of columns.
+
+    ``segment`` is the column's label; each metric has ``<metric>_diff`` and ``<metric>_pct_diff`` against the
+    first (control) column, which the control itself has as 0.
+    """
+    long = segment_rows(df, model, segments, metrics, filters, rows, stored)
+    base = in_columns(long.filter(F.col(SEGMENT) == 0), [Segment("_control", {})], metrics, rows)
+    keys = base.select(*[F.col(r).alias(f"_row_{r}") for r in rows], *[c for c in base.columns if c not in set(rows)])
+    same = null_safe(long, keys, [(r, f"_row_{r}") for r in rows]) if rows else F.lit(True)
+    joined = long.join(keys, same, "left")
+    labels = F.array(*[F.lit(s.label) for s in segments])
+    select = [*[F.col(r) for r in rows], F.get(labels, F.col(SEGMENT)).alias("segment")]
+    for m in metrics:
+        diff, pct = difference_columns(F.col(m), F.col(f"_control__{m}"))
+        select += [F.col(m), diff.alias(f"{m}_diff"), pct.alias(f"{m}_pct_diff")]
+    return joined.select(*select)
 
 
 def comparison_long(
@@ -247,16 +259,16 @@ def comparison_long(
 
 
 __all__ = [
-    "BROADCAST_ROWS",
-    "MAX_COLUMNS",
     "column_combinations",
     "column_values",
     "compare_columns",
+    "compare_rows",
     "comparison_long",
     "join_dimensions",
     "join_dimensions_dedup",
     "joined_dimension_values",
     "match_primary_rows",
     "missing_dates",
+    "observed_combinations",
     "segments_of",
 ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dimension_label
 from ..model import OTHER, Filters, Segment, SemanticModel
-from .aggregates import derive_cells, grouped, segment_totals
+from .aggregates import grouped, segment_metrics
 from .joins import difference_columns
 from .running import running_totals
 
@@ -68,17 +68,18 @@ def chart_series(
     metrics: Sequence[str],
     filters: Filters | None = None,
     stored: bool = False,
+    limit: int | None = 20,
 ) -> DataFrame:
     """One row per dimension value, one column per (compared column, metric), gaps filled with 0.
 
-    Without segments it is one column per metric, cut to the first 20 values by the first metric.
+    Without segments it is one column per metric, of the first ``limit`` values by the first metric or,
+    with None, of all values.
     """
     if not segments:
         rows = grouped(df, model, [dimension], filters, metrics, stored)
-        top = rows.orderBy(F.col(metrics[0]).desc_nulls_last(), dimension).limit(20)
+        top = rows if limit is None else rows.orderBy(F.col(metrics[0]).desc_nulls_last(), dimension).limit(limit)
         return top.select(dimension, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in metrics])
-    wide = segment_totals(df, model, segments, metrics, filters, [dimension], stored, presence=False)
-    wide = derive_cells(wide, model, segments, metrics)
+    wide = segment_metrics(df, model, segments, metrics, filters, [dimension], stored)
     series = [
         F.coalesce(F.col(f"`{s.label}__{m}`"), F.lit(0)).alias(f"{s.label}_{m}")
         for s in segments

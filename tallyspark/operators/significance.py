@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import Z_975, normal_tail
 from ..model import Filters, Metric, Segment, SemanticModel
-from .aggregates import derive_cells, segment_totals
+from .aggregates import segment_metrics, segment_totals
 from .derived import TOTALS, totals_of, with_totals
 
 # A metric whose id contains one of these is better when lower.
@@ -46,6 +46,8 @@ FEW_SUCCESSES_WARNING = "Very few successes in one group. Consider using exact t
 
 # Limits and warning texts of the daily test.
 DRAWS = 10_000
+# Tests whose draws are held at a time.
+TESTS_AT_ONCE = 200
 SEED = 42
 THRESHOLD = 0.95
 DAYS_FOR_NORMAL = 30
@@ -306,48 +308,65 @@ def _daily_sampler():
     Everything it needs is defined or bound here, so it travels to the executors by value and they
     need numpy and pandas only, not this package.
     """
-    draws, seed, threshold, min_std = DRAWS, SEED, THRESHOLD, MIN_STD
+    draws, seed, threshold, min_std, chunk = DRAWS, SEED, THRESHOLD, MIN_STD, TESTS_AT_ONCE
     for_normal, for_warning = DAYS_FOR_NORMAL, DAYS_WARNING
     too_few, very_small, small = TOO_FEW_DAYS, VERY_SMALL_DAYS, SMALL_DAYS
     names = [c.split()[0] for c in _DAILY_SCHEMA.split(",")]
 
-    def posterior(rng, n, mean, std):
-        sem = std / n**0.5
-        if n < for_normal:
-            return mean + sem * rng.standard_t(n - 1, draws)
-        return rng.normal(mean, sem, draws)
-
-    def test(r):
-        import numpy as np
-
-        n1, n2 = int(r.control_n), int(r.treatment_n)
-        days = min(n1, n2)
-        mean1 = float(r.control_avg) if n1 else 0.0
-        mean2 = float(r.treatment_avg) if n2 else 0.0
-        if days < 2:
-            return (
-                r.metric_id, r.segment, 0.5, 0.0, 0.0, 0.0, 0.0, False, "neutral", mean1, mean2, days, too_few
-            )
+    def simulate(tests, np):
+        """(probability of being better, interval) of tests whose groups call for the same distributions."""
         rng = np.random.RandomState(seed)
-        control = posterior(rng, n1, mean1, max(float(r.control_std), min_std))
-        treatment = posterior(rng, n2, mean2, max(float(r.treatment_std), min_std))
-        prob = float(np.mean(treatment > control if r.better_high else treatment < control))
-        low, high = np.percentile(treatment - control, [2.5, 97.5])
-        diff = mean2 - mean1
-        relative = diff / abs(mean1) if abs(mean1) > min_std else 0.0
-        # `prob` already means "better", also for metrics to keep low.
-        direction = "better" if prob >= threshold else "worse" if prob <= 1 - threshold else "neutral"
-        warning = very_small.format(days) if days < for_warning else small.format(days) if days < for_normal else None
-        return (
-            r.metric_id, r.segment, prob, float(low), float(high), diff, relative,
-            direction != "neutral", direction, mean1, mean2, days, warning,
-        )
+        sides = []
+        for side in ("control", "treatment"):
+            n = tests[f"{side}_n"].to_numpy()
+            unit = rng.standard_t(n[0] - 1, draws) if n[0] < for_normal else rng.normal(0.0, 1.0, draws)
+            sem = np.maximum(tests[f"{side}_std"].to_numpy(float), min_std) / np.sqrt(n)
+            sides.append(tests[f"{side}_avg"].to_numpy(float)[:, None] + sem[:, None] * unit)
+        difference = sides[1] - sides[0]
+        higher = tests["better_high"].to_numpy()[:, None]
+        low, high = np.percentile(difference, [2.5, 97.5], axis=1)
+        return np.where(higher, difference > 0, difference < 0).mean(axis=1), low, high
 
     def run(batches):
-        import pandas as pd
+        import numpy as np
 
         for batch in batches:
-            yield pd.DataFrame([test(r) for r in batch.itertuples(index=False)], columns=names)
+            batch = batch.reset_index(drop=True)
+            days = np.minimum(batch["control_n"], batch["treatment_n"]).to_numpy()
+            batch["control_avg"] = batch["control_avg"].where(batch["control_n"] > 0, 0.0)
+            batch["treatment_avg"] = batch["treatment_avg"].where(batch["treatment_n"] > 0, 0.0)
+            prob, low, high = np.full(len(batch), 0.5), np.zeros(len(batch)), np.zeros(len(batch))
+            usable = batch[days >= 2]
+            # One set of draws serves all tests with as many days, up to where the normal takes over.
+            keys = [np.minimum(usable[f"{s}_n"], for_normal) for s in ("control", "treatment")]
+            for _, group in usable.groupby(keys):
+                for at in range(0, len(group), chunk):
+                    part = group.iloc[at : at + chunk]
+                    prob[part.index], low[part.index], high[part.index] = simulate(part, np)
+            mean1, mean2 = batch["control_avg"].to_numpy(float), batch["treatment_avg"].to_numpy(float)
+            enough = days >= 2
+            diff = np.where(enough, mean2 - mean1, 0.0)
+            large = enough & (np.abs(mean1) > min_std)
+            # `prob` already means "better", also for metrics to keep low.
+            direction = np.select([enough & (prob >= threshold), enough & (prob <= 1 - threshold)], ["better", "worse"], "neutral")
+            warning = [
+                too_few if d < 2 else very_small.format(d) if d < for_warning else small.format(d) if d < for_normal else None
+                for d in days.tolist()
+            ]
+            out = batch[["metric_id", "segment"]].assign(
+                prob_beat_control=prob,
+                credible_interval_lower=low,
+                credible_interval_upper=high,
+                mean_difference=diff,
+                relative_difference=np.divide(diff, np.abs(mean1), out=np.zeros(len(batch)), where=large),
+                is_significant=direction != "neutral",
+                direction=direction,
+                control_mean=mean1,
+                treatment_mean=mean2,
+                n_days=days,
+                warning=warning,
+            )
+            yield out[names]
 
     return run
 
@@ -367,8 +386,7 @@ def daily_statistics(
     """
     segments = [control, *treatments]
     # The date is a row dimension here; filters on the range still apply.
-    daily = segment_totals(df, model, segments, metrics, filters, [model.date], stored)
-    daily = derive_cells(daily, model, segments, metrics)
+    daily = segment_metrics(df, model, segments, metrics, filters, [model.date], stored)
     stats = []
     for i, s in enumerate(segments):
         for m in metrics:
@@ -405,8 +423,12 @@ def daily_bayes_test(
     filters: Filters | None = None,
     stored: bool = False,
 ) -> DataFrame:
-    """Monte Carlo comparison of mean daily values, from each column's daily count, mean and deviation."""
+    """Monte Carlo comparison of mean daily values, from each column's daily count, mean and deviation.
+
+    Tests are dealt over tasks and drawn as arrays, a bounded number at a time.
+    """
     stats = daily_statistics(df, model, control, treatments, metrics, filters, stored)
+    stats = stats.repartition("metric_id", "segment")
     return stats.mapInPandas(_daily_sampler(), _DAILY_SCHEMA)
 
 

@@ -86,19 +86,25 @@ def build_rollup_batched(
     metrics: Sequence[str] | None = None,
     lookups: Sequence[Lookup] = (),
     batch_dates: int = BATCH_DATES,
+    timestamp: str | None = None,
 ) -> int:
     """Backfill in batches of dates, each its own restartable job; returns the number of batches.
 
     The table equals ``build_rollup``'s. Prefer that one unless a single job would be too long to
-    repeat: every batch reads the source again, pruned to its dates.
+    repeat: every batch reads the source again, pruned to its dates. Rows without a date are a job of
+    their own after the batches; naming the ``timestamp`` that the date is computed from lets the reader prune that one too.
     """
     dates = collect_dates(source.select(model.date).filter(F.col(model.date).isNotNull()), model.date)
     batches = [dates[i : i + batch_dates] for i in range(0, len(dates), batch_dates)]
-    for i, batch in enumerate(batches or [[]]):
-        # The first batch replaces whatever table was there and takes the rows without a date.
-        rows = on_dates(source, batch, model.date, undated=not i)
-        frame = rollup_frame(rows, model, dimensions, metrics, lookups)
+    for i, batch in enumerate(batches):
+        # The first batch replaces whatever table was there.
+        frame = rollup_frame(on_dates(source, batch, model.date), model, dimensions, metrics, lookups)
         (append_dates if i else write_daily_table)(frame, path, dimensions, model.date)
+    undated = source.filter(F.col(model.date).isNull())
+    if timestamp is not None:
+        undated = undated.filter(F.col(timestamp).isNull())
+    frame = rollup_frame(undated, model, dimensions, metrics, lookups)
+    (append_dates if batches else write_daily_table)(frame, path, dimensions, model.date)
     return len(batches)
 
 
@@ -339,7 +345,8 @@ def rollup_coverage(
 def rollup_recommendations(queries: DataFrame, rollups: Sequence[Rollup]) -> DataFrame:
     """Dimension combinations that are queried but not materialised, with how often."""
     have = sorted({_set_key(r) for r in rollups})
-    asked = queries.select(_needs(F.col("dimensions")).alias("dimensions"))
+    none = F.array().cast("array<string>")  # no dimensions, as in the coverage report
+    asked = queries.select(_needs(F.coalesce("dimensions", none)).alias("dimensions"))
     lacking = asked.filter(~F.col("dimensions").isin(have)) if have else asked
     counted = lacking.groupBy("dimensions").agg(F.count(F.lit(1)).alias("query_count"))
     return counted.select(

@@ -25,8 +25,15 @@ CLUSTER_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", app: str = "tallyspark", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+# Folders of local sessions that named none.
+_own: list[tempfile.TemporaryDirectory] = []
+
+
+def local_session(
+    cores: int | str = "*", app: str = "tallyspark", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A session for tests and benchmarks on one machine, with its folder for intermediate tables."""
+    named = {"spark.checkpoint.dir": shared} if shared else {}
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -35,6 +42,8 @@ def local_session(cores: int | str = "*", app: str = "tallyspark", shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(map=named)
         .getOrCreate()
     )
 
@@ -42,14 +51,16 @@ def local_session(cores: int | str = "*", app: str = "tallyspark", shuffle_parti
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session, where the machine is the cluster, may fall back to a temporary folder.
+    Where it is unset, a local-mode session, in which the machine is the cluster, gets a folder of its own that
+    goes when the program ends; on a cluster that is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="tallyspark-")
+        _own.append(tempfile.TemporaryDirectory(prefix="tallyspark-", ignore_cleanup_errors=True))
+        configured = _own[-1].name
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     return configured

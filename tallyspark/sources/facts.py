@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from ..functions.scalars import approx_distinct
 
 DATE_COLUMN = "date"
+# Hash buckets per column from which sample values are taken.
+SAMPLE_BUCKETS = 4096
 
 
 def fact_scan(
@@ -104,9 +106,10 @@ def column_role(name: str, data_type: T.DataType) -> tuple[str, bool]:
 def column_profile(df: DataFrame, samples: int = 5, exact: bool = False) -> DataFrame:
     """Per column: type, role, NULLs, distinct values and a few sample values.
 
-    By default one pass with small sketches, samples from the head of the table. ``exact`` counts
-    distinct values by grouping (column, value) pairs, which spreads even a unique column over all
-    tasks, and samples the smallest values.
+    By default small sketches count the distinct values, and samples are the smallest of what is the smallest
+    value in each of ``SAMPLE_BUCKETS`` hash buckets: over all rows, with a shuffle no larger than the buckets. These
+    are the column's smallest values unless two of them share a bucket. ``exact`` counts distinct values by grouping
+    (column, value) pairs, which spreads even a unique column over all tasks, and samples the smallest values.
     """
     scalar = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     facts = F.create_map(
@@ -151,7 +154,8 @@ def column_profile(df: DataFrame, samples: int = 5, exact: bool = False) -> Data
             for n in names
         ]
         summary = sketches.select(F.inline(F.array(*entries)))
-        sampled = pairs(df.limit(1000)).distinct()
+        bucket = F.pmod(F.xxhash64("value"), F.lit(SAMPLE_BUCKETS)).alias("bucket")
+        sampled = pairs(df).filter(F.col("value").isNotNull()).groupBy("column", bucket).agg(F.min("value").alias("value"))
     ranked = sampled.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= samples)
     # At most `samples` values per column are gathered.
     lists = ranked.groupBy("column").agg(

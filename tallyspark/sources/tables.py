@@ -6,9 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-MAX_CLUSTER_COLUMNS = 4
-
-
 def _laid_out(
     df: DataFrame, date_column: str, cluster_by: Sequence[str], exchange: bool = True
 ) -> DataFrame:
@@ -17,7 +14,7 @@ def _laid_out(
     REBALANCE lets adaptive execution cut a large day into several tasks of advisory size and pack
     small days into one, so no day, however large, has to pass through a single writer.
     """
-    cluster = [c for c in cluster_by if c != date_column][:MAX_CLUSTER_COLUMNS]
+    cluster = [c for c in cluster_by if c != date_column]
     if not exchange:
         order = [c for c in [date_column, *cluster] if c in df.columns]
         return df.sortWithinPartitions(*order) if order else df
@@ -33,7 +30,7 @@ def write_daily_table(
     date_column: str = "date",
     exchange: bool = True,
 ) -> None:
-    """Create or replace a table, partitioned by date and sorted by up to four columns.
+    """Create or replace a table, partitioned by date and sorted by the cluster columns.
 
     ``exchange=False`` skips the shuffle for rows that already arrive by date, as from a daily
     partitioned fact.

@@ -114,8 +114,8 @@ def test_nulls_in_groups(spark):
     assert [r.value for r in aggregates.dimension_values(df, MODEL, "country").collect()] == ["__NULL__", "", "x"]
     assert aggregates.group_count(df, MODEL, ["country"]).first().total_count == 3
     assert {(r.value, r.position) for r in aggregates.filter_options(df, MODEL, ["country"]).collect()} == {
-        ("", 1),
-        ("__NULL__", 2),
+        ("__NULL__", 1),
+        ("", 2),
         ("x", 3),
     }
 
@@ -249,8 +249,8 @@ def test_segments_override_the_base_filter(spark):
 def test_free_sql_metrics(zero):
     model = SemanticModel((sql_volume("net", "sum({queries}) - sum({purchases})"),))
     assert aggregates.kpi_totals(zero, model).first().net == 2
-    with pytest.raises(ValueError, match="free SQL"):
-        aggregates.segment_totals(zero, model, [Segment("c", {"term": ["c"]})], ["net"])
+    split = aggregates.segment_totals(zero, model, [Segment("c", {"term": ["c"]}), Segment("d", {"term": ["d"]})], ["net"])
+    assert (split.first()["c__net"], split.first()["d__net"]) == (3, None)
     with pytest.raises(ValueError, match="cannot be combined"):
         volume("mean", "avg", "{queries}").merge()
     with pytest.raises(ValueError, match="unknown aggregate"):

@@ -5,10 +5,13 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
+from tallyspark.catalog import REGISTRY
 from tests.oracle import connect, difference, duck_rows, spark_rows
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+# The queries over the training data have tests of their own.
+QUERIES = {n: q for n, q in entry_points.queries().items() if n in REGISTRY}
+SQL = {n: s for n, s in entry_points.oracle_sql().items() if n in REGISTRY}
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +39,7 @@ def test_entry(spark):
 
 
 def test_sql_only_for_registered_queries():
-    assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"group_count_approx", "daily_bayes_test"}
+    assert set(SQL) == set(QUERIES) == set(REGISTRY)
 
 
 @pytest.mark.parametrize("name", ["filter_options", "column_profile"])
