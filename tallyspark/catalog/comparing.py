@@ -216,7 +216,7 @@ def compare_free_metrics(spark, sf_dir):
 )
 def compare_rows(spark, sf_dir):
     compared = joins.compare_rows(shop_wide(spark, sf_dir), SHOP, ["search_term"], SEGMENTS, list(_COMPARED))
-    return rounded(compared)
+    return rounded(compared, fine={})
 
 
 @query(
@@ -517,8 +517,9 @@ def daily_statistics(spark, sf_dir):
 
 @query(
     "daily_bayes_test",
-    f"""SELECT metric_id, segment, control_avg AS control_mean, treatment_avg AS treatment_mean,
-               round(treatment_avg - control_avg, 5) AS mean_difference, least(control_n, treatment_n) AS n_days,
+    f"""SELECT metric_id, segment, coalesce(control_avg, 0) AS control_mean, coalesce(treatment_avg, 0) AS treatment_mean,
+               CASE WHEN least(control_n, treatment_n) < 2 THEN 0 ELSE round(treatment_avg - control_avg, 5) END AS mean_difference,
+               least(control_n, treatment_n) AS n_days,
                true AS probability_agrees, true AS interval_agrees FROM ({_daily_sql()})""",
 )
 def daily_bayes_test(spark, sf_dir):
@@ -543,8 +544,12 @@ def daily_bayes_test(spark, sf_dir):
         "segment",
         F.round("control_mean", 6).alias("control_mean"),
         F.round("treatment_mean", 6).alias("treatment_mean"),
-        F.round(F.round("treatment_mean", 6) - F.round("control_mean", 6), 5).alias("mean_difference"),
+        F.when(F.col("n_days") < 2, 0.0)
+        .otherwise(F.round(F.round("treatment_mean", 6) - F.round("control_mean", 6), 5))
+        .alias("mean_difference"),
         "n_days",
-        near.alias("probability_agrees"),
-        (inside[0] & inside[1]).alias("interval_agrees"),
+        F.when(F.col("n_days") < 2, F.col("prob_beat_control") == 0.5).otherwise(near).alias("probability_agrees"),
+        F.when(F.col("n_days") < 2, F.col("credible_interval_lower") == F.col("credible_interval_upper"))
+        .otherwise(inside[0] & inside[1])
+        .alias("interval_agrees"),
     )
