@@ -180,6 +180,42 @@ def rollup_coverage(spark, sf_dir):
     return jobs.rollup_coverage(logged_queries(spark, sf_dir), _ROLLUPS)
 
 
+def _list_sql(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+def _candidates_sql() -> str:
+    """The rules over the log's queries and the rollups as lists."""
+    asked = ", ".join(
+        f"('{k}', {_list_sql(d)}, {_list_sql(f)}, {_list_sql(m)}, {str(u).lower()})" for k, (d, f, m, u) in _LOGGED.items()
+    )
+    have = ", ".join(f"('{r.id}', {_list_sql(r.dimensions)}, {_list_sql(r.metrics)}, {str(r.ready).lower()})" for r in _ROLLUPS)
+    without = "list_sort(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
+    extra = "list_sort(list_filter(r.dims, lambda x: NOT list_contains(q.dims || q.filters, x)))"
+    return f"""
+        WITH q(kind, dims, filters, metrics, uniq) AS (VALUES {asked}), r(id, dims, metrics, ready) AS (VALUES {have}),
+        p AS (SELECT q.kind, q.uniq, r.id, r.ready, {without.format(a="q.dims", b="r.dims")} AS a,
+                     {without.format(a="q.filters", b="r.dims")} AS b, {without.format(a="q.metrics", b="r.metrics")} AS c,
+                     {extra} AS d FROM q, r),
+        s AS (SELECT *, ready AND len(a) + len(b) + len(c) = 0 AND (len(d) = 0 OR d = ['date']) AS ok FROM p)
+        SELECT event_id AS query_id, id AS rollup_id,
+               CAST(CASE WHEN NOT ok THEN -1 WHEN len(d) = 0 THEN 150 WHEN uniq THEN 80 ELSE 100 END AS INTEGER) AS score,
+               ok AS can_use, CASE WHEN ok THEN len(d) > 0 END AS needs_reaggregation,
+               CASE WHEN NOT ready THEN 'not ready'
+                    WHEN len(a) > 0 THEN 'lacks dimensions: ' || array_to_string(a, ', ')
+                    WHEN len(b) > 0 THEN 'lacks filter dimensions: ' || array_to_string(b, ', ')
+                    WHEN len(c) > 0 THEN 'lacks metrics: ' || array_to_string(c, ', ')
+                    WHEN NOT ok THEN 'has further dimensions: ' || array_to_string(d, ', ')
+                    WHEN len(d) = 0 THEN 'fits'
+                    WHEN uniq THEN 'usable over dates, distinct counts may be too high' ELSE 'usable over dates' END AS reason
+        FROM events JOIN s ON event_type = kind"""
+
+
+@query("rollup_candidates", _candidates_sql())
+def rollup_candidates(spark, sf_dir):
+    return jobs.rollup_candidates(logged_queries(spark, sf_dir), _ROLLUPS)
+
+
 @query(
     "rollup_recommendations",
     """SELECT CASE event_type WHEN 'signup' THEN 'segment' ELSE 'nation' END AS dimensions,

@@ -342,6 +342,72 @@ def rollup_coverage(
     )
 
 
+def rollup_candidates(
+    queries: DataFrame,
+    rollups: Sequence[Rollup],
+    model: SemanticModel | None = None,
+    date_column: str = "date",
+) -> DataFrame:
+    """Every rollup for every logged query: its score, whether it can be used, and why not.
+
+    ``queries`` and the rules are those of ``rollup_coverage``; names in a reason are in alphabetical order. The
+    catalogue is part of the plan, so a query is only copied once per rollup: no join, no shuffle.
+    """
+    none = F.array().cast("array<string>")
+
+    def names(values: Sequence[str]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+
+    entries = [
+        F.struct(
+            F.lit(r.id).alias("id"), names(r.dimensions).alias("dims"), names(r.metrics).alias("stored"), F.lit(r.ready).alias("ready")
+        )
+        for r in rollups
+    ]
+    distinct = F.col("distinct_metrics") if "distinct_metrics" in queries.columns else F.lit(False)
+    wanted = F.coalesce("metrics", none)
+    if model is not None:
+        distinct = F.arrays_overlap(wanted, names([m.id for m in model.volumes if m.is_distinct]))
+        wanted = F.array_intersect(wanted, names([m.id for m in model.volumes]))
+    asked = queries.select(
+        "query_id",
+        F.coalesce("dimensions", none).alias("dims"),
+        F.coalesce("filter_dimensions", none).alias("filters"),
+        wanted.alias("wanted"),
+        F.coalesce(distinct, F.lit(False)).alias("distinct"),
+    )
+    catalogue = F.array(*entries) if entries else F.array().cast("array<struct<id:string,dims:array<string>,stored:array<string>,ready:boolean>>")
+    rows = asked.withColumn("r", F.explode(catalogue))
+
+    def listed(text: str, values: Column) -> Column:
+        return F.concat(F.lit(text), F.array_join(F.array_sort(values), ", "))
+
+    lacking = F.array_except("dims", "r.dims")
+    unfiltered = F.array_except("filters", "r.dims")
+    unstored = F.array_except("wanted", "r.stored")
+    extra = F.array_except(F.array_except("r.dims", "dims"), F.col("filters"))
+    daily = extra == F.array(F.lit(date_column))
+    inexact = F.when(F.col("distinct"), F.lit("usable over dates, distinct counts may be too high")).otherwise("usable over dates")
+    problem = (
+        F.when(~F.col("r.ready"), F.lit("not ready"))
+        .when(F.size(lacking) > 0, listed("lacks dimensions: ", lacking))
+        .when(F.size(unfiltered) > 0, listed("lacks filter dimensions: ", unfiltered))
+        .when(F.size(unstored) > 0, listed("lacks metrics: ", unstored))
+        .when((F.size(extra) > 0) & ~daily, listed("has further dimensions: ", extra))
+    )
+    rows = rows.withColumns({"problem": problem, "daily": daily, "note": inexact})
+    merged = F.when(F.col("distinct"), REAGGREGATE_DISTINCT_SCORE).otherwise(REAGGREGATE_SCORE)
+    usable = F.col("problem").isNull()
+    return rows.select(
+        "query_id",
+        F.col("r.id").alias("rollup_id"),
+        F.when(~usable, NO_FIT).when(F.col("daily"), merged).otherwise(EXACT_SCORE).alias("score"),
+        usable.alias("can_use"),
+        F.when(usable, F.col("daily")).alias("needs_reaggregation"),
+        F.coalesce("problem", F.when(F.col("daily"), F.col("note")), F.lit("fits")).alias("reason"),
+    )
+
+
 def rollup_recommendations(queries: DataFrame, rollups: Sequence[Rollup]) -> DataFrame:
     """Dimension combinations that are queried but not materialised, with how often."""
     have = sorted({_set_key(r) for r in rollups})
@@ -366,6 +432,7 @@ __all__ = [
     "refresh_all",
     "refresh_enriched_source",
     "refresh_rollup",
+    "rollup_candidates",
     "rollup_coverage",
     "rollup_frame",
     "rollup_recommendations",
