@@ -10,7 +10,8 @@ from ..operators import joins, shape
 from ..operators import significance as tests
 from ..operators.aggregates import grouped
 from ..operators.aggregates import page as paged
-from ..session import durable
+from ..session import durable, scratch_path
+from ..sources import store_lookup
 from .base import query, rounded, table
 from .models import (
     EV,
@@ -44,6 +45,17 @@ def join_dimensions(spark, sf_dir):
     return joined.select("event_id", "user_id", "segment", "nation", "region")
 
 
+@query(
+    "join_stored_lookup",
+    f"WITH {EV} SELECT event_id, user_id, segment, nation, region FROM ev",
+)
+def join_stored_lookup(spark, sf_dir):
+    """A lookup that is de-duplicated and stored once, then joined as unique."""
+    stored = store_lookup(customer_lookup(spark, sf_dir), scratch_path(spark, "customers"))
+    joined = joins.join_dimensions_dedup(shop(spark, sf_dir), [stored])
+    return joined.select("event_id", "user_id", "segment", "nation", "region")
+
+
 @query(
     "join_dimensions_duplicates",
     """SELECT e.event_id, s.s_suppkey AS supplier FROM events e JOIN customer c ON e.user_id = c.c_custkey

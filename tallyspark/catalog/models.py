@@ -73,14 +73,14 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_lookup(spark: SparkSession, sf_dir: str, target: str = "user_id") -> Lookup:
+def customer_lookup(spark: SparkSession, sf_dir: str, target: str = "user_id", unique: bool = False) -> Lookup:
     columns = {"segment": "c_mktsegment", "nation": "n_name", "region": "r_name"}
-    return Lookup(customers(spark, sf_dir), "c_custkey", target, columns)
+    return Lookup(customers(spark, sf_dir), "c_custkey", target, columns, unique)
 
 
 def shop_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with segment, nation and region of the visitor."""
-    return join_dimensions_dedup(shop(spark, sf_dir), [customer_lookup(spark, sf_dir)])
+    return join_dimensions_dedup(shop(spark, sf_dir), [customer_lookup(spark, sf_dir, unique=True)])
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +95,10 @@ def sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         "l_orderkey",
         {"priority": "o_orderpriority", "custkey": "o_custkey"},
+        unique=True,
     )
     return join_dimensions_dedup(
-        sales(spark, sf_dir), [orders, customer_lookup(spark, sf_dir, "custkey")]
+        sales(spark, sf_dir), [orders, customer_lookup(spark, sf_dir, "custkey", unique=True)]
     )
 
 

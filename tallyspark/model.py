@@ -149,13 +149,16 @@ class Dimension:
 class Lookup:
     """Attributes joined onto the fact: ``fact.target = df.key`` brings in ``columns``.
 
-    ``columns`` maps the new dimension name to the lookup's column.
+    ``columns`` maps the new dimension name to the lookup's column. ``unique`` says that no key occurs twice, as of a
+    primary key or after ``store_lookup``: joins then need not look for duplicates, and a stored lookup of known small size is
+    broadcast without moving the fact.
     """
 
     df: DataFrame
     key: str
     target: str
     columns: Mapping[str, str]
+    unique: bool = False
 
 
 @dataclass(frozen=True)

@@ -56,7 +56,7 @@ def join_dimensions(
         _check_lookup(lookup)
         attributes = [F.col(source).alias(name) for name, source in lookup.columns.items()]
         side = lookup.df.filter(F.col(lookup.key).isNotNull())
-        if allow_duplicates:
+        if allow_duplicates or lookup.unique:
             side = side.select(F.col(lookup.key).alias(_KEY), *attributes)
         else:
             rows = side.groupBy(F.col(lookup.key).alias(_KEY)).agg(
@@ -73,10 +73,16 @@ def join_dimensions(
 def join_dimensions_dedup(fact: DataFrame, lookups: Sequence[Lookup], salts: int = 1) -> DataFrame:
     """LEFT join that never changes the number of fact rows: one row per lookup key.
 
-    Where a key repeats, each attribute takes its smallest value, so reruns agree.
+    Where a key repeats, each attribute takes its smallest value, so reruns agree. For lookups that are
+    joined again and again, ``store_lookup`` does that once.
     """
     for lookup in lookups:
         _check_lookup(lookup)
+        if lookup.unique:
+            attributes = [F.col(source).alias(name) for name, source in lookup.columns.items()]
+            side = lookup.df.filter(F.col(lookup.key).isNotNull()).select(F.col(lookup.key).alias(_KEY), *attributes)
+            fact = _attach(fact, lookup, side, salts)
+            continue
         rows = (
             lookup.df.filter(F.col(lookup.key).isNotNull())
             .groupBy(F.col(lookup.key).alias(_KEY))

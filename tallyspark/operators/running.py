@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import durable
 
@@ -15,25 +17,44 @@ _PART = "_slice"
 def running_totals(df: DataFrame, order_by: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
     """Add one running sum per entry of ``sums`` in the order ``order_by``, which must be total.
 
-    The global sort range-partitions the rows, so slice *i* holds only rows before slice *i+1*.
-    Each slice then adds up its own rows, and the totals of the slices before it (one row per
-    slice) are added on top. The sorted rows are checkpointed first: both passes must see the very
+    The global sort range-partitions the rows, so slice *i* holds only rows before slice *i+1*. The totals of
+    the slices, one row per slice, give where each begins; then every slice adds up its own rows where they
+    lie, batch by batch. That is one shuffle. The sorted rows are checkpointed first: both passes must see the very
     same slices, also after an executor is lost.
     """
     inputs = {f"_in_{name}": value for name, value in sums.items()}
     ordered = durable(df.withColumns(inputs).orderBy(*order_by))
-    sliced = ordered.withColumn(_PART, F.spark_partition_id())
-
-    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    slice_totals = sliced.groupBy(_PART).agg(*[F.sum(i).alias(i) for i in inputs])
-    offsets = slice_totals.select(
-        F.col(_PART), *[F.coalesce(F.sum(i).over(before), F.lit(0)).alias(f"{i}_before") for i in inputs]
-    )
-    within = Window.partitionBy(_PART).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumns({f"{i}_local": F.sum(i).over(within) for i in inputs})
-    # One row per slice: at most spark.sql.shuffle.partitions rows, whatever the data size.
-    joined = local.join(F.broadcast(offsets), _PART)
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_in_{n}_local") + F.col(f"_in_{n}_before")).alias(n) for n in sums],
-    )
+    slices = ordered.groupBy(F.spark_partition_id().alias(_PART)).agg(*[F.sum(i).alias(i) for i in inputs])
+    kinds = {name: slices.schema[f"_in_{name}"].dataType for name in sums}
+    begins: dict[int, list] = {}
+    so_far: list = [None] * len(sums)
+    # At most spark.sql.shuffle.partitions rows, whatever the data size.
+    for row in slices.orderBy(_PART).collect():
+        begins[row[0]] = so_far
+        so_far = [old if x is None else x if old is None else old + x for old, x in zip(so_far, row[1:], strict=True)]
+    fields = [*ordered.schema.fields[: len(df.columns)], *[T.StructField(n, k) for n, k in kinds.items()]]
+    add = _adder(len(df.columns), begins, {n: to_arrow_type(k) for n, k in kinds.items()})
+    return ordered.mapInArrow(add, T.StructType(fields))
+
+
+def _adder(width: int, begins: dict[int, list], kinds: dict):
+    """The batch function; it needs pyarrow on the executors, not this package."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        totals = list(begins.get(TaskContext.get().partitionId(), [None] * len(kinds)))
+        for batch in batches:
+            columns, names = batch.columns[:width], batch.schema.names[:width]
+            for k, (name, kind) in enumerate(kinds.items()):
+                sums = []
+                for value in batch.column(width + k).cast(kind).to_pylist():
+                    if value is not None:
+                        totals[k] = value if totals[k] is None else totals[k] + value
+                    sums.append(totals[k])
+                columns.append(pa.array(sums, kind))
+                names.append(name)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run

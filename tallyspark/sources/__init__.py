@@ -1,7 +1,7 @@
 """Scans, lookups, daily tables and export."""
 
 from .facts import column_profile, column_role, fact_scan, inferred_type, table_info
-from .lookups import conform_join_key, load_lookup
+from .lookups import conform_join_key, load_lookup, store_lookup
 from .tables import append_dates, export_csv, path_exists, write_daily_table
 
 __all__ = [
@@ -14,6 +14,7 @@ __all__ = [
     "inferred_type",
     "load_lookup",
     "path_exists",
+    "store_lookup",
     "table_info",
     "write_daily_table",
 ]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..model import Lookup
+
 
 def conform_join_key(df: DataFrame, key: str, target: T.DataType | str) -> DataFrame:
     """Cast a lookup key to the type of the dimension it joins; what cannot be cast becomes NULL."""
@@ -41,3 +43,17 @@ def load_lookup(
         return lookup
     lookup.write.mode("overwrite").parquet(save_to)
     return spark.read.parquet(save_to)
+
+
+def store_lookup(lookup: Lookup, path: str) -> Lookup:
+    """De-duplicate a lookup by key (smallest values), replace a table with it and return it as unique.
+
+    A stored table has a known size: joins broadcast it if it is small and sort-merge it if not, and never
+    look for duplicates again.
+    """
+    rows = lookup.df.filter(F.col(lookup.key).isNotNull()).groupBy(lookup.key)
+    sources = [c for c in dict.fromkeys(lookup.columns.values()) if c != lookup.key]
+    rows = rows.agg(*[F.min(c).alias(c) for c in sources]) if sources else rows.count().select(lookup.key)
+    rows.write.mode("overwrite").parquet(path)
+    stored = lookup.df.sparkSession.read.parquet(path)
+    return Lookup(stored, lookup.key, lookup.target, lookup.columns, unique=True)

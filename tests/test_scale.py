@@ -8,11 +8,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark import Filters, Segment, SemanticModel, ratio, volume
+from tallyspark import Filters, Lookup, Segment, SemanticModel, ratio, volume
 from tallyspark.functions.normal import norm_cdf, normal_tail
 from tallyspark.operators import aggregates, filters, joins, shape
 from tallyspark.plans import rollups
-from tallyspark.sources import column_profile, write_daily_table
+from tallyspark.sources import column_profile, store_lookup, write_daily_table
 from tallyspark.sources.tables import _laid_out
 
 MODEL = SemanticModel(
@@ -143,3 +143,21 @@ def test_segments_restrict_the_scan(facts):
     segments = [Segment("a", {"term": ["t1"]}), Segment("b", {"term": ["t2", "t3"]})]
     wide = aggregates.segment_totals(facts, MODEL, segments, ["queries"], Filters(dimensions={"country": ["c1"]}))
     assert re.search(r"PushedFilters: \[.*In\(term, \[t1,t2,t3\]\)", plan_of(wide))
+
+
+def test_a_small_stored_lookup_leaves_the_facts_where_they_are(spark, facts, tmp_path):
+    lookup = Lookup(
+        spark.createDataFrame([("t1", "x"), ("t1", "a"), ("t2", "b"), (None, "n")], "k string, v string"), "k", "term", {"value": "v"}
+    )
+    stored = store_lookup(lookup, str(tmp_path / "lookup"))
+    joined = joins.join_dimensions_dedup(facts, [stored])
+    plan = plan_of(joined)
+    assert "BroadcastHashJoin" in plan and not re.search(r"(?<!Broadcast)Exchange ", plan)
+    assert {r["value"] for r in joined.filter("term = 't1'").select("value").distinct().collect()} == {"a"}
+    assert joined.count() == facts.count()
+    # A large one is sort-merged, where adaptive execution can split a hot key.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" in plan_of(joins.join_dimensions_dedup(facts, [stored]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
