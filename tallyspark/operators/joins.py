@@ -7,6 +7,7 @@ broadcast a side whose size is below the threshold and otherwise sort-merge, wit
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import label_value
 from ..model import LABEL_SEPARATOR, Filters, Lookup, Segment, SemanticModel
 from .aggregates import SEGMENT, in_columns, ordering, quoted, segment_metrics, segment_rows
-from .filters import apply_filters, null_safe, search_values
+from .filters import apply_filters, filter_dates, null_safe, search_values
 
 _KEY = "_lookup_key"
 
@@ -107,10 +108,14 @@ def joined_dimension_values(
     return search_values(values, "value", search).distinct().orderBy("value").limit(limit)
 
 
-def missing_dates(source: DataFrame, target: DataFrame, date_column: str = "date") -> DataFrame:
-    """Dates of the source that the target does not have; at most one row per calendar day."""
-    have = target.select(date_column).distinct()
-    dates = source.select(date_column).filter(F.col(date_column).isNotNull()).distinct()
+def missing_dates(source: DataFrame, target: DataFrame, date_column: str = "date", since: date | str | None = None) -> DataFrame:
+    """Dates of the source that the target does not have; at most one row per calendar day.
+
+    ``since`` leaves older dates out, and with it the reader skips the files or partitions before it.
+    """
+    have = filter_dates(target, since, date_column=date_column).select(date_column).distinct()
+    dates = filter_dates(source, since, date_column=date_column).select(date_column)
+    dates = dates.filter(F.col(date_column).isNotNull()).distinct()
     return dates.join(have, date_column, "left_anti")
 
 

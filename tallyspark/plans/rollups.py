@@ -117,11 +117,13 @@ def refresh_rollup(
     lookups: Sequence[Lookup] = (),
     incremental: bool = True,
     recompute: Sequence[date] = (),
+    since: date | None = None,
 ) -> int:
     """Bring a rollup up to date; returns the number of dates written.
 
     Incremental runs add the dates the rollup does not have. Dates it has are left alone, even if
-    late rows arrived, except those named in ``recompute``. A missing rollup is built in full. Rows
+    late rows arrived, except those named in ``recompute``. ``since`` is the first date looked at: it spares reading
+    the date of every row that the source has. A missing rollup is built in full. Rows
     without a date belong to no day and are written by full builds only.
     """
     spark = source.sparkSession
@@ -129,7 +131,7 @@ def refresh_rollup(
         build_rollup(source, model, dimensions, path, metrics, lookups)
         return len(collect_dates(spark.read.parquet(path), model.date))
     target = spark.read.parquet(path)
-    dates = set(collect_dates(missing_dates(source, target, model.date), model.date)) | set(recompute)
+    dates = set(collect_dates(missing_dates(source, target, model.date, since), model.date)) | set(recompute)
     if dates:
         build_rollup(source, model, dimensions, path, metrics, lookups, sorted(dates))
     return len(dates)
@@ -238,16 +240,17 @@ def refresh_enriched_source(
     metrics: Sequence[str] | None = None,
     incremental: bool = True,
     exchange: bool = True,
+    since: date | None = None,
 ) -> int:
     """Add the dates the copy lacks, or rebuild it; returns the number of dates written.
 
-    New dates get the same de-duplicated joins as the full build.
+    New dates get the same de-duplicated joins as the full build. ``since`` is as in ``refresh_rollup``.
     """
     spark: SparkSession = source.sparkSession
     if not incremental or not path_exists(spark, path):
         build_enriched_source(source, model, path, keys, lookups, cluster_by, metrics, exchange)
         return len(collect_dates(spark.read.parquet(path), model.date))
-    dates = collect_dates(missing_dates(source, spark.read.parquet(path), model.date), model.date)
+    dates = collect_dates(missing_dates(source, spark.read.parquet(path), model.date, since), model.date)
     if dates:
         frame = enriched_frame(on_dates(source, dates, model.date), model, keys, lookups, metrics, cluster_by)
         append_dates(frame, path, cluster_by, model.date, exchange)

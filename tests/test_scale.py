@@ -161,3 +161,11 @@ def test_a_small_stored_lookup_leaves_the_facts_where_they_are(spark, facts, tmp
         assert "SortMergeJoin" in plan_of(joins.join_dimensions_dedup(facts, [stored]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_refresh_can_start_at_a_date(spark, facts):
+    target = facts.filter("date < DATE '2024-01-10'").select("date")
+    late = joins.missing_dates(facts, target, since=dt.date(2024, 1, 15))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts", plan_of(late))
+    assert {r[0].day for r in late.collect()} == set(range(15, 21))
+    assert {r[0].day for r in joins.missing_dates(facts, target).collect()} == set(range(10, 21))
