@@ -389,10 +389,10 @@ def z_test_sql(source: str, keys: str) -> str:
                CASE WHEN NOT sig THEN 'neutral' WHEN high = (diff > 0) THEN 'better' ELSE 'worse' END AS direction,
                round(p1, 6) AS control_mean, round(p2, 6) AS treatment_mean,
                n1 AS n_control_events, n2 AS n_treatment_events,
-               CASE WHEN NOT usable THEN 'Insufficient data (zero trials in one or both groups)'
-                    WHEN least(n1, n2) < 30 THEN 'Small sample size (' || least(n1, n2)
-                         || ' events). Normal approximation may be unreliable.'
-                    WHEN least(x1, x2) < 5 THEN 'Very few successes in one group. Consider using exact test.'
+               CASE WHEN NOT usable THEN '{tests.NO_TRIALS_WARNING}'
+                    WHEN least(n1, n2) < {tests.MIN_TRIALS}
+                         THEN replace('{tests.FEW_TRIALS_WARNING}', '%d', least(n1, n2)::VARCHAR)
+                    WHEN least(x1, x2) < {tests.MIN_SUCCESSES} THEN '{tests.FEW_SUCCESSES_WARNING}'
                END AS warning
         FROM f"""
 
@@ -484,9 +484,8 @@ def share_significance(spark, sf_dir):
 
 @query(
     "metric_direction",
-    """SELECT event_type || '_rate' AS metric, count(*) AS n,
-              NOT regexp_matches(event_type, 'bounce|abandon|churn|error|fail|cancel|refund|return|complaint|wait|latency|cost|exit|drop|loss')
-                AS higher_is_better
+    f"""SELECT event_type || '_rate' AS metric, count(*) AS n,
+              NOT regexp_matches(event_type, '{"|".join(tests.LOWER_IS_BETTER_KEYWORDS)}') AS higher_is_better
        FROM events GROUP BY 1, 3""",
 )
 def metric_direction(spark, sf_dir):
