@@ -58,7 +58,7 @@ def expand_bits(data: bytes) -> np.ndarray:
 
 def pack_texts(texts: list[bytes]) -> bytes:
     lengths = np.array([len(t) for t in texts], "<u8")
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([len(texts).to_bytes(8, "little"), lengths.tobytes(), *texts]))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([len(texts).to_bytes(8, "little"), lengths.tobytes(), *texts]))
 
 
 def unpack_texts(data: bytes) -> list[bytes]:
