@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import struct
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +29,10 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Pieces(dict):
     """Ids of a word and the space before it, made when first asked for."""
 
@@ -51,7 +57,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         vocabulary, symbol = spec["model"]["vocab"], _byte_of_symbol()
@@ -75,12 +81,16 @@ class Encoder:
         encoding = tiktoken.Encoding(
             "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.whole = lambda text: np.array(encoding.encode_ordinary(text), "<u4").tobytes()
+        self.whole = lambda text: _packed(encoding.encode_ordinary(text))
         self.pieces = _Pieces(self.whole)
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.uneven.search(text):
             return self.whole(text)
         first, *words = text.split(" ")
