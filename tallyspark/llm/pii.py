@@ -1,4 +1,4 @@
-"""Personal data: candidate spans, boosted trees over their format and context, calibrated thresholds.
+"""Personal data: candidate spans, boosted trees over their context, calibrated thresholds.
 
 Everything is built of DataFrame functions. Spans travel inside the row of their document as arrays, so texts are not
 shuffled; lengths and places are counted in code points.
@@ -29,21 +29,28 @@ BASE = {
 }
 # What a text must hold for a pattern of the kind to be worth a search.
 HINT = {"email": r"[@]|\([Aa][Tt]\)|\[[Aa][Tt]\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-# Generators of high recall: formats that people also write, and much that is no personal data.
+# Generators of high recall: formats that people also write, and much that is no personal data. A plain dot between
+# labels has a space on both sides or on none; with one after it only, a sentence ends.
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\([Aa][Tt]\)|\[[Aa][Tt]\])\x20?[A-Za-z0-9-]++"
-    r"(?:\x20?(?:\.|\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\])\x20?[A-Za-z0-9-]++)*+",
+    r"(?:(?:\.|\x20\.\x20|\x20?(?:\([Dd][Oo][Tt]\)|\[[Dd][Oo][Tt]\])\x20?)[A-Za-z0-9-]++)*+",
     "ip": r"(?<![0-9])[0-9]{1,4}+(?:\x20?\.\x20?[0-9]{1,4}+){2,4}+",
     "card": r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){11,20}+",
     "phone": r"\+?\(?[0-9](?:[\x20()./-]{0,3}[0-9]){6,15}+",
 }
-FEATURES = (
-    "kind", "n_digits", "n_groups", "longest_group", "n_separators", "n_distinct", "plus", "luhn", "octets", "at_sign",
-    "n_labels", "letter_before", "letter_after", "digit_before", "digit_after", "named", "secret", "in_quotes",
-)
+# What stands around a span and how varied its digits are. Nothing here tells one notation from another: what
+# the base patterns ask for is the positive class, and by their signs every other notation would be told from it.
+FEATURES = ("kind", "n_distinct", "letter_before", "letter_after", "digit_before", "digit_after", "named", "secret", "in_quotes")
 # Words before a span that name its kind, or that announce a secret or an identifier.
-NAMED = "(?i)(?:e-?mail|mail|ip|addr|host|card|karte|tarjeta|carte|visa|pay|phone|tel|fon|call|mobil|fax)[^a-z0-9]*$"
-SECRET = "(?i)(?:token|password|passwort|secret|key|hash|sha|md5|version|id|no)[\\x20:=\"'#]*$"
+NAMED = {
+    "email": "(?i)(?:mail|contact|write to)[^a-z0-9]*$",
+    "ip": r"(?i)(?:\bip|addr|address|host|server)[^a-z0-9]*$",
+    "card": r"(?i)(?:card|karte|tarjeta|carte|visa|\bpay)[^a-z0-9]*$",
+    "phone": r"(?i)(?:phone|\btel|fon|\bcall|mobil|mobile|fax)[^a-z0-9]*$",
+}
+SECRET = r"(?i)\b(?:token|password|passwort|secret|key|hash|sha|md5|version|id|no)[\x20:=\"'#]*$"
+# An address has a dot in its domain, in whichever notation.
+DOMAIN = r"(?:@|\([Aa][Tt]\)|\[[Aa][Tt]\])\x20?[A-Za-z0-9-]+(?:\.|\x20\.\x20|\x20?[(\[][Dd][Oo][Tt][)\]])"
 # Bound on the distinct (features, label) rows that the trees are fitted to; counts of all candidates are their weights.
 FITTED = 20_000
 TARGET_PRECISION = 0.995
@@ -167,33 +174,35 @@ def base_spans(docs: DataFrame, kept: list[str]) -> DataFrame:
 
 def _features(c: Column) -> list[Column]:
     """Features of a candidate, all small whole numbers."""
-    match, digits = c["match"], _digits(c["match"])
-    groups = F.filter(F.split(match, "[^0-9]+"), lambda g: F.length(g) > 0)
-    longest = F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0))
-    n = F.length(digits)
     values = {
         "kind": c["kind"],
-        "n_digits": F.least(n, F.lit(24)),
-        "n_groups": F.least(F.size(groups), F.lit(8)),
-        "longest_group": F.least(longest, F.lit(20)),
-        "n_separators": F.least(F.length(match) - F.length(F.regexp_replace(match, "[^A-Za-z0-9]", "")), F.lit(12)),
-        "n_distinct": F.size(F.array_distinct(F.split(digits, ""))),
-        "plus": match.startswith("+"),
-        "luhn": F.when((n >= 12) & (n <= 19), _luhn(digits)).otherwise(False),
-        "octets": (F.size(groups) == 4) & F.forall(groups, lambda g: (F.length(g) < 4) & (g.cast("int") <= 255)),
-        "at_sign": match.contains("@"),
-        "n_labels": F.when(c["kind"] == 0, F.least(F.size(F.split(match, r"\.")), F.lit(6))).otherwise(0),
+        "n_distinct": F.size(F.array_distinct(F.split(_digits(c["match"]), ""))),
         "letter_before": c["before"].rlike(r"[\p{L}_]$"),
         "letter_after": c["after"].rlike(r"^[\p{L}_]"),
         "digit_before": c["before"].rlike(r"[0-9][.\x20-]?$"),
         "digit_after": c["after"].rlike(r"^[.\x20-]?[0-9]"),
-        "named": c["before"].rlike(NAMED),
+        "named": reduce(lambda a, b: a | b, [(c["kind"] == i) & c["before"].rlike(NAMED[k]) for i, k in enumerate(KINDS)]),
         "secret": c["before"].rlike(SECRET),
         "in_quotes": c["before"].rlike("[\"']$") | c["after"].rlike("^[\"']"),
     }
     return [F.coalesce(values[f].cast("int"), F.lit(0)).alias(f) for f in FEATURES]
 
 
+def _ruled_out(c: Column) -> Column:
+    """Whether a candidate cannot be of its kind in any notation: by check digit, octets, digits or domain, or as part of a secret or identifier."""
+    match, digits = c["match"], _digits(c["match"])
+    groups, n = F.split(match, "[^0-9]+"), F.length(digits)
+    whole = {
+        "email": match.rlike(r"(?:\.|\)|\])\x20?[A-Za-z][A-Za-z0-9-]*[A-Za-z]$") & match.rlike(DOMAIN),
+        "ip": (F.size(groups) == 4) & F.forall(groups, lambda g: (F.length(g) < 4) & (g.cast("int") <= 255)),
+        "card": F.when((n >= 16) & (n <= 19), _luhn(digits)).otherwise(False),
+        "phone": n.between(8, 15),
+    }
+    possible = reduce(lambda a, b: a | b, [(c["kind"] == i) & whole[k] for i, k in enumerate(KINDS)])
+    joined = c["before"].rlike(r"[\p{L}\p{N}_]$") | c["after"].rlike(r"^[\p{L}\p{N}_]")
+    return ~F.coalesce(possible, F.lit(False)) | joined | c["before"].rlike(SECRET)
+
+
 def _is_base(c: Column) -> Column:
     """Whether a candidate is, as it stands, what the base patterns accept."""
     whole = [
@@ -245,45 +254,50 @@ class Detector:
         wanted = {k: t for k, t in self.thresholds.items() if t < inf}
         if self.model is None or not wanted:
             return F.lit(False)
-        score = self.score(_features(c))
-        return reduce(lambda a, b: a | b, [(c["kind"] == k) & (score >= t) for k, t in wanted.items()])
+        score = F.round(self.score(_features(c)), 3)
+        return ~_ruled_out(c) & reduce(lambda a, b: a | b, [(c["kind"] == k) & (score >= t) for k, t in wanted.items()])
 
 
 def fit(docs: DataFrame, trees: int = 8, depth: int = 4, fitted: int = FITTED) -> Detector:
-    """Fits the trees to candidates of the column ``text``; what the base patterns accept is the positive class.
-
-    Candidates of all documents are counted by (features, label); features are small numbers, so there are few
-    such rows, and at most ``fitted`` of them, the most frequent first, are fitted with their counts as weights. The trees see neither
-    the pattern that accepted a span nor the text itself, so what looks and stands like personal data in another
-    notation scores like it. A quarter of the rows is held out from fitting: on it, the threshold of a kind is the least score
-    from which on, of all candidates of the kind, ``TARGET_PRECISION`` are positive. A kind without enough examples gets none.
+    """Fits the trees to candidates of the column ``text`` of which it is known what they are.
+
+    What the base patterns accept is the positive class; candidates that cannot be of their kind in any notation (``_ruled_out``) are the
+    negative one. All others are what the trees are to judge, so they belong to neither class, and neither fitting nor
+    calibration reads them. Known candidates of all documents are counted by (features, label); features are small
+    numbers, so there are few such rows, and at most ``fitted`` of them, the most frequent first, are fitted with their counts as weights. The trees see
+    what stands around a span, not its notation, so what stands like personal data scores like it in any notation. A quarter of the known candidates is held out from fitting: on it, the threshold of a kind is the least score
+    from which on, of all known candidates of the kind, ``TARGET_PRECISION`` are positive. A kind without enough examples of both classes gets none.
     """
     found = candidates(docs, []).select(F.explode("candidates").alias("c"))
-    counted = found.select(*_features(F.col("c")), F.coalesce(_is_base(F.col("c")), F.lit(False)).cast("int").alias("label"))
-    counted = counted.groupBy(*FEATURES, "label").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64(*FEATURES), F.lit(4))
+    base = F.coalesce(_is_base(F.col("c")), F.lit(False))
+    label = F.when(base, 1).when(_ruled_out(F.col("c")), 0)
+    held = (F.pmod(F.xxhash64("c.match", "c.before", "c.after"), F.lit(4)) == 0).alias("held")
+    counted = found.select(*_features(F.col("c")), label.alias("label"), held).where("label IS NOT NULL")
+    counted = counted.groupBy(*FEATURES, "label", "held").agg(F.count("*").alias("n"))
     rows = durable(
-        counted.withColumn("part", part)
-        .withColumn("weight", F.col("n").cast("double"))
-        .orderBy(F.col("n").desc(), *FEATURES, "label")
+        counted.withColumn("weight", F.col("n").cast("double"))
+        .orderBy(F.col("n").desc(), *FEATURES, "label", "held")
         .limit(fitted)
     )
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    train = rows.where("part > 0").coalesce(1)
+    train = rows.where("NOT held").coalesce(1)
     if train.select("label").distinct().count() < 2:
         return Detector(None, {})
     model = GBTClassifier(
         labelCol="label", weightCol="weight", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7, minInstancesPerNode=1
     ).fit(train)
     unsplit = Detector(model, {})
-    scores = rows.where("part = 0").select("kind", "label", "n", F.round(unsplit.score([F.col(f) for f in FEATURES]), 3).alias("p"))
+    scores = rows.where("held").select("kind", "label", "n", F.round(unsplit.score([F.col(f) for f in FEATURES]), 3).alias("p"))
     thresholds: dict[int, float] = {}
     # At most four kinds times a thousand scores.
     by_score = scores.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits")).collect()
     for kind in range(len(KINDS)):
         n = hits = 0
         thresholds[kind] = inf
-        for r in sorted((r for r in by_score if r["kind"] == kind), key=lambda r: -r["p"]):
+        own = [r for r in by_score if r["kind"] == kind]
+        if sum(r["n"] - r["hits"] for r in own) < 20:
+            continue
+        for r in sorted(own, key=lambda r: -r["p"]):
             n, hits = n + r["n"], hits + r["hits"]
             if hits < TARGET_PRECISION * n:
                 break

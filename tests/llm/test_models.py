@@ -89,6 +89,33 @@ def test_trees_add_other_notations_and_leave_numbers_alone(spark):
     assert got[90_000]["spans"] in ("", "card:5:24")
 
 
+def test_trees_add_planted_spans_of_other_notations(spark):
+    def luhn(i):
+        head = f"{400000000000000 + i * 7919317:015d}"
+        return head + next(d for d in "0123456789" if brute.luhn(head + d))
+
+    rows, planted = [], {}
+    for i in range(1200):
+        card, host = luhn(i), f"host{i % 9}.example.org"
+        mail, ip, tel = f"user{i}@{host}", f"10.{i % 256}.3.{i % 200}", f"+49 30 {100000 + i}"
+        if i % 3 == 0:
+            mail, ip = mail.replace("@", " (at) ").replace(".", " (dot) "), ip.replace(".", " . ")
+            tel, card = tel.replace("+", "00"), "./"[i % 2].join(card[k : k + 4] for k in range(0, 16, 4))
+        text = ""
+        for kind, words, span in (("card", "card ", card), ("email", ", mail ", mail), ("ip", ", ip ", ip), ("phone", ", tel ", tel)):
+            text += words
+            planted.setdefault(i, set()).add(f"{kind}:{len(text)}:{len(text) + len(span)}")
+            text += span
+        rows.append((i, text))
+        bad = str((int(luhn(i)[-1]) + 1) % 10)
+        rows.append((10_000 + i, f"part {luhn(i)[:15]}{bad} level {300 + i % 99}.2.3.4, they met {i} (at) noon, nos {1_000_000 + i}, id {i:09d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in personal_data(docs).collect()}
+    found = sum(len(spans & got[i]) for i, spans in planted.items() if i % 3 == 0)
+    assert found == 4 * 400, Counter(s.split(":")[0] for i in range(0, 1200, 3) for s in planted[i] - got[i])
+    assert all(got[i] == set(brute.personal(t)) for i, t in rows if i >= 10_000)
+
+
 def test_redaction_replaces_spans_once(spark):
     docs = spark.createDataFrame(
         [(1, "é a@b.co, +1 (389) 555-5010!", 0), (2, None, 0), (3, "clean", 9), (4, "+4337166598464399 x", 1)], "doc_id long, text string, n_chars int"
