@@ -258,36 +258,37 @@ class Detector:
         return ~_ruled_out(c) & reduce(lambda a, b: a | b, [(c["kind"] == k) & (score >= t) for k, t in wanted.items()])
 
 
+def _parts(counted: DataFrame, fitted: int) -> tuple[DataFrame, DataFrame]:
+    """The rows to fit, at most ``fitted``, the most frequent first, and all held-out rows, from rows counted by (features, label, held)."""
+    train = counted.where("NOT held").withColumn("weight", F.col("n").cast("double"))
+    return train.orderBy(F.col("n").desc(), *FEATURES, "label").limit(fitted), counted.where("held")
+
+
 def fit(docs: DataFrame, trees: int = 8, depth: int = 4, fitted: int = FITTED) -> Detector:
     """Fits the trees to candidates of the column ``text`` of which it is known what they are.
 
     What the base patterns accept is the positive class; candidates that cannot be of their kind in any notation (``_ruled_out``) are the
     negative one. All others are what the trees are to judge, so they belong to neither class, and neither fitting nor
     calibration reads them. Known candidates of all documents are counted by (features, label); features are small
-    numbers, so there are few such rows, and at most ``fitted`` of them, the most frequent first, are fitted with their counts as weights. The trees see
+    numbers, so there are few such rows, and at most ``fitted`` of those not held out, the most frequent first, are fitted with their counts as weights. The trees see
     what stands around a span, not its notation, so what stands like personal data scores like it in any notation. A quarter of the known candidates is held out from fitting: on it, the threshold of a kind is the least score
-    from which on, of all known candidates of the kind, ``TARGET_PRECISION`` are positive. A kind without enough examples of both classes gets none.
+    from which on, of all held-out candidates of the kind, whatever ``fitted``, ``TARGET_PRECISION`` are positive. A kind without enough examples of both classes gets none.
     """
     found = candidates(docs, []).select(F.explode("candidates").alias("c"))
     base = F.coalesce(_is_base(F.col("c")), F.lit(False))
     label = F.when(base, 1).when(_ruled_out(F.col("c")), 0)
     held = (F.pmod(F.xxhash64("c.match", "c.before", "c.after"), F.lit(4)) == 0).alias("held")
     counted = found.select(*_features(F.col("c")), label.alias("label"), held).where("label IS NOT NULL")
-    counted = counted.groupBy(*FEATURES, "label", "held").agg(F.count("*").alias("n"))
-    rows = durable(
-        counted.withColumn("weight", F.col("n").cast("double"))
-        .orderBy(F.col("n").desc(), *FEATURES, "label", "held")
-        .limit(fitted)
-    )
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    train = rows.where("NOT held").coalesce(1)
+    counted = durable(counted.groupBy(*FEATURES, "label", "held").agg(F.count("*").alias("n")))
+    train, calibration = _parts(counted, fitted)
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(durable(train)).coalesce(1)
     if train.select("label").distinct().count() < 2:
         return Detector(None, {})
     model = GBTClassifier(
         labelCol="label", weightCol="weight", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7, minInstancesPerNode=1
     ).fit(train)
     unsplit = Detector(model, {})
-    scores = rows.where("held").select("kind", "label", "n", F.round(unsplit.score([F.col(f) for f in FEATURES]), 3).alias("p"))
+    scores = calibration.select("kind", "label", "n", F.round(unsplit.score([F.col(f) for f in FEATURES]), 3).alias("p"))
     thresholds: dict[int, float] = {}
     # At most four kinds times a thousand scores.
     by_score = scores.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits")).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.backoff_lm import score_texts
 from tallyspark.llm.line_crf import LineReader, forward_backward, line_quality
 from tallyspark.llm.mixing import mix_sources, repetition_rates
-from tallyspark.llm.pii import Detector, fit, personal_data, redact
+from tallyspark.llm.pii import FEATURES, Detector, _parts, fit, personal_data, redact
 from tallyspark.llm.quality_rules import RULES, estimate, keep_good, quality_verdicts
 from tallyspark.llm.topk import SortedLists, top_k
 from tests.llm import brute
@@ -116,6 +116,14 @@ def test_trees_add_planted_spans_of_other_notations(spark):
     assert all(got[i] == set(brute.personal(t)) for i, t in rows if i >= 10_000)
 
 
+def test_bound_of_the_fit_leaves_calibration_whole(spark):
+    rows = [(0, k, *[0] * (len(FEATURES) - 2), k % 2, k % 4 == 0, 1000 - k) for k in range(200)]
+    counted = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in FEATURES) + ", label int, held boolean, n long")
+    train, calibration = _parts(counted, 20)
+    assert sorted(r["n"] for r in train.collect()) == sorted(r[-1] for r in sorted(rows, key=lambda r: -r[-1]) if not r[-2])[-20:]
+    assert sorted(r["n"] for r in calibration.collect()) == sorted(r[-1] for r in rows if r[-2])
+
+
 def test_redaction_replaces_spans_once(spark):
     docs = spark.createDataFrame(
         [(1, "é a@b.co, +1 (389) 555-5010!", 0), (2, None, 0), (3, "clean", 9), (4, "+4337166598464399 x", 1)], "doc_id long, text string, n_chars int"
