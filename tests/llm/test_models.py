@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.backoff_lm import score_texts
 from tallyspark.llm.line_crf import LineReader, forward_backward, line_quality
 from tallyspark.llm.mixing import mix_sources, repetition_rates
-from tallyspark.llm.pii import FEATURES, Detector, _parts, fit, personal_data, redact
+from tallyspark.llm.pii import ACCEPTED, FEATURES, KINDS, OPEN, OUT, Detector, boost, bounded, fit, personal_data, redact
 from tallyspark.llm.quality_rules import RULES, estimate, keep_good, quality_verdicts
 from tallyspark.llm.topk import SortedLists, top_k
 from tests.llm import brute
@@ -31,7 +31,7 @@ def ordered(rows):
 
 # --- personal data ------------------------------------------------------------------------------------------------
 
-NONE = Detector(None, {})
+NONE = Detector(0.0, [], {})
 HARD = [
     "a@b.c_d@e.f x 1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.4 +1 (389) 555-5010 4337166598464399 4337-1665 98464399",
     "é4337166598464399é+49 30 123456 é😀 a@b a@b. a@b.c- @x.y %@-.-",
@@ -78,7 +78,7 @@ def test_trees_add_other_notations_and_leave_numbers_alone(spark):
     rows.append((90_000, "card 4337.1665.9846.4399 and no more"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     detector = fit(docs.select("text"))
-    assert detector.model is not None
+    assert len(detector.wanted()) == 4
     got = {r["doc_id"]: r for r in personal_data(docs, detector=detector).collect()}
     check_base(got.values(), rows)
     for key, text in rows:
@@ -116,12 +116,49 @@ def test_trees_add_planted_spans_of_other_notations(spark):
     assert all(got[i] == set(brute.personal(t)) for i, t in rows if i >= 10_000)
 
 
-def test_bound_of_the_fit_leaves_calibration_whole(spark):
-    rows = [(0, k, *[0] * (len(FEATURES) - 2), k % 2, k % 4 == 0, 1000 - k) for k in range(200)]
-    counted = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in FEATURES) + ", label int, held boolean, n long")
-    train, calibration = _parts(counted, 20)
-    assert sorted(r["n"] for r in train.collect()) == sorted(r[-1] for r in sorted(rows, key=lambda r: -r[-1]) if not r[-2])[-20:]
-    assert sorted(r["n"] for r in calibration.collect()) == sorted(r[-1] for r in rows if r[-2])
+def test_bound_of_the_fit_takes_the_most_frequent_known_rows(spark):
+    rows = [(0, k % 32, *[0] * (len(FEATURES) - 2), (OUT, ACCEPTED, OPEN)[k % 3], k % 4 == 0, 1000 - k) for k in range(200)]
+    counted = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in FEATURES) + ", class int, held boolean, n long")
+    known = sorted(r[-1] for r in rows if not r[-2] and r[-3] != OPEN)
+    assert sorted(r["n"] for r in bounded(counted, 20).collect()) == known[-20:]
+
+
+def test_trees_fit_what_no_single_feature_tells():
+    x = np.array([[a, b, c] for a in range(4) for b in range(4) for c in range(2)])
+    right = (x[:, 0] > 1) ^ (x[:, 1] > 1)
+    start, trees = boost(x, right, np.arange(1.0, len(x) + 1), trees=12, depth=4)
+    detector = Detector(start, trees, {})
+    assert len(trees) == 12 and all(not isinstance(t, float) for t in trees)
+    from tallyspark.llm.pii import _leaves
+
+    margin = start + sum(_leaves(t, x) for t in detector.trees)
+    assert ((margin > 0) == right).all()
+
+
+def test_documents_with_planted_notations_over_a_whole_table(spark):
+    """Other notations among the documents of a table are added; documents without them are left as the base patterns leave them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    base = spark.createDataFrame(
+        [(i, f" mail u{i}.{i % 7}@mail{i % 9}.example.com , +1 ({200 + i % 700}) 555-{1000 + i} and {i % 256}.{i % 99}.3.{i % 200} on") for i in range(400)],
+        "doc_id long, tail string",
+    )
+    other = [" u.7 (at) mail3 (dot) example (dot) org on", " u8 at mail4 dot example dot com on", " 10 . 1 . 22 . 3 on", " 10[.]1[.]22[.]3 on", " 1-389-555-5010 on", " (389) 555 5010 on"]
+    kinds = ["email", "email", "ip", "ip", "phone", "phone"]
+    tails = F.array(*[F.lit(t) for t in other])
+    mixed = docs.join(base, "doc_id", "left")
+    planted = F.when(F.col("doc_id") % 10 == 7, F.get(tails, ((F.col("doc_id") - 7) / 10).cast("int") % len(other))).otherwise(F.coalesce("tail", F.lit("")))
+    rows = mixed.select("doc_id", F.concat(F.coalesce("text", F.lit("")), planted).alias("text")).collect()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hit = Counter()
+    for r in personal_data(frame).collect():
+        spans, text = set(filter(None, r["spans"].split(","))), next(t for i, t in rows if i == r["doc_id"])
+        added = spans - set(brute.personal(text))
+        k = (r["doc_id"] - 7) // 10 % len(other)
+        if r["doc_id"] % 10 == 7:
+            hit[k] += any(s.startswith(kinds[k]) and int(s.split(":")[1]) >= len(text) - len(other[k]) for s in added)
+        else:
+            assert not added, (added, text[-80:])
+    assert all(hit[k] >= 15 for k in range(len(other))), hit
 
 
 def test_redaction_replaces_spans_once(spark):
