@@ -204,11 +204,12 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is kept; columns and their order stay as they are."""
     digest = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    verdicts = judged(docs, text_col, {"__id": F.col(f"`{id_col}`"), "__digest": digest})
-    good = verdicts.where("kept").select("__id", "__digest").distinct()
-    rows = docs.withColumn("__digest_own", digest)
-    same = rows[f"`{id_col}`"].eqNullSafe(good["__id"]) & (rows["__digest_own"] == good["__digest"])
-    return rows.join(good, same, "left_semi").drop("__digest_own")
+    verdicts = judged(docs, text_col, {"id": F.col(f"`{id_col}`"), "digest": digest})
+    good = verdicts.where("kept").select(F.col("id").alias("good_id"), F.col("digest").alias("good_digest")).distinct()
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(own.alias("own"), F.col(f"`{id_col}`").alias("id"), digest.alias("digest"))
+    left = rows.join(good, F.col("id").eqNullSafe(F.col("good_id")) & (F.col("digest") == F.col("good_digest")), "left_semi")
+    return left.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_sql() -> str:

@@ -262,16 +262,16 @@ def keep_one(
     # What the row is called by: id and hash of its text, a null id last.
     name = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("digest"))
     kept = prints.join(near_groups(prints, max_bits), "fp").groupBy("root").agg(F.min(name).alias("name"))
-    kept = durable(kept.select(F.col("name.id").alias("__id"), F.col("name.digest").alias("__digest")))
+    kept = durable(kept.select(F.col("name.id").alias("kept_id"), F.col("name.digest").alias("kept_digest")))
     digest = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = docs.withColumn("__digest_own", digest)
-    same = rows[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (rows["__digest_own"] == kept["__digest"])
-    left = rows.join(kept, same, "left_semi")
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(own.alias("own"), F.col(f"`{id_col}`").alias("id"), digest.alias("digest"))
+    left = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
     # Rows alike in id and text: seldom there, and only then is the text shuffled to leave one of them.
     alike = prints.groupBy("id", "digest").count().where("count > 1").limit(1).count()
     if alike:
-        left = left.dropDuplicates([id_col, "__digest_own"])
-    return left.drop("__digest_own")
+        left = left.dropDuplicates(["id", "digest"])
+    return left.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 __all__ = ["fingerprint", "fingerprints", "keep_one", "near_duplicates", "near_groups"]

@@ -1,6 +1,6 @@
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, score double, kept string, copy_no int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, score double, kept string, copy_no int, __name string, __source string, __text string, __clean string, __digest_own long, own int, name string, steps double, f int"
 
 
 def _rows():
@@ -24,7 +24,7 @@ def _rows():
     rows.append((None, "A row that has no id but a text of its own. It stands alone here.", None, "s", 0))
     rows.append(rows[0])
     rows.append((1, "Another text under an id that is taken.", "en", "t", 3))
-    return [(*r, 7, "x", 0.5, "no", 3) for r in rows]
+    return [(*r, 7, "x", 0.5, "no", 3, "n", "s", "t", "c", 11, 12, "m", 1.5, 9) for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -391,6 +391,31 @@ def test_copies_are_poisson(spark):
         assert counts[k] == pytest.approx(want, abs=5 * math.sqrt(want))
 
 
+OWN_NAMES = ("__name", "__source", "__text", "__clean", "__digest_own", "own", "name", "steps", "f")
+
+
+@pytest.mark.parametrize("stage", ["mix", "redact", "one", "good"])
+def test_columns_of_any_name_keep_their_values(odd, stage):
+    from tallyspark.llm.simhash import keep_one
+
+    run = {"mix": lambda d: mix_sources(d, total=200), "redact": lambda d: redact(d, length_col="n_chars", detector=NONE), "one": keep_one, "good": keep_good}
+    # One document that no rule rejects, so that every stage has a row to return.
+    row = odd.where("doc_id = 6").withColumn("text", F.lit(" ".join(f"Word{i} of a calm, plain sentence here." for i in range(40))))
+    got = run[stage](odd.where("doc_id <> 6").unionByName(row)).select(*OWN_NAMES).distinct().collect()
+    assert [tuple(r) for r in got] == [("n", "s", "t", "c", 11, 12, "m", 1.5, 9)]
+
+
+def test_rare_sources_are_drawn_in_chunks(spark):
+    docs = spark.createDataFrame([(i, "x", "rare" if i < 3 else "big") for i in range(3000)], "doc_id long, text string, source string")
+    mixed = mix_sources(docs)
+    counts = {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert counts["rare"] == pytest.approx(1500, abs=200) and counts["big"] == pytest.approx(1500, abs=200)
+    copies = mixed.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("last"))
+    assert copies.where("n <> d OR n <> last + 1").count() == 0
+    again = mix_sources(docs.repartition(5))
+    assert ordered(map(tuple, again.collect())) == ordered(map(tuple, mixed.collect()))
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     mixed = mix_sources(odd, total=500)
     assert mixed.columns == [*[c for c in odd.columns if c != "copy_no"], "copy_no", "shuffle_key"]
