@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from math import exp, log
 
@@ -14,61 +14,55 @@ from ..session import durable
 SPACES = " \t\n\x0b\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Counts that only rules use.
-FURTHER = ("n_lines", "n_ended_lines", "n_capitals", "n_distinct_words")
-# Windows of a text that fit the packed form of window and place.
-PACKED = 1 << 24
+FURTHER = ("n_lines", "n_ended_lines", "n_capitals", "n_distinct_words", "n_letters", "n_exclaims")
 
-# Rule: (share, bad if it holds, good if it holds); otherwise the rule abstains. In SQL for both engines.
+# Rule: (bad if it holds, good if it holds); otherwise the rule abstains. In SQL for both engines.
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words < 10", "n_words >= 100"),
+    "chars": ("word_chars < 50", "word_chars >= 400"),
     "repeats": ("5 * n_repeat_words > n_words", "20 * n_repeat_words <= n_words AND n_words > 0"),
+    "lines": ("3 * n_dup_lines > n_lines", "n_dup_lines = 0 AND n_lines > 0"),
+    "variety": ("5 * n_distinct_words < 2 * n_words", "5 * n_distinct_words >= 3 * n_words AND n_words > 0"),
     "symbols": ("25 * n_symbols > n_words", "n_symbols = 0 AND n_words > 0"),
+    "letters": ("10 * n_letters < 9 * word_chars", "100 * n_letters >= 95 * word_chars AND n_words > 0"),
     "capitals": ("5 * n_capitals > word_chars", "15 * n_capitals <= word_chars AND n_words > 0"),
-    "lines": ("3 * n_dup_lines > n_lines", "n_dup_lines = 0 AND n_lines > 0"),
+    "exclaims": ("10 * n_exclaims > n_words", "50 * n_exclaims <= n_words AND n_words > 0"),
     "endings": ("2 * n_ended_lines < n_lines", "4 * n_ended_lines >= 3 * n_lines AND n_lines > 0"),
-    "variety": ("5 * n_distinct_words < 2 * n_words", "5 * n_distinct_words >= 3 * n_words AND n_words > 0"),
+    "short_lines": ("n_words < 4 * n_lines", "n_words >= 8 * n_lines AND n_lines > 0"),
 }
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 ROUNDS = 20
-# A document is good or has one chief fault, that which a rule looks for. A rule that votes finds fault with good
-# documents seldom, with those of its own fault mostly, and with those of other faults as often as may be. Where the estimate
-# starts, between which bounds it stays, and with the weight of how many documents the start is counted in.
-KINDS_OF_TEXT = ("good", *RULES)
-START_PRIOR = {k: 0.8 if k == "good" else 0.2 / len(RULES) for k in KINDS_OF_TEXT}
+# A document is good or has one chief fault, which several rules look for, each by other evidence: whether a rule's bad votes are
+# errors on good documents or a fault of the documents shows in whether the others agree.
+FAULTS: dict[str, tuple[str, ...]] = {
+    "brevity": ("length", "chars"),
+    "repetition": ("repeats", "lines", "variety"),
+    "markup": ("symbols", "letters"),
+    "shouting": ("capitals", "exclaims"),
+    "fragments": ("endings", "short_lines"),
+}
+KINDS_OF_TEXT = ("good", *FAULTS)
+START_PRIOR = {k: 0.8 if k == "good" else 0.2 / len(FAULTS) for k in KINDS_OF_TEXT}
+# The start of every rate is the mean of its Beta prior, which counts as much as so many votes.
 WEIGHT = 20
 
 
 def _start(kind: str, rule: str) -> tuple[float, float, float]:
-    """Chance that the rule's vote on a document of the kind is bad: start, least, most."""
-    return (0.005, 0.001, 0.005) if kind == "good" else (0.9, 0.8, 0.999) if kind == rule else (0.2, 0.001, 0.999)
-
+    """Chance that the rule's vote on a document of the kind is bad: start, least, most.
 
-def _starts_of_repeats(words: Column, ordered: Column) -> Column:
-    """Places of windows that occur again, from packed (hash, place) in order.
-
-    Equal hashes stand together; of neighbours that agree in the 40 bits kept the words themselves are compared.
+    The bounds only say what the kinds mean: a rule errs on fewer than half of the good documents, and sees more
+    than half of those with its own fault. Between them the estimate is free.
     """
-    mask = F.lit(PACKED - 1)
+    return (0.05, 0.0001, 0.45) if kind == "good" else (0.9, 0.55, 0.999) if rule in FAULTS[kind] else (0.2, 0.001, 0.999)
 
-    def same(x: Column, y: Column) -> Column:
-        a, b = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-        equal = F.shiftrightunsigned(x, 24) == F.shiftrightunsigned(y, 24)
-        for k in range(3):
-            equal = equal & (F.get(words, a + k) == F.get(words, b + k))
-        return F.coalesce(equal, F.lit(False))
 
-    found = F.filter(ordered, lambda x, k: same(x, F.get(ordered, k - 1)) | same(x, F.get(ordered, k + 1)))
-    return F.transform(found, lambda x: x.bitwiseAND(mask).cast("int"))
+def _beside(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The elements of an array in order that are the same as the one before or after them."""
 
+    def met(x: Column, y: Column) -> Column:
+        return F.coalesce(same(x, y), F.lit(False))
 
-def _starts_unpacked(ordered: Column) -> Column:
-    """The same for texts of more words than the packed form holds, from (hash, place) pairs in order."""
-    found = F.filter(
-        ordered,
-        lambda x, k: F.coalesce(x["hash"] == F.get(ordered, k - 1)["hash"], F.lit(False))
-        | F.coalesce(x["hash"] == F.get(ordered, k + 1)["hash"], F.lit(False)),
-    )
-    return F.transform(found, lambda x: x["place"])
+    return F.filter(ordered, lambda x, k: met(x, F.get(ordered, k - 1)) | met(x, F.get(ordered, k + 1)))
 
 
 def text_counts(docs: DataFrame, text_col: str, keep: Mapping[str, Column]) -> DataFrame:
@@ -84,6 +78,8 @@ def text_counts(docs: DataFrame, text_col: str, keep: Mapping[str, Column]) -> D
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("bigint").alias("n_capitals"),
+        F.regexp_count("text", F.lit(r"\p{L}")).cast("bigint").alias("n_letters"),
+        F.regexp_count("text", F.lit("!")).cast("bigint").alias("n_exclaims"),
     )
     n = F.size("words")
     words = F.col("words")
@@ -91,9 +87,9 @@ def text_counts(docs: DataFrame, text_col: str, keep: Mapping[str, Column]) -> D
     def window(i: Column) -> Column:
         return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
+    # 32 bits of a window's hash and its place, which an array's size keeps below 31 bits.
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    packed = F.transform(places, lambda i: F.shiftleft(window(i), 24).bitwiseOR(i.cast("bigint")))
-    pairs = F.transform(places, lambda i: F.struct(window(i).alias("hash"), i.alias("place")))
+    packed = F.transform(places, lambda i: F.shiftleft(window(i).bitwiseAND(F.lit(2**32 - 1)), 31).bitwiseOR(i.cast("bigint")))
     rows = rows.select(
         *kept,
         "words",
@@ -101,18 +97,25 @@ def text_counts(docs: DataFrame, text_col: str, keep: Mapping[str, Column]) -> D
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         "n_symbols",
         "n_capitals",
+        "n_letters",
+        "n_exclaims",
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?][\x20\x09-\x0D]*\z"))).cast("bigint").alias("n_ended_lines"),
         F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct_words"),
-        F.when(n < PACKED, F.sort_array(packed)).alias("packed"),
-        F.when(n >= PACKED, F.sort_array(pairs)).alias("pairs"),
+        F.sort_array(packed).alias("packed"),
     )
-    starts = F.when(F.col("packed").isNotNull(), _starts_of_repeats(words, F.col("packed"))).otherwise(
-        _starts_unpacked(F.col("pairs"))
+    counts = [c for c in (*COUNTS, *FURTHER) if c != "n_repeat_words"]
+    # Windows that stand next to one of the same hash may occur again; those alone are sorted by their words.
+    rows = rows.select(*kept, *counts, "words", _beside(F.col("packed"), lambda x, y: F.shiftright(x, 31) == F.shiftright(y, 31)).alias("packed"))
+    place = F.transform("packed", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    rows = rows.select(*kept, *counts, "words", place.alias("places"))
+    named = F.transform(
+        "places", lambda i: F.struct(*[F.get(words, i + k).alias(f"w{k}") for k in range(3)], i.alias("place"))
     )
-    rows = rows.select(*kept, *(c for c in (*COUNTS, *FURTHER) if c != "n_repeat_words"), starts.alias("starts"))
-    covered = F.flatten(F.transform("starts", lambda s: F.array(s, s + 1, s + 2)))
+    rows = rows.select(*kept, *counts, F.sort_array(named).alias("windows"))
+    again = _beside(F.col("windows"), lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]))
+    covered = F.flatten(F.transform(again, lambda x: F.array(x["place"], x["place"] + 1, x["place"] + 2)))
     repeats = F.size(F.array_distinct(covered)).cast("bigint").alias("n_repeat_words")
     return rows.select(*kept, *(repeats if c == "n_repeat_words" else F.col(c) for c in (*COUNTS, *FURTHER)))
 
@@ -143,7 +146,7 @@ def estimate(
     """How often each rule finds fault with each kind of document, and the share of each kind, from counted votes.
 
     A round gives each pattern of votes its posterior over the kinds, then counts by it. What a rule gets right about good
-    documents is one minus its share of faults there, about its own kind the share itself.
+    documents is one minus its share of faults there, about its own fault the share itself.
     """
     faults = {k: {r: _start(k, r)[0] for r in RULES} for k in KINDS_OF_TEXT}
     priors = dict(START_PRIOR)
@@ -190,10 +193,10 @@ def judged(docs: DataFrame, text_col: str, keep: Mapping[str, Column]) -> DataFr
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict of every document.
 
-    Rules on length, repetition, symbols, capitals, lines and variety vote good or bad or abstain.
+    Rules on length, repetition, symbols, letters, capitals and lines vote good or bad or abstain, two or more for each fault.
     Expectation-maximisation estimates from their agreement over all documents, without labels, how
-    often each is right about good documents and about each kind of fault; a document is kept if it does not fail the base rule and its posterior probability of being good is at
-    least one half. Votes are counted by pattern before anything else, so the shuffle is as small as the patterns.
+    often each is right about good documents and about each kind of fault; a document is kept if it does not fail the base rule
+    and its posterior probability of being good is at least one half, whatever a single rule says. Votes are counted by pattern before anything else, so the shuffle is as small as the patterns.
 
     Null and empty texts have no words and fail the base rule. Rows with null or repeated ids are judged
     each for itself; other columns are not looked at; an empty table gives an empty result.
@@ -254,7 +257,8 @@ def quality_sql() -> str:
     repeats AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(3) AS t(k) GROUP BY r),
     counts AS (SELECT w.r, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
                len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-               len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(lines) AS n_lines,
+               len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '\\p{{L}}')) AS n_letters,
+               len(text) - len(replace(text, '!', '')) AS n_exclaims, len(lines) AS n_lines,
                len(lines) - len(list_distinct(lines)) AS n_dup_lines,
                len(list_filter(lines, lambda x: regexp_matches(x, '[.!?][\\x20\\x09-\\x0D]*\\z'))) AS n_ended_lines,
                len(list_distinct(words)) AS n_distinct_words, coalesce(n_repeat_words, 0) AS n_repeat_words

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .backoff_lm import score_texts
+from .collocations import collocations
+from .hnsw import nearest
 from .line_crf import line_quality
 from .mixing import mix_sources, mixing_sql
 from .packing import pack
@@ -16,6 +18,7 @@ from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .topk import top_k
+from .variants import spelling_variants
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +66,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), window=13)
 
 
+def op11_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_documents(spark, sf_dir), spoil=199, min_length=6, min_count=5, ratio=5)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir), min_count=100, top=2000)
+
+
 TOP_K_SQL = """
     WITH v AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS vec
                FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_mix_sources,
         op10_substring_dedup,
+        op11_approximate_neighbours,
+        op12_spelling_variants,
+        op13_collocations,
     )
 }
 

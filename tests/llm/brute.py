@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -118,3 +119,67 @@ def unigram_base(rows, held):
         (key, len(own), sum(counts[t] > 0 for t in own), total, sum(math.log10((counts[t] + 1) / (total + types + 1)) for t in own))
         for (key, _), own in zip(rows, tokens, strict=True)
     ]
+
+
+def spelling(rows, spoil=199, min_length=6, min_count=5, ratio=5):
+    """(word, form, root, n, n_near, form_n) of (id, text) rows."""
+    counts = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            word = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{word}".encode())
+            if spoil and h % spoil == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            counts[word] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= min_length and n >= min_count}
+    shapes = {}
+    for w in words:
+        for i in range(len(w)):
+            shapes.setdefault((i, w[:i] + w[i + 1 :]), []).append(w)
+    near = {w: set() for w in words}
+    for same in shapes.values():
+        for a in same:
+            near[a].update(b for b in same if b != a)
+    for w in words:
+        for i in range(len(w)):
+            short = w[:i] + w[i + 1 :]
+            if short in words:
+                near[w].add(short)
+                near[short].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-words[o], o), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = []
+    for w in words:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, words[w], len(near[w]), words[form[w]] if form[w] else None))
+    return out
+
+
+def phrases(rows, min_count=100, top=2000, longest=5):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    counts, total = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        own = counts.setdefault(lang, Counter())
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lower):
+            ws = re.findall("[^ \t]+", piece)
+            total[lang] += len(ws)
+            for k in range(1, longest + 1):
+                own.update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+    out = []
+    for lang, own in counts.items():
+        often = {g: a for g, a in own.items() if len(g) > 1 and a >= min_count}
+        kept = []
+        for g, a in often.items():
+            if any(len(h) > len(g) and b >= a and any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1)) for h, b in often.items()):
+                continue
+            cut = min((1000 * a * total[lang] // (own[g[:k]] * own[g[k:]]), k) for k in range(1, len(g)))
+            kept.append((-cut[0], -a, " ".join(g).encode(), own[g[: cut[1]]], own[g[cut[1] :]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return out

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
 
 
@@ -30,7 +30,7 @@ def test_native_plans_hold_no_python(spark, name):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
-@pytest.mark.parametrize("name", ["op1_simhash_near_duplicates", "op6_best_fit_packing", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_simhash_near_duplicates", "op6_best_fit_packing", "op10_substring_dedup", "op11_approximate_neighbours", "op12_spelling_variants", "op13_collocations"])
 def test_no_cross_joins(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
