@@ -174,9 +174,14 @@ def phrases(rows, min_count=100, top=2000, longest=5):
     out = []
     for lang, own in counts.items():
         often = {g: a for g, a in own.items() if len(g) > 1 and a >= min_count}
-        kept = []
+        kept, longer = [], Counter()
+        for h, b in often.items():
+            for i in range(len(h)):
+                for j in range(i + 2, len(h) + 1):
+                    if j - i < len(h):
+                        longer[h[i:j]] = max(longer[h[i:j]], b)
         for g, a in often.items():
-            if any(len(h) > len(g) and b >= a and any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1)) for h, b in often.items()):
+            if longer[g] >= a:
                 continue
             cut = min((1000 * a * total[lang] // (own[g[:k]] * own[g[k:]]), k) for k in range(1, len(g)))
             kept.append((-cut[0], -a, " ".join(g).encode(), own[g[: cut[1]]], own[g[cut[1] :]]))
