@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..model import Rollup
+from ..operators.aggregates import grouped, kpi_totals, pivot_from_rollup, rollup_totals
+from ..operators.derived import baseline_inflation
+from ..operators.joins import missing_dates
 from ..plans import rollups as jobs
 from ..plans import usage
 from ..session import scratch_path
-from ..sources.tables import write_daily_table
+from ..sources.tables import stored_dates, write_daily_table
 from .base import query, rounded
-from .models import EV, FUNNEL, LOG, SHOP, customer_lookup, query_log, shop, volumes_sql
+from .models import EV, FUNNEL, LOG, SHOP, customer_lookup, query_log, shop, shop_wide, volumes_sql
 
 ROLLUP_DIMS = ["date", "segment", "search_term"]
 ROLLUP_SQL = f"""WITH {EV} SELECT date, segment, search_term, {volumes_sql(*FUNNEL)} FROM ev GROUP BY ALL"""
@@ -68,6 +71,103 @@ def refresh_all(spark, sf_dir):
     return jobs.refresh_all(fact, SHOP, rollups).drop("message")
 
 
+NESTED = {
+    "by_type_segment": ["date", "event_type", "segment"],
+    "by_type": ["date", "event_type"],
+    "by_segment": ["date", "segment"],
+    "by_day": ["date"],
+    "by_type_ever": ["event_type"],
+}
+
+
+def _nested_sql() -> str:
+    parts = []
+    for name, dims in NESTED.items():
+        cells = [f"{d} AS {d}" if d in dims else f"NULL AS {d}" for d in ("date", "event_type", "segment")]
+        parts.append(f"SELECT '{name}' AS rollup, {', '.join(cells)}, {volumes_sql(*FUNNEL)} FROM ev GROUP BY {', '.join(dims)}")
+    return f"WITH {EV} " + " UNION ALL ".join(parts)
+
+
+@query("refresh_nested", _nested_sql())
+def refresh_nested(spark, sf_dir):
+    """Nested rollups, one missing and the others behind by ten days, of which only the widest reads the fact."""
+    fact, root = shop(spark, sf_dir), scratch_path(spark, "nested")
+    lookups = [customer_lookup(spark, sf_dir, unique=True)]
+    rollups = {name: (dims, f"{root}/{name}") for name, dims in NESTED.items()}
+    early = {n: r for n, r in rollups.items() if n not in ("by_day", "by_type_ever")}
+    jobs.refresh_all(fact.filter("date <= DATE '2024-01-20'"), SHOP, early, lookups, metrics=FUNNEL)
+    jobs.refresh_all(fact, SHOP, rollups, lookups, metrics=FUNNEL)
+    stored = None
+    for name, (dims, path) in rollups.items():
+        own = spark.read.parquet(path)
+        cells = [F.col(d) if d in dims else F.lit(None).cast("date" if d == "date" else "string").alias(d) for d in ("date", "event_type", "segment")]
+        own = own.select(F.lit(name).alias("rollup"), *cells, *FUNNEL)
+        stored = own if stored is None else stored.unionByName(own)
+    return rounded(stored)
+
+
+# A merged distinct count is within this share of the exact one: four standard errors of a sketch and more.
+SKETCH_ERROR = 0.035
+
+
+def _sketched(spark, sf_dir):
+    """A daily rollup by segment with sketches of the visitors."""
+    path = scratch_path(spark, "sketched")
+    metrics, lookups = ["queries", "visitors"], [customer_lookup(spark, sf_dir, unique=True)]
+    jobs.build_rollup(shop(spark, sf_dir), SHOP, ["date", "segment"], path, metrics, lookups, sketches=True)
+    return spark.read.parquet(path)
+
+
+@query(
+    "pivot_from_sketches",
+    f"WITH {EV} SELECT segment, {volumes_sql('queries', 'visitors')}, true AS merged_within_error FROM ev GROUP BY 1",
+)
+def pivot_from_sketches(spark, sf_dir):
+    """Distinct visitors by segment, merged from 30 daily sketches, beside the exact count."""
+    merged = pivot_from_rollup(_sketched(spark, sf_dir), SHOP, ["segment"], ["queries", "visitors"], limit=1000)
+    merged = merged.select("segment", "queries", F.col("visitors").alias("merged"))
+    exact = grouped(shop_wide(spark, sf_dir), SHOP, ["segment"], None, ["visitors"]).withColumnRenamed("segment", "of")
+    both = merged.join(exact, F.col("segment").eqNullSafe(F.col("of")))
+    within = F.abs(F.col("merged") - F.col("visitors")) <= SKETCH_ERROR * F.col("visitors") + 0.5
+    return both.select("segment", "queries", "visitors", within.alias("merged_within_error"))
+
+
+@query(
+    "daily_from_sketches",
+    f"WITH {EV} SELECT date, segment, {volumes_sql('queries', 'visitors')} FROM ev GROUP BY ALL",
+)
+def daily_from_sketches(spark, sf_dir):
+    """At the rollup's own grain, where nothing is merged, counts are the exact ones."""
+    merged = pivot_from_rollup(_sketched(spark, sf_dir), SHOP, ["date", "segment"], ["queries", "visitors"], limit=10**6)
+    return merged.select("date", "segment", "queries", "visitors")
+
+
+@query(
+    "baseline_inflation_merged",
+    f"WITH {EV} SELECT 'visitors' AS metric, {volumes_sql('visitors').removesuffix(' AS visitors')} AS exact, true AS sums_inflate, false AS sketches_inflate FROM ev",
+)
+def baseline_inflation_merged(spark, sf_dir):
+    """Summed daily counts overstate the visitors; those merged by sketch do not."""
+    stored = _sketched(spark, sf_dir)
+    fact = shop(spark, sf_dir)
+    exact = kpi_totals(fact, SHOP, metrics=["visitors"])
+    plain = baseline_inflation(stored.select("visitors"), exact, ["visitors"], SKETCH_ERROR)
+    sketched = baseline_inflation(rollup_totals(stored, SHOP, ["visitors"]), exact, ["visitors"], SKETCH_ERROR)
+    rows = plain.select("metric", F.col("baseline").cast("bigint").alias("exact"), F.col("is_inflated").alias("sums_inflate"))
+    return rows.join(sketched.select("metric", F.col("is_inflated").alias("sketches_inflate")), "metric")
+
+
+@query(
+    "missing_dates_stored",
+    """SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-20'""",
+)
+def missing_dates_stored(spark, sf_dir):
+    """Dates that a daily table lacks, its own read off its partitions."""
+    fact, path = shop(spark, sf_dir), scratch_path(spark, "daily")
+    jobs.build_rollup(fact.filter("date <= DATE '2024-01-20'"), SHOP, ["date", "event_type"], path, FUNNEL)
+    return missing_dates(fact, stored_dates(spark, path))
+
+
 @query(
     "staleness",
     """SELECT true AS is_stale, true AS target_exists, max(CAST(ts AS DATE)) AS source_max,

@@ -30,13 +30,17 @@ _AGGREGATES = {
     "approx_count_distinct": F.approx_count_distinct,
 }
 
+# Size of a stored distinct sketch: 2 ** 14 registers, about 0.8 % off (one standard error), at most 16 KiB a row, far less while few values are in it.
+SKETCH_PRECISION = 14
+SKETCH_SUFFIX = "__sketch"
+
 # Metrics whose daily values can be added up, or combined by taking the extreme again.
 _MERGE = {
     "sum": F.sum,
     "count": F.sum,
     "min": F.min,
     "max": F.max,
-    # Summed daily distinct counts overstate the whole; `baseline_inflation` measures by how much.
+    # Summed daily distinct counts overstate the whole (`baseline_inflation` measures by how much), unless the rollup holds sketches.
     "count_distinct": F.sum,
     "approx_count_distinct": F.sum,
 }
@@ -90,8 +94,32 @@ class Metric:
             argument = F.when(condition, argument)
         return _AGGREGATES[self.agg](argument).alias(self.id)
 
-    def merge(self, condition: Column | None = None) -> Column:
-        """Combine stored values of this metric, e.g. over the days of a rollup."""
+    @property
+    def sketch_name(self) -> str:
+        """The column in which a rollup holds this metric's sketch."""
+        return f"{self.id}{SKETCH_SUFFIX}"
+
+    def sketch(self) -> Column:
+        """A mergeable sketch of the distinct values that this metric counts, over fact rows; NULL values are left out."""
+        if not self.is_distinct:
+            raise ValueError(f"metric {self.id!r} counts no distinct values")
+        value = F.expr(fill_placeholders(self.expr))
+        return F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), SKETCH_PRECISION).alias(self.sketch_name)
+
+    def merged_sketch(self) -> Column:
+        """The union of stored sketches, again as a column of the same kind."""
+        return F.hll_union_agg(self.sketch_name).alias(self.sketch_name)
+
+    def merge(self, condition: Column | None = None, stored: Iterable[str] = ()) -> Column:
+        """Combine stored values of this metric, e.g. over the days of a rollup.
+
+        ``stored`` are the rollup's columns. If its sketch is among them, a distinct count over several stored rows is estimated from the
+        union of their sketches; that of a single row is the exact count stored with it.
+        """
+        if self.is_distinct and self.sketch_name in set(stored) and condition is None:
+            one = F.count(F.col(self.id)) == 1
+            union = F.hll_sketch_estimate(F.hll_union_agg(self.sketch_name))
+            return F.when(one, F.max(F.col(self.id))).otherwise(F.coalesce(union, F.lit(0).cast("bigint"))).alias(self.id)
         if self.agg not in _MERGE:
             raise ValueError(
                 f"metric {self.id!r} ({self.agg}) cannot be combined from stored values; "

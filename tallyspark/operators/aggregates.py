@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import truncate_date
 from ..functions.scalars import approx_distinct, composite_key, composite_key_name, label_value
-from ..model import Filters, Metric, Segment, SemanticModel, fill_placeholders
+from ..model import EMPTY_MARKER, NULL_MARKER, Filters, Metric, Segment, SemanticModel
 from ..session import durable
 from .derived import TOTALS, derived_metrics, pct_of_total
 from .filters import (
@@ -43,14 +45,14 @@ def _with(metrics: Sequence[str] | None, sort_by: str | None) -> Sequence[str] |
 
 
 def volume_metrics(
-    model: SemanticModel, metrics: Sequence[str] | None = None, stored: bool = False
+    model: SemanticModel, metrics: Sequence[str] | None = None, stored: bool = False, columns: Sequence[str] = ()
 ) -> list[Column]:
     """Aggregate columns of the volumes behind the wanted metrics.
 
-    ``stored`` reads a rollup, whose columns already hold the metrics.
+    ``stored`` reads a rollup with these ``columns``, which already hold the metrics and perhaps sketches of the distinct ones.
     """
     volumes = model.required_volumes(metrics)
-    return [m.merge() if stored else m.aggregate() for m in volumes]
+    return [m.merge(stored=columns) if stored else m.aggregate() for m in volumes]
 
 
 def wanted_metrics(model: SemanticModel, metrics: Sequence[str] | None) -> list[Metric]:
@@ -83,7 +85,7 @@ def grouped(
 ) -> DataFrame:
     """Filter, group by the dimensions, aggregate the volumes and derive the other metrics."""
     rows = apply_filters(df, model, filters, dimensions)
-    columns = volume_metrics(model, metrics, stored)
+    columns = volume_metrics(model, metrics, stored, rows.columns)
     result = rows.groupBy(*dimensions).agg(*columns) if dimensions else rows.agg(*columns)
     return derived_metrics(result, derivations(model, metrics))
 
@@ -170,7 +172,7 @@ def trend(
     """Metrics per day, week or month, ordered by date."""
     rows = apply_filters(df, model, filters)
     period = truncate_date(F.col(model.date), granularity, week_start).alias(model.date)
-    result = rows.groupBy(period).agg(*volume_metrics(model, metrics, stored))
+    result = rows.groupBy(period).agg(*volume_metrics(model, metrics, stored, rows.columns))
     return derived_metrics(result, derivations(model, metrics)).orderBy(model.date)
 
 
@@ -186,7 +188,7 @@ def breakdown(
     """Metrics by one dimension as text, first values in alphabetical order."""
     rows = apply_filters(df, model, filters, [dimension])
     result = rows.groupBy(label_value(dimension).alias("dimension_value")).agg(
-        *volume_metrics(model, metrics, stored)
+        *volume_metrics(model, metrics, stored, rows.columns)
     )
     return derived_metrics(result, derivations(model, metrics)).orderBy("dimension_value").limit(limit)
 
@@ -234,7 +236,7 @@ def dimension_values_by_metric(
     """Values of a rollup dimension, largest summed metric first."""
     metric = model.metric(sort_by or model.sort_metric)
     rows = search_values(apply_filters(rollup, model, filters, [dimension]), dimension, search)
-    values = page(rows.groupBy(dimension).agg(metric.merge()), metric.id, [dimension], limit)
+    values = page(rows.groupBy(dimension).agg(metric.merge(stored=rows.columns)), metric.id, [dimension], limit)
     return values.select(label_value(dimension).alias("value"), metric.id)
 
 
@@ -302,9 +304,9 @@ def cardinality_ranking(df: DataFrame, dimensions: Sequence[str], top: int = 4)
 def rollup_totals(
     rollup: DataFrame, model: SemanticModel, metrics: Sequence[str], filters: Filters | None = None
 ) -> DataFrame:
-    """Summed rollup metrics under filters, NULL shown as 0."""
+    """Merged rollup metrics under filters, NULL shown as 0."""
     rows = apply_filters(rollup, model, filters)
-    sums = [model.metric(m).merge() for m in metrics]
+    sums = [model.metric(m).merge(stored=rows.columns) for m in metrics]
     return rows.agg(*sums).select(*[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in metrics])
 
 
@@ -320,12 +322,15 @@ def pivot_from_rollup(
     sort_by: str | None = None,
     ascending: bool = False,
 ) -> DataFrame:
-    """Rows of a rollup, re-aggregated to a subset of its dimensions unless told otherwise."""
+    """Rows of a rollup, re-aggregated to a subset of its dimensions unless told otherwise.
+
+    Distinct counts of a rollup with sketches are merged by them; without, they are added up and overstate.
+    """
     if not dimensions and not metrics:
         raise ValueError("nothing to select: give dimensions or metrics")
     rows = apply_filters(rollup, model, filters)
     if reaggregate:
-        sums = [model.metric(m).merge() for m in metrics]
+        sums = [model.metric(m).merge(stored=rows.columns) for m in metrics]
         rows = rows.groupBy(*dimensions).agg(*sums) if dimensions else rows.agg(*sums)
     else:
         rows = rows.select(*dimensions, *metrics)
@@ -336,18 +341,72 @@ def pivot_from_rollup(
     return page(rows, sort, ties, limit, offset, ascending)
 
 
-def segment_plan(
-    df: DataFrame, base: Mapping[str, Sequence[str]], segments: Sequence
-) -> tuple[Column, list[Column]]:
-    """The filter shared by all segments, and one condition per segment.
+# Entries of an inverted index that are sent to all tasks, at some 40 bytes each; a larger one is joined by hash.
+INDEX_BROADCAST = 500_000
+
+
+def segment_plan(base: Mapping[str, Sequence[str]], segments: Sequence[Segment]) -> tuple[dict, list[dict]]:
+    """The filter shared by all segments, and the values that each segment allows by dimension.
 
     A segment's values replace the base filter's values for the same dimension.
     """
     overridden = {d for s in segments for d in s.dimensions}
     shared = {d: v for d, v in base.items() if d not in overridden}
     local = {d: v for d, v in base.items() if d in overridden}
-    conditions = [all_of(dimension_conditions(df, {**local, **s.dimensions})) for s in segments]
-    return all_of(dimension_conditions(df, shared)), conditions
+    return shared, [{d: v for d, v in {**local, **s.dimensions}.items() if v} for s in segments]
+
+
+def _index(rows: DataFrame, dimension: str, allowed: Sequence[tuple[int, int, Sequence[str]]], shapes: Sequence[int], name: str) -> DataFrame:
+    """Each value of a dimension once, with the segments that allow it, apart by shape: (``<name>``, ``<name>_<shape>``...).
+
+    ``allowed`` has (shape, segment, values as text). Values are cast to the dimension's type, so texts for one value meet.
+    """
+    kind = rows.schema[dimension].dataType
+    entries = []
+    for shape, segment, values in allowed:
+        for v in dict.fromkeys(values):
+            if v == EMPTY_MARKER and not isinstance(kind, T.StringType):
+                continue
+            entries.append((None if v == NULL_MARKER else "" if v == EMPTY_MARKER else v, shape, segment))
+    # One partition: the few rows need no exchange of their own.
+    text = rows.sparkSession.createDataFrame(entries, "v string, shape int, segment int").coalesce(1)
+    typed = text.select(F.col("v").cast(kind).alias(name), "shape", "segment")
+    members = [F.array_sort(F.collect_set(F.when(F.col("shape") == s, F.col("segment")))).alias(f"{name}_{s}") for s in shapes]
+    index = typed.groupBy(name).agg(*members)
+    return F.broadcast(index) if len(entries) <= INDEX_BROADCAST else index
+
+
+def segment_members(rows: DataFrame, conditions: Sequence[Mapping[str, Sequence[str]]]) -> DataFrame:
+    """``rows`` with ``_segment``, once for each segment that a row is in, as its position in ``conditions``.
+
+    An inverted index for each dimension leads from a value to the segments that allow it. Segments that restrict the same
+    dimensions are one shape; a row is in those of a shape that all its dimensions allow, the intersection of what
+    their indexes say. A row costs a look-up for each dimension, however many segments there are, and the plan has the
+    same size for any number of them.
+    """
+    by_shape: dict[tuple[str, ...], list[int]] = {}
+    for i, c in enumerate(conditions):
+        by_shape.setdefault(tuple(sorted(c)), []).append(i)
+    shapes = list(by_shape)
+    columns = rows.columns
+    dimensions = sorted({d for shape in shapes for d in shape})
+    for k, d in enumerate(dimensions):
+        own = [s for s, shape in enumerate(shapes) if d in shape]
+        allowed = [(s, i, conditions[i][d]) for s in own for i in by_shape[shapes[s]]]
+        index = _index(rows, d, allowed, own, f"_index_{k}")
+        # Where every shape restricts the dimension, a value that no segment allows is in none.
+        how = "inner" if len(own) == len(shapes) else "left"
+        rows = rows.join(index, F.col(quoted(d)).eqNullSafe(F.col(f"_index_{k}")), how)
+    none = F.array().cast("array<int>")
+    found = []
+    for s, shape in enumerate(shapes):
+        if not shape:
+            found.append(F.expr(f"array({', '.join(map(str, by_shape[shape]))})"))
+            continue
+        parts = [F.coalesce(F.col(f"_index_{dimensions.index(d)}_{s}"), none) for d in shape]
+        found.append(reduce(F.array_intersect, parts))
+    member = found[0] if len(found) == 1 else F.concat(*found)
+    return rows.select(*[F.col(quoted(c)) for c in columns], F.explode(member).alias(SEGMENT))
 
 
 SEGMENT = "_segment"
@@ -366,19 +425,19 @@ def segment_rows(
     """One row per (``by``, segment) that has fact rows: ``_segment`` (its position), ``rows`` and all metrics.
 
     Each fact row is mapped to the segments it is in, mostly one, and takes part in plain aggregates by
-    segment, whatever they are: the plan has the same size for any number of segments, and there is no
-    limit to them. ``by`` adds row dimensions; a row's own value then replaces what a segment or
-    the base filter says about that dimension.
+    segment, whatever they are. Which segments those are is looked up by value (``segment_members``): the plan has the same
+    size for any number of segments, and there is no limit to them. ``by`` adds row dimensions; a row's own value then
+    replaces what a segment or the base filter says about that dimension.
     """
     filters = (filters or Filters()).without(by)
     segments = [type(s)(s.label, {d: v for d, v in s.dimensions.items() if d not in by}) for s in segments]
     names = [*by, *filters.dimensions, *[d for s in segments for d in s.dimensions]]
     rows = apply_filters(df, model, filters.without(filters.dimensions), names)
-    shared, conditions = segment_plan(rows, filters.dimensions, segments)
-    rows = rows.filter(shared).filter(_anywhere(rows, filters, segments))
-    member = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
-    rows = rows.withColumn(SEGMENT, F.explode(member))
-    result = rows.groupBy(*by, SEGMENT).agg(F.count(F.lit(1)).alias(ROWS), *volume_metrics(model, metrics, stored))
+    shared, conditions = segment_plan(filters.dimensions, segments)
+    rows = rows.filter(all_of(dimension_conditions(rows, shared))).filter(_anywhere(rows, filters, segments))
+    volumes = volume_metrics(model, metrics, stored, rows.columns)
+    rows = segment_members(rows, conditions)
+    result = rows.groupBy(*by, SEGMENT).agg(F.count(F.lit(1)).alias(ROWS), *volumes)
     return derived_metrics(result, derivations(model, metrics))
 
 
@@ -410,6 +469,28 @@ def in_columns(
     return long.groupBy(*by).agg(*cells) if by else long.agg(*cells)
 
 
+CONTROL, CELL = "control", "cell"
+
+
+def treatment_cells(long: DataFrame, names: Sequence[str], by: Sequence[str], segments: int) -> DataFrame:
+    """Rows by segment as one row for each (``by``, treatment): ``_segment`` from 1, ``control`` and ``cell`` as structs of ``names``.
+
+    Segment 0 is the control. A treatment that a row does not have gets a cell of NULLs, so every row that there is has all
+    treatments. No column is laid out: a row gathers its cells as a list, at most one for each segment.
+    """
+    struct = F.struct(*[F.col(quoted(n)).alias(n) for n in names])
+    kind = long.select(struct.alias("s")).schema[0].dataType
+    # NULLs of the right types, as a struct that is there.
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+    control = F.coalesce(F.max(F.when(F.col(SEGMENT) == 0, struct)), empty).alias(CONTROL)
+    cells = F.collect_list(F.when(F.col(SEGMENT) > 0, F.struct(F.col(SEGMENT).alias(SEGMENT), struct.alias(CELL)))).alias("_cells")
+    gathered = long.groupBy(*by).agg(control, cells) if by else long.agg(control, cells)
+    present = F.transform("_cells", lambda c: c[SEGMENT])
+    absent = F.array_except(F.sequence(F.lit(1), F.lit(segments - 1)), present)
+    rest = F.transform(absent, lambda i: F.struct(i.alias(SEGMENT), empty.alias(CELL)))
+    return gathered.select(*by, CONTROL, F.inline(F.concat("_cells", rest)))
+
+
 def segment_totals(
     df: DataFrame,
     model: SemanticModel,
@@ -573,10 +654,12 @@ __all__ = [
     "reaggregate_metrics",
     "requested_days",
     "rollup_totals",
+    "segment_members",
     "segment_metrics",
     "segment_rows",
     "segment_totals",
     "top_terms",
+    "treatment_cells",
     "total_row",
     "trend",
     "volume_metrics",

@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import label_value
 from ..model import LABEL_SEPARATOR, Filters, Lookup, Segment, SemanticModel
+from ..session import durable
 from .aggregates import SEGMENT, in_columns, ordering, quoted, segment_metrics, segment_rows
 from .filters import apply_filters, filter_dates, null_safe, search_values
 
+Dates = Sequence[date]
+
 _KEY = "_lookup_key"
 
 
@@ -108,15 +112,28 @@ def joined_dimension_values(
     return search_values(values, "value", search).distinct().orderBy("value").limit(limit)
 
 
-def missing_dates(source: DataFrame, target: DataFrame, date_column: str = "date", since: date | str | None = None) -> DataFrame:
+def missing_dates(
+    source: DataFrame | Dates,
+    target: DataFrame | Dates,
+    date_column: str = "date",
+    since: date | str | None = None,
+) -> DataFrame:
     """Dates of the source that the target does not have; at most one row per calendar day.
 
-    ``since`` leaves older dates out, and with it the reader skips the files or partitions before it.
+    Either side is a frame or, as ``stored_dates`` tells them for a table that is partitioned by date, a list of dates: then no row
+    and no file of that side is read. ``since`` leaves older dates out, and with it the reader of a frame skips the files or
+    partitions before it.
     """
-    have = filter_dates(target, since, date_column=date_column).select(date_column).distinct()
-    dates = filter_dates(source, since, date_column=date_column).select(date_column)
-    dates = dates.filter(F.col(date_column).isNotNull()).distinct()
-    return dates.join(have, date_column, "left_anti")
+    if not isinstance(source, DataFrame) and not isinstance(target, DataFrame):
+        raise ValueError("one side has to be a frame; two lists of dates are a set difference")
+    spark = (source if isinstance(source, DataFrame) else target).sparkSession
+
+    def days(side: DataFrame | Dates) -> DataFrame:
+        if not isinstance(side, DataFrame):
+            side = spark.createDataFrame([(d,) for d in sorted(set(side))], f"{quoted(date_column)} date").coalesce(1)
+        return filter_dates(side, since, date_column=date_column).select(date_column).filter(F.col(date_column).isNotNull()).distinct()
+
+    return days(source).join(days(target), date_column, "left_anti")
 
 
 def match_primary_rows(
@@ -128,25 +145,39 @@ def match_primary_rows(
     return df.join(keys, null_safe(df, keys, [(d, f"_key_{d}") for d in dimensions]), "left_semi")
 
 
-def column_values(df: DataFrame, dimension: str, limit: int | None = None) -> list[str]:
+def column_values(df: DataFrame, dimension: str, limit: int) -> list[str]:
     """The values of a column dimension as a list, needed before a wide result can be planned.
 
-    A ``limit`` on the columns of a layout is the caller's; more values are an error then, never a cut.
+    ``limit`` is how many columns the caller can lay out; more values are an error, never a cut.
     """
     found = df.select(label_value(dimension).alias("v")).distinct().orderBy("v")
-    values = (found if limit is None else found.limit(limit + 1)).collect()
-    if limit is not None and len(values) > limit:
+    values = found.limit(limit + 1).collect()
+    if len(values) > limit:
         raise ValueError(f"{dimension!r} has more than {limit} values and cannot be laid out as columns")
     return [r.v for r in values]
 
 
+# Combinations made at most, and by one task.
+MOST_COMBINATIONS = 10_000_000
+COMBINATIONS_PER_TASK = 100_000
+
+
 def column_combinations(
-    df: DataFrame, model: SemanticModel, dimensions: Sequence[str], filters: Filters | None = None
+    df: DataFrame,
+    model: SemanticModel,
+    dimensions: Sequence[str],
+    filters: Filters | None = None,
+    most: int = MOST_COMBINATIONS,
 ) -> DataFrame:
-    """Every combination of the distinct values of the column dimensions.
+    """Every combination of the distinct values of the column dimensions, by index arithmetic.
+
+    One scan finds the distinct values of all dimensions, which are numbered within their dimension. Combination i is made of the
+    values that the digits of i name, in a number system with as many digits as there are dimensions, each counting its
+    values; ranges of i are spread over tasks and a join for each dimension looks its digit up. No task holds all values of
+    a dimension, and nothing is multiplied out on the way.
 
-    The distinct values of each dimension are joined one dimension after the other. The result is what is asked for and
-    as long as their product; it is spread over the tasks of the longest dimension, with the others as lists.
+    The result is as long as the product of the numbers of values; more than ``most`` combinations are an error, found
+    before any is made. ``observed_combinations`` has no such bound.
     """
     rows = apply_filters(df, model, filters, dimensions)
     values = (
@@ -154,15 +185,22 @@ def column_combinations(
         .unpivot([], list(dimensions), "dimension", "value")
         .distinct()
     )
-    lists = values.groupBy().agg(
-        *[F.array_sort(F.collect_set(F.when(F.col("dimension") == d, F.col("value")))).alias(d) for d in dimensions]
-    )
-    first, *others = dimensions
-    # The first dimension's values are rows; those of the others come along as lists from one subquery.
-    along = lists.select(F.struct(*[F.col(d) for d in dimensions]).alias("lists")).scalar()
-    result = values.filter(F.col("dimension") == first).select(F.col("value").alias(first), along.alias("_lists"))
-    for d in others:
-        result = result.withColumn(d, F.explode(F.col("_lists").getField(d)))
+    values = durable(values)
+    sizes = {r["dimension"]: r["count"] for r in values.groupBy("dimension").count().collect()}
+    total = prod(sizes.get(d, 0) for d in dimensions)
+    if total > most:
+        counts = ", ".join(f"{d} {sizes[d]}" for d in dimensions)
+        raise ValueError(f"{total} combinations of columns ({counts}) are more than {most}")
+    # The bound on the product bounds each dimension, so a window per dimension holds.
+    order = Window.partitionBy("dimension").orderBy("value")
+    numbered = durable(values.withColumn("digit", F.row_number().over(order).cast("bigint") - 1))
+    tasks = max(1, -(-total // COMBINATIONS_PER_TASK))
+    result, stride = df.sparkSession.range(0, total, 1, tasks), 1
+    for k, d in reversed(list(enumerate(dimensions))):
+        digit = F.expr(f"(id div {stride}) % {max(sizes.get(d, 0), 1)}")
+        side = numbered.filter(F.col("dimension") == d).select(F.col("digit").alias(f"_digit_{k}"), F.col("value").alias(d))
+        result = result.withColumn("_digit", digit).join(side, F.col("_digit") == F.col(f"_digit_{k}")).drop("_digit", f"_digit_{k}")
+        stride *= max(sizes.get(d, 0), 1)
     return result.select(*dimensions, F.concat_ws(LABEL_SEPARATOR, *dimensions).alias("label"))
 
 

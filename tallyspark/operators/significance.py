@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import Z_975, normal_tail
 from ..model import Filters, Metric, Segment, SemanticModel
-from .aggregates import segment_metrics, segment_totals
-from .derived import TOTALS, totals_of, with_totals
+from .aggregates import CELL, SEGMENT, segment_rows, treatment_cells
+from .aggregates import CONTROL as AGAINST
+from .derived import TOTALS
 
 # A metric whose id contains one of these is better when lower.
 LOWER_IS_BETTER_KEYWORDS = (
@@ -175,27 +176,34 @@ def share_metrics(model: SemanticModel, wanted: Sequence[str]) -> dict[str, str]
     }
 
 
-def _cell(label: str, metric: str) -> Column:
-    return F.coalesce(F.col(f"`{label}__{metric}`"), F.lit(0)).cast("bigint")
+def _labelled(segments: Sequence[Segment]) -> Column:
+    """The label of a row's segment, from one array for all of them."""
+    return F.get(F.array(*[F.lit(s.label) for s in segments]), F.col(SEGMENT))
 
 
-def _test_rows(wide: DataFrame, rows: Sequence[str], tests: list[Column]) -> DataFrame:
-    long = wide.select(*rows, F.inline(F.array(*tests)))
-    long = long.filter((F.col("control_trials") != 0) | (F.col("treatment_trials") != 0))
-    return proportion_test(long, better_high=F.col("_better_high")).drop("_better_high")
+def _count(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0)).cast("bigint")
 
 
-def _test(label: str, index: int, metric: str, high: Column, x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
+def _test(metric: str, high: Column, x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.struct(
         F.lit(metric).alias("metric_id"),
-        F.lit(label).alias("segment"),
-        F.lit(index).alias("column_index"),
         high.alias("_better_high"),
-        x1.alias("control_successes"),
-        n1.alias("control_trials"),
-        x2.alias("treatment_successes"),
-        n2.alias("treatment_trials"),
+        _count(x1).alias("control_successes"),
+        _count(n1).alias("control_trials"),
+        _count(x2).alias("treatment_successes"),
+        _count(n2).alias("treatment_trials"),
+    )
+
+
+def _test_rows(cells: DataFrame, rows: Sequence[str], segments: Sequence[Segment], tests: list[Column]) -> DataFrame:
+    long = cells.select(
+        *rows, _labelled(segments).alias("segment"), F.col(SEGMENT).alias("column_index"), F.inline(F.array(*tests))
     )
+    order = ["metric_id", "segment", "column_index", "_better_high"]
+    long = long.select(*rows, *order, *[c for c in long.columns if c not in {*rows, *order}])
+    long = long.filter((F.col("control_trials") != 0) | (F.col("treatment_trials") != 0))
+    return proportion_test(long, better_high=F.col("_better_high")).drop("_better_high")
 
 
 def segment_significance(
@@ -210,29 +218,23 @@ def segment_significance(
 ) -> DataFrame:
     """Each treatment column against the control for every eligible ratio, per row if ``rows`` is given.
 
-    The counts of all columns come from one aggregation; its rows are then tested where they are.
+    The counts of all columns come from one aggregation by row and column and stay long: each cell meets its row's control
+    where the row is, and is tested there. The plan has the same size for any number of columns.
     """
     eligible = eligible_metrics(model, metrics)
     if not eligible:
         raise ValueError("no metric is a percent ratio of two metrics")
     needed = list(dict.fromkeys(n for m in eligible for n in (m.numerator, m.denominator)))
     segments = [control, *treatments]
-    wide = segment_totals(df, model, segments, needed, filters, rows, stored, presence=False)
+    volumes = [m.id for m in model.required_volumes(needed)]
+    long = segment_rows(df, model, segments, volumes, filters, rows, stored)
+    cells = treatment_cells(long, volumes, rows, len(segments))
+    old, new = F.col(AGAINST), F.col(CELL)
     tests = [
-        _test(
-            t.label,
-            i,
-            m.id,
-            higher_is_better(F.lit(m.id)),
-            _cell(control.label, m.numerator),
-            _cell(control.label, m.denominator),
-            _cell(t.label, m.numerator),
-            _cell(t.label, m.denominator),
-        )
-        for i, t in enumerate(treatments, start=1)
+        _test(m.id, higher_is_better(F.lit(m.id)), old[m.numerator], old[m.denominator], new[m.numerator], new[m.denominator])
         for m in eligible
     ]
-    return _test_rows(wide, rows, tests)
+    return _test_rows(cells, rows, segments, tests)
 
 
 def row_significance(
@@ -259,39 +261,42 @@ def share_significance(
     filters: Filters | None = None,
     stored: bool = False,
 ) -> DataFrame:
-    """Row shares of a column's total: successes are the cell, trials the column over all rows."""
+    """Row shares of a column's total: successes are the cell, trials the column over all rows.
+
+    The totals, one entry per column, are a list in the place of the column that every cell looks its own up in.
+    """
     shares = share_metrics(model, metrics)
     if not shares:
         raise ValueError("no metric is a share (<metric>_pct) of a metric of the model")
     segments = [control, *treatments]
     base = list(dict.fromkeys(shares.values()))
-    wide = segment_totals(df, model, segments, base, filters, rows, stored, presence=False)
-    names = [f"{s.label}__{m}" for s in segments for m in base]
+    long = segment_rows(df, model, segments, base, filters, rows, stored)
     filtered = {d for s in segments for d in s.dimensions} | set((filters or Filters()).dimensions)
     additive = all(model.metric(m).agg in ("sum", "count") for m in base)
     if additive and not filtered & set(rows):
         # The rows add up to the columns, from the same shuffle.
-        wide = with_totals(wide, [c for c in wide.columns if c not in set(rows)])
+        by_segment = long.groupBy(SEGMENT).agg(*[F.sum(m).alias(m) for m in base])
     else:
         # A column keeps its own filter on a row dimension, and distinct counts do not add up.
-        whole = segment_totals(df, model, segments, base, filters, (), stored, presence=False)
-        wide = wide.withColumn(TOTALS, totals_of(whole, whole.columns))
-    total = {n: F.coalesce(F.col(TOTALS).getField(n), F.lit(0)).cast("bigint") for n in names}
-    tests = [
-        _test(
-            t.label,
-            i,
-            id,
-            F.lit(True),
-            _cell(control.label, m),
-            total[f"{control.label}__{m}"],
-            _cell(t.label, m),
-            total[f"{t.label}__{m}"],
-        )
-        for i, t in enumerate(treatments, start=1)
-        for id, m in shares.items()
-    ]
-    return _test_rows(wide, rows, tests)
+        by_segment = segment_rows(df, model, segments, base, filters, (), stored)
+    entry = F.struct(F.col(SEGMENT), *[F.col(m) for m in base])
+    totals = by_segment.agg(F.collect_list(entry).alias("totals")).select(
+        # A place for every column, those without rows empty.
+        F.sort_array(
+            F.concat(
+                "totals",
+                F.transform(
+                    F.array_except(F.sequence(F.lit(0), F.lit(len(segments) - 1)), F.transform("totals", lambda t: t[SEGMENT])),
+                    lambda i: F.struct(i.alias(SEGMENT), *[F.lit(None).cast(by_segment.schema[m].dataType).alias(m) for m in base]),
+                ),
+            )
+        ).alias("totals")
+    )
+    cells = treatment_cells(long, base, rows, len(segments)).withColumn(TOTALS, totals.scalar())
+    old, new = F.col(AGAINST), F.col(CELL)
+    whole, own = F.get(F.col(TOTALS), F.lit(0)), F.get(F.col(TOTALS), F.col(SEGMENT))
+    tests = [_test(id, F.lit(True), old[m], whole[m], new[m], own[m]) for id, m in shares.items()]
+    return _test_rows(cells, rows, segments, tests)
 
 
 _DAILY_SCHEMA = """
@@ -386,32 +391,22 @@ def daily_statistics(
     """
     segments = [control, *treatments]
     # The date is a row dimension here; filters on the range still apply.
-    daily = segment_metrics(df, model, segments, metrics, filters, [model.date], stored)
-    stats = []
-    for i, s in enumerate(segments):
-        for m in metrics:
-            value = F.when(F.col(f"`{s.label}__rows`") > 0, F.col(f"`{s.label}__{m}`").cast("double"))
-            stats += [
-                F.count(value).alias(f"n_{i}_{m}"),
-                F.avg(value).alias(f"avg_{i}_{m}"),
-                F.stddev_samp(value).alias(f"std_{i}_{m}"),
-            ]
-    row = daily.agg(*stats)
-    tests = [
-        F.struct(
-            F.lit(m).alias("metric_id"),
-            F.lit(t.label).alias("segment"),
-            higher_is_better(F.lit(m)).alias("better_high"),
-            *[
-                F.col(f"{stat}_{index}_{m}").alias(f"{side}_{stat}")
-                for side, index in (("control", 0), ("treatment", i))
-                for stat in ("n", "avg", "std")
-            ],
-        )
-        for i, t in enumerate(treatments, start=1)
-        for m in metrics
+    daily = segment_rows(df, model, segments, metrics, filters, [model.date], stored)
+    values = F.array(*[F.struct(F.lit(m).alias("metric_id"), F.col(m).cast("double").alias("value")) for m in metrics])
+    value = F.col("value")
+    moments = [F.count(value).alias("n"), F.avg(value).alias("avg"), F.stddev_samp(value).alias("std")]
+    stats = daily.select(SEGMENT, F.inline(values)).groupBy(SEGMENT, "metric_id").agg(*moments)
+    # Every metric is there, also where no column has a day.
+    names = df.sparkSession.createDataFrame([(m,) for m in metrics], "metric_id string").coalesce(1)
+    stats = stats.unionByName(names, allowMissingColumns=True)
+    # One row per (column, metric): each treatment's meets the control's, and one without data has zero days.
+    cells = treatment_cells(stats, ["n", "avg", "std"], ["metric_id"], len(segments))
+    sides = [
+        (F.coalesce(F.col(f"{which}.{stat}"), F.lit(0)) if stat == "n" else F.col(f"{which}.{stat}")).alias(f"{side}_{stat}")
+        for side, which in (("control", AGAINST), ("treatment", CELL))
+        for stat in ("n", "avg", "std")
     ]
-    return row.select(F.inline(F.array(*tests)))
+    return cells.select("metric_id", _labelled(segments).alias("segment"), higher_is_better(F.col("metric_id")).alias("better_high"), *sides)
 
 
 def daily_bayes_test(

@@ -8,17 +8,19 @@ failed job leaves the same table.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import composite_key_name
 from ..model import Lookup, Metric, Rollup, SemanticModel
 from ..operators.aggregates import with_composite_keys
-from ..operators.filters import required_columns, with_calculated_dimensions
+from ..operators.filters import filter_dates, required_columns, with_calculated_dimensions
 from ..operators.joins import join_dimensions_dedup, missing_dates
-from ..sources.tables import append_dates, path_exists, write_daily_table
+from ..sources.tables import append_dates, path_exists, stored_dates, write_daily_table
 
 BATCH_DATES = 7
 
@@ -50,13 +52,20 @@ def rollup_frame(
     dimensions: Sequence[str],
     metrics: Sequence[str] | None = None,
     lookups: Sequence[Lookup] = (),
+    sketches: bool = False,
 ) -> DataFrame:
-    """Volumes per combination of the dimensions, or a row count when there is no volume."""
+    """Volumes per combination of the dimensions, or a row count when there is no volume.
+
+    With ``sketches`` every distinct count has a mergeable sketch beside it, from which ``pivot_from_rollup`` and all
+    readers of stored rows estimate the distinct count over several days or values.
+    """
     used = [x for x in lookups if set(x.columns) & set(dimensions)]
     rows = join_dimensions_dedup(source, used)
     missing = [d for d in model.calculated_dimensions(dimensions) if d.id not in rows.columns]
     rows = with_calculated_dimensions(rows, missing)
-    volumes = [m.aggregate() for m in model.required_volumes(metrics)]
+    wanted = model.required_volumes(metrics)
+    volumes = [m.aggregate() for m in wanted]
+    volumes += [m.sketch() for m in wanted if sketches and m.is_distinct]
     return rows.groupBy(*dimensions).agg(*(volumes or [F.count(F.lit(1)).alias("row_count")]))
 
 
@@ -68,10 +77,14 @@ def build_rollup(
     metrics: Sequence[str] | None = None,
     lookups: Sequence[Lookup] = (),
     dates: Sequence[date] | None = None,
+    sketches: bool = False,
 ) -> None:
-    """Build a rollup in one write; with ``dates`` only those partitions are computed and replaced."""
+    """Build a rollup in one write; with ``dates`` only those partitions are computed and replaced.
+
+    ``sketches`` is as in ``rollup_frame``.
+    """
     rows = source if dates is None else on_dates(source, dates, model.date)
-    frame = rollup_frame(rows, model, dimensions, metrics, lookups)
+    frame = rollup_frame(rows, model, dimensions, metrics, lookups, sketches)
     if dates is None:
         write_daily_table(frame, path, dimensions, model.date)
     else:
@@ -108,6 +121,34 @@ def build_rollup_batched(
     return len(batches)
 
 
+def _dates_to_write(
+    source: DataFrame,
+    path: str,
+    date_column: str,
+    since: date | None,
+    source_dates: Sequence[date] | None,
+) -> list[date]:
+    """Dates of the source that the table at ``path`` lacks; the table's are read off its partitions, not its rows."""
+    have = stored_dates(source.sparkSession, path, date_column)
+    if source_dates is not None:
+        known = have if have is not None else collect_dates(source.sparkSession.read.parquet(path), date_column)
+        return sorted(d for d in set(source_dates) - set(known) if since is None or d >= since)
+    target = have if have is not None else source.sparkSession.read.parquet(path)
+    return collect_dates(missing_dates(source, target, date_column, since), date_column)
+
+
+def _written_dates(source: DataFrame, path: str, date_column: str) -> int:
+    dates = stored_dates(source.sparkSession, path, date_column)
+    if dates is not None:
+        return len(dates) + _has_undated(source, path, date_column)
+    stored = source.sparkSession.read.parquet(path)
+    return len(collect_dates(stored, date_column)) if date_column in stored.columns else 0
+
+
+def _has_undated(source: DataFrame, path: str, date_column: str) -> bool:
+    return path_exists(source, f"{path}/{date_column}=__HIVE_DEFAULT_PARTITION__")
+
+
 def refresh_rollup(
     source: DataFrame,
     model: SemanticModel,
@@ -118,45 +159,145 @@ def refresh_rollup(
     incremental: bool = True,
     recompute: Sequence[date] = (),
     since: date | None = None,
+    source_dates: Sequence[date] | None = None,
+    sketches: bool = False,
 ) -> int:
     """Bring a rollup up to date; returns the number of dates written.
 
     Incremental runs add the dates the rollup does not have. Dates it has are left alone, even if
-    late rows arrived, except those named in ``recompute``. ``since`` is the first date looked at: it spares reading
-    the date of every row that the source has. A missing rollup is built in full. Rows
-    without a date belong to no day and are written by full builds only.
+    late rows arrived, except those named in ``recompute``. A missing rollup is built in full, and so is one without the date among
+    its dimensions, which holds all dates in each row. Rows without a date belong to no day and are written by full builds only.
+
+    Which dates the rollup has is read off its partitions. Which the source has takes its date column, unless
+    ``source_dates`` tells (as ``stored_dates`` does for a source that is itself partitioned by date); ``since``, the first date
+    looked at, spares reading what is before it.
     """
-    spark = source.sparkSession
-    if not incremental or not path_exists(spark, path):
-        build_rollup(source, model, dimensions, path, metrics, lookups)
-        return len(collect_dates(spark.read.parquet(path), model.date))
-    target = spark.read.parquet(path)
-    dates = set(collect_dates(missing_dates(source, target, model.date, since), model.date)) | set(recompute)
+    if not incremental or model.date not in dimensions or not path_exists(source, path):
+        build_rollup(source, model, dimensions, path, metrics, lookups, sketches=sketches)
+        return _written_dates(source, path, model.date)
+    dates = set(_dates_to_write(source, path, model.date, since, source_dates)) | set(recompute)
     if dates:
-        build_rollup(source, model, dimensions, path, metrics, lookups, sorted(dates))
+        build_rollup(source, model, dimensions, path, metrics, lookups, sorted(dates), sketches)
     return len(dates)
 
 
+@dataclass
+class _Step:
+    """A rollup to refresh: what is to be written, and the rollup it can be made from."""
+
+    name: str
+    dimensions: Sequence[str]
+    path: str
+    full: bool = True
+    dates: list[date] = field(default_factory=list)
+    parent: _Step | None = None
+    done: Future | None = None
+
+
+def mergeable(metrics: Sequence[Metric], sketches: bool = False) -> bool:
+    """Can stored values of all these metrics be merged without loss, or, for distinct counts, by their sketches?"""
+    return all(m.agg in ("sum", "count", "min", "max") or (sketches and m.is_distinct) for m in metrics)
+
+
+def from_parent(
+    parent: DataFrame, model: SemanticModel, dimensions: Sequence[str], metrics: Sequence[str] | None, sketches: bool
+) -> DataFrame:
+    """A rollup computed from one with more dimensions: merged values, and merged sketches with their estimates."""
+    volumes = model.required_volumes(metrics)
+    columns = [m.merge(stored=parent.columns) for m in volumes]
+    columns += [m.merged_sketch() for m in volumes if sketches and m.is_distinct]
+    return parent.groupBy(*dimensions).agg(*(columns or [F.sum("row_count").alias("row_count")]))
+
+
+def _lattice(steps: Sequence[_Step], date_column: str) -> None:
+    """Gives each rollup the parent with the fewest dimensions that holds all its own and writes all its dates in the same run.
+
+    A parent that only adds other dates would hand on what it held before, so it is none. Of rollups with the same dimensions the first is
+    the parent of the others, so there are no circles.
+    """
+    for i, step in enumerate(steps):
+        own = set(step.dimensions)
+        fitting = []
+        for j, other in enumerate(steps):
+            more = set(other.dimensions)
+            wider = own < more or (own == more and j < i)
+            covers = other.full if step.full else other.full or set(step.dates) <= set(other.dates)
+            if wider and covers and (step.full or date_column in more):
+                fitting.append((len(more), j, other))
+        step.parent = min(fitting, key=lambda f: f[:2])[2] if fitting else None
+
+
 def refresh_all(
     source: DataFrame,
     model: SemanticModel,
     rollups: Mapping[str, tuple[Sequence[str], str]],
     lookups: Sequence[Lookup] = (),
     incremental: bool = True,
+    metrics: Sequence[str] | None = None,
+    sketches: bool = False,
+    since: date | None = None,
+    source_dates: Sequence[date] | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
     """Refresh every rollup (name -> dimensions, path) and report per rollup.
 
-    One failing rollup does not stop the others; its message is in the report.
+    Rollups are made from rollups: where the metrics can be merged (sums, counts, extremes, and with ``sketches`` distinct
+    counts, then estimated), a rollup whose dimensions another one holds is computed from the smallest such one that writes the
+    same dates in this run, and only those that no other holds read the fact. Rollups that do not wait for one another
+    run at the same time, ``at_once`` of them. The fact's dates are found once for all, or given as ``source_dates``.
+
+    One failing rollup does not stop the others: those that would have been made from it read the fact. Its message is in the report.
     """
     spark = source.sparkSession
-    report = []
-    for name, (dimensions, path) in rollups.items():
+    steps = [_Step(name, dimensions, path) for name, (dimensions, path) in rollups.items()]
+    failed: dict[str, str] = {}
+    for step in steps:
         try:
-            added = refresh_rollup(source, model, dimensions, path, lookups=lookups, incremental=incremental)
-            rows = spark.read.parquet(path).count()
-            report.append((name, True, "ready", added, rows, None))
+            step.full = not incremental or model.date not in step.dimensions or not path_exists(spark, step.path)
         except Exception as error:  # noqa: BLE001 - reported, not hidden
-            report.append((name, False, "error", 0, None, str(error)))
+            failed[step.name] = str(error)
+    if source_dates is None and any(not s.full for s in steps if s.name not in failed):
+        # At most one row per calendar day, read once however many rollups there are.
+        days = filter_dates(source, since, date_column=model.date).select(model.date).where(F.col(model.date).isNotNull())
+        source_dates = collect_dates(days, model.date)
+    for step in steps:
+        if not step.full and step.name not in failed:
+            try:
+                step.dates = _dates_to_write(source, step.path, model.date, since, source_dates)
+            except Exception as error:  # noqa: BLE001
+                failed[step.name] = str(error)
+    usable = [s for s in steps if s.name not in failed]
+    if mergeable(model.required_volumes(metrics), sketches):
+        _lattice(usable, model.date)
+
+    def run(step: _Step) -> tuple[int, int]:
+        frame = None
+        if step.parent is not None and step.parent.done.exception() is None:
+            parent = spark.read.parquet(step.parent.path)
+            parent = parent if step.full else on_dates(parent, step.dates, model.date)
+            frame = from_parent(parent, model, step.dimensions, metrics, sketches)
+        elif step.full or step.dates:
+            rows = source if step.full else on_dates(source, step.dates, model.date)
+            frame = rollup_frame(rows, model, step.dimensions, metrics, lookups, sketches)
+        if step.full:
+            write_daily_table(frame, step.path, step.dimensions, model.date)
+            return _written_dates(source, step.path, model.date), spark.read.parquet(step.path).count()
+        if step.dates:
+            append_dates(frame, step.path, step.dimensions, model.date)
+        return len(step.dates), spark.read.parquet(step.path).count()
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        # Parents first: those with more dimensions are handed in before those with fewer, so no worker waits for one not yet started.
+        for step in sorted(usable, key=lambda s: -len(set(s.dimensions))):
+            step.done = pool.submit(run, step)
+    report = []
+    for step in steps:
+        error = failed.get(step.name) or (str(step.done.exception()) if step.done.exception() else None)
+        if error is None:
+            added, rows = step.done.result()
+            report.append((step.name, True, "ready", added, rows, None))
+        else:
+            report.append((step.name, False, "error", 0, None, error))
     schema = (
         "rollup string, success boolean, status string, dates_added bigint, row_count bigint, message string"
     )
@@ -241,16 +382,16 @@ def refresh_enriched_source(
     incremental: bool = True,
     exchange: bool = True,
     since: date | None = None,
+    source_dates: Sequence[date] | None = None,
 ) -> int:
     """Add the dates the copy lacks, or rebuild it; returns the number of dates written.
 
-    New dates get the same de-duplicated joins as the full build. ``since`` is as in ``refresh_rollup``.
+    New dates get the same de-duplicated joins as the full build. ``since`` and ``source_dates`` are as in ``refresh_rollup``.
     """
-    spark: SparkSession = source.sparkSession
-    if not incremental or not path_exists(spark, path):
+    if not incremental or not path_exists(source, path):
         build_enriched_source(source, model, path, keys, lookups, cluster_by, metrics, exchange)
-        return len(collect_dates(spark.read.parquet(path), model.date))
-    dates = collect_dates(missing_dates(source, spark.read.parquet(path), model.date, since), model.date)
+        return _written_dates(source, path, model.date)
+    dates = _dates_to_write(source, path, model.date, since, source_dates)
     if dates:
         frame = enriched_frame(on_dates(source, dates, model.date), model, keys, lookups, metrics, cluster_by)
         append_dates(frame, path, cluster_by, model.date, exchange)
@@ -431,6 +572,8 @@ __all__ = [
     "build_rollup_batched",
     "collect_dates",
     "enriched_frame",
+    "from_parent",
+    "mergeable",
     "on_dates",
     "refresh_all",
     "refresh_enriched_source",

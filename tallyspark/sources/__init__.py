@@ -2,7 +2,7 @@
 
 from .facts import column_profile, column_role, fact_scan, inferred_type, table_info
 from .lookups import conform_join_key, load_lookup, store_lookup
-from .tables import append_dates, export_csv, path_exists, write_daily_table
+from .tables import append_dates, export_csv, path_exists, stored_dates, write_daily_table
 
 __all__ = [
     "append_dates",
@@ -15,6 +15,7 @@ __all__ = [
     "load_lookup",
     "path_exists",
     "store_lookup",
+    "stored_dates",
     "table_info",
     "write_daily_table",
 ]

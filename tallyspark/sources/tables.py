@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
 
 def _laid_out(
     df: DataFrame, date_column: str, cluster_by: Sequence[str], exchange: bool = True
@@ -69,6 +72,32 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def stored_dates(spark: SparkSession, path: str, date_column: str = "date") -> list[date] | None:
+    """The dates of a daily table from the names of its partitions: no file is opened, whatever the size of the table.
+
+    Dates of empty folders do not count, nor does the folder of rows without a date. None if the table is not there or is not
+    partitioned by date at its top level: then only its rows can tell.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    found, prefix = [], f"{date_column}="
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if not entry.isDirectory() or not name.startswith(prefix):
+            return None
+        try:
+            day = date.fromisoformat(unquote(name[len(prefix) :]))
+        except ValueError:
+            continue  # rows without a date
+        if any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(entry.getPath())):
+            found.append(day)
+    return sorted(found)
+
+
 def path_exists(df_or_spark, path: str) -> bool:
     """Does a table exist at this path (any Hadoop file system)?"""
     spark = df_or_spark.sparkSession if isinstance(df_or_spark, DataFrame) else df_or_spark
@@ -78,4 +107,4 @@ def path_exists(df_or_spark, path: str) -> bool:
     return bool(fs.exists(target))
 
 
-__all__ = ["append_dates", "export_csv", "path_exists", "write_daily_table"]
+__all__ = ["append_dates", "export_csv", "path_exists", "stored_dates", "write_daily_table"]
