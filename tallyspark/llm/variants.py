@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -252,8 +253,8 @@ def spelling_variants(
     if ratio < 2:
         raise ValueError("ratio has to be 2 or more, or forms would go round in circles")
     words = durable(vocabulary(docs, id_col, text_col, spoil, min_length, min_count))
-    pairs = durable(near_pairs(words, chunk))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pair = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"))])
+    both = near_pairs(words, chunk).select(F.inline(pair))
     partner = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"))
     # The largest count, and of those with it the first word: the least of (minus count, word).
     best = F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("word"))).alias("best")
@@ -268,14 +269,12 @@ def spelling_variants(
         F.when(enough, -F.col("best.less")).alias("form_n"),
     )
     known = durable(known)
-    # Every round doubles how far a root is followed; counts grow by the ratio with each form, so there are few rounds.
+    # Every round doubles how far a root is followed. Counts grow by the ratio with each form, which bounds the rounds.
     roots = known.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
-    roots = durable(roots)
-    while True:
+    span = words.agg((F.max("n") / F.min("n")).alias("span")).first()["span"] or 1.0
+    steps = int(log(span) / log(ratio) + 1e-9)
+    for _ in range(max(0, steps - 1).bit_length()):
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = durable(roots.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
-        roots = moved.select("word", "root")
-        if not moved.where("moved").limit(1).count():
-            break
+        roots = roots.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
     out = known.join(roots, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
