@@ -38,22 +38,38 @@ def running_totals(df: DataFrame, order_by: Sequence[Column], sums: Mapping[str,
 
 
 def _adder(width: int, begins: dict[int, list], kinds: dict):
-    """The batch function; it needs pyarrow on the executors, not this package."""
+    """The batch function; it needs pyarrow on the executors, not this package.
+
+    A batch's sums are one cumulative kernel for each column, which starts at the total so far. A row without a value keeps the total before
+    it, and rows before the first value have none.
+    """
 
     def run(batches):
+        from itertools import accumulate
+
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         totals = list(begins.get(TaskContext.get().partitionId(), [None] * len(kinds)))
         for batch in batches:
             columns, names = batch.columns[:width], batch.schema.names[:width]
             for k, (name, kind) in enumerate(kinds.items()):
-                sums = []
-                for value in batch.column(width + k).cast(kind).to_pylist():
-                    if value is not None:
-                        totals[k] = value if totals[k] is None else totals[k] + value
-                    sums.append(totals[k])
-                columns.append(pa.array(sums, kind))
+                values = batch.column(width + k).cast(kind)
+                zero = pa.scalar(0, pa.int64()).cast(kind)
+                start = zero if totals[k] is None else pa.scalar(totals[k], kind)
+                filled = pc.fill_null(values, zero)
+                if pa.types.is_decimal(kind):  # for which Arrow has no kernel
+                    sums = pa.array(list(accumulate(filled.to_pylist(), initial=start.as_py()))[1:], kind)
+                else:
+                    sums = pc.cumulative_sum_checked(filled, start=start)
+                if totals[k] is None:
+                    there = pc.index(pc.is_valid(values), True).as_py()
+                    none = len(values) if there < 0 else there
+                    sums = pa.concat_arrays([pa.nulls(none, kind), sums.slice(none)])
+                if len(sums):
+                    totals[k] = sums[-1].as_py()
+                columns.append(sums)
                 names.append(name)
             yield pa.RecordBatch.from_arrays(columns, names)
 

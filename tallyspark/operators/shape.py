@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dimension_label
 from ..model import OTHER, Filters, Segment, SemanticModel
 from .aggregates import grouped, segment_metrics
 from .joins import difference_columns
-from .running import running_totals
 
 
 def sort_rows(
@@ -51,13 +50,16 @@ def order_columns(
     filters: Filters | None = None,
     ascending: bool = False,
 ) -> DataFrame:
-    """Compared columns with their total of a metric and their position, largest first by default."""
+    """Compared columns with their total of a metric and their position, largest first by default.
+
+    Columns to be laid out are few, so their positions are a window over one small result.
+    """
     totals = grouped(df, model, dimensions, filters, [metric])
     totals = totals.withColumn("total", F.coalesce(F.col(metric), F.lit(0)))
     first = F.col("total").asc() if ascending else F.col("total").desc()
     order = [first, *[F.col(d).asc_nulls_first() for d in dimensions]]
     keys = totals.select(*dimensions, dimension_label(dimensions).alias("label"), "total")
-    return running_totals(keys, order, {"position": F.lit(1)})
+    return keys.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def chart_series(

@@ -310,3 +310,20 @@ def test_distinct_counts_per_segment(spark):
     assert tuple(whole[f"ab__{m}"] for m in ("rows", *ids)) == want(lambda x: True, picks["ab"])
     nothing = aggregates.segment_totals(df.filter("false"), model, segments, ids).first()
     assert (nothing["a__rows"], nothing["a__users"], nothing["a__total"], nothing["a__n"]) == (0, 0, None, 0)
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(12,2)"])
+def test_running_totals_over_gaps_and_batches(spark, kind):
+    values = [None, None, 3, None, -1, 4, None, 2] * 40
+    rows = [(i, None if v is None or i < 5 else float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, v double").select("id", F.col("v").cast(kind).alias("v")).repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [(r.id, r.total) for r in running_totals(df, [F.col("id")], {"total": F.col("v")}).orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, total = [], None
+    for i, v in rows:
+        total = total if v is None else v if total is None else total + v
+        want.append((i, total))
+    assert [(i, None if t is None else float(t)) for i, t in got] == want
