@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,10 @@ class QuotientFilter:
 
 
 class _Tokens:
-    """Words of texts as codes by language, zero where a piece of text ends."""
+    """Words of texts as codes by language, zero where a piece of text ends.
+
+    A word is known by its key, the language and the word with a line end between them, which no word holds.
+    """
 
     def __init__(self) -> None:
         kind = np.ones(256, np.uint8)
@@ -123,9 +127,10 @@ class _Tokens:
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         self.kind, self.lower, self.ends = kind, lower, SPACES + BREAKS
-        self.codes: dict[tuple[str, bytes], int] = {}
+        self.codes: dict[bytes, int] = {}
+        self.waiting: dict[str, list[bytes]] = {}
+        self.held: dict[str, int] = {}
         self.stream: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
         self.size = 0
 
     def _pieces(self, text: bytes) -> Iterator[bytes]:
@@ -138,49 +143,55 @@ class _Tokens:
             at = end
 
     def add(self, lang: str, text: bytes) -> None:
+        """Texts of a language are tokenised together; their order does not matter."""
         self.size += len(text)
-        for piece in self._pieces(text):
-            self._add(lang, piece)
+        self.waiting.setdefault(lang, []).append(text)
+        self.held[lang] = self.held.get(lang, 0) + len(text)
+        if self.held[lang] >= PIECE:
+            self._flush(lang)
+
+    def _flush(self, lang: str) -> None:
+        for piece in self._pieces(b"\n".join(self.waiting.pop(lang))):
+            self._add(lang.encode() + b"\n", piece)
         self.stream.append(np.zeros(1, np.int32))
+        self.held[lang] = 0
 
-    def _add(self, lang: str, piece: bytes) -> None:
+    def _add(self, lang: bytes, piece: bytes) -> None:
         data = self.lower[np.frombuffer(piece, np.uint8)]
         kind = self.kind[data]
-        edges = np.diff(np.r_[0, kind == 1, 0].astype(np.int8))
+        inside = kind == 1
+        edges = np.diff(np.r_[False, inside, False].astype(np.int8))
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         breaks = np.r_[0, np.cumsum(kind == 2)]
         if len(starts):
-            # Words and what is between them in turn, as one array over the bytes.
-            bounds = np.empty(2 * len(starts) + 1, np.int64)
-            bounds[0], bounds[1::2], bounds[2::2] = 0, starts, ends
-            buffers = [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]
-            coded = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), buffers).dictionary_encode()
-            local = coded.indices.to_numpy()[1::2]
-            used, local = np.unique(local, return_inverse=True)
-            names = coded.dictionary.take(pa.array(used)).to_pylist()
-            own = np.array([self.codes.setdefault((lang, w), len(self.codes) + 1) for w in names], np.int32)
+            bounds = np.r_[0, np.cumsum(ends - starts)]
+            buffers = [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[inside].tobytes())]
+            coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+            codes = self.codes
+            own = np.array([codes.setdefault(lang + w, len(codes) + 1) for w in coded.dictionary.to_pylist()], np.int32)
             cut = breaks[starts] != np.r_[0, breaks[ends[:-1]]]
             out = np.zeros(len(starts) + int(cut.sum()), np.int32)
-            out[np.arange(len(starts)) + np.cumsum(cut)] = own[local]
+            out[np.arange(len(starts)) + np.cumsum(cut)] = own[coded.indices.to_numpy()]
             self.stream.append(out)
         if breaks[-1] != breaks[ends[-1] if len(ends) else 0]:
             self.stream.append(np.zeros(1, np.int32))
 
     def row(self, number: int) -> pa.RecordBatch:
+        for lang in list(self.waiting):
+            self._flush(lang)
         codes = np.concatenate(self.stream)
         counts = np.bincount(codes, minlength=len(self.codes) + 1)[1:]
         columns = [
             pa.array([number], pa.int64()),
-            pa.array([[lang for lang, _ in self.codes]], pa.list_(pa.string())),
-            pa.array([[w.decode() for _, w in self.codes]], pa.list_(pa.string())),
-            pa.array([counts], pa.list_(pa.int64())),
+            pa.array([list(self.codes)], pa.list_(pa.binary())),
+            pa.array([shrink(counts.astype("<u4"))], pa.binary()),
             pa.array([shrink(codes.astype("<u4"))], pa.binary()),
-            pa.array([int(counts.sum())], pa.int64()),
+            pa.array([len(self.codes)], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["bundle", "langs", "words", "counts", "codes", "tokens"])
+        return pa.RecordBatch.from_arrays(columns, ["bundle", "keys", "counts", "codes", "entries"])
 
 
-BUNDLES = "bundle bigint, langs array<string>, words array<string>, counts array<bigint>, codes binary, tokens bigint"
+BUNDLES = "bundle bigint, keys array<binary>, counts binary, codes binary, entries bigint"
 
 
 def _bundle_batches(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -198,6 +209,67 @@ def _bundle_batches(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     return run
 
 
+def _word_shards(keys: list[bytes], split: int) -> np.ndarray:
+    """The shard of each word, by hash."""
+    return np.array([crc32(k) for k in keys], np.int64) & ((1 << split) - 1)
+
+
+WORDS = "bundle bigint, shard int, keys array<binary>, counts binary"
+
+
+def _words_sent(split: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                shards, counts = _word_shards(keys, split), expand(counts)
+                order = np.argsort(shards, kind="stable")
+                present, first = np.unique(shards[order], return_index=True)
+                for shard, own in zip(present.tolist(), np.split(order, first[1:]), strict=True):
+                    columns = [
+                        pa.array([bundle], pa.int64()),
+                        pa.array([shard], pa.int32()),
+                        pa.array([[keys[i] for i in own.tolist()]], pa.list_(pa.binary())),
+                        pa.array([shrink(counts[own])], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["bundle", "shard", "keys", "counts"])
+
+    return run
+
+
+NUMBERS = "kind string, bundle bigint, shard int, ids binary, keys array<binary>, counts array<bigint>, numbers array<bigint>"
+
+
+def _words_merged(min_count: int, split: int):
+    """Adds up a shard's words, numbers the frequent ones, and tells each bundle the numbers in the order it has sent."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        shard = rows.column("shard")[0].as_py()
+        coded = pa.concat_arrays([c.flatten() for c in rows.column("keys").chunks]).cast(pa.large_binary()).dictionary_encode()
+        codes, keys = coded.indices.to_numpy(), coded.dictionary
+        counts = [expand(d).astype(np.int64) for d in rows.column("counts").to_pylist()]
+        totals = np.zeros(len(keys), np.int64)
+        np.add.at(totals, codes, np.concatenate(counts))
+        often = totals >= min_count
+        ids = np.zeros(len(keys), np.uint64)
+        ids[often] = (np.arange(1, int(often.sum()) + 1, dtype=np.uint64) << np.uint64(split)) | np.uint64(shard)
+        out, at = [], 0
+        for bundle, own in zip(rows.column("bundle").to_pylist(), counts, strict=True):
+            out.append(("reply", bundle, shard, shrink(ids[codes[at : at + len(own)]]), None, None, None))
+            at += len(own)
+        place = np.flatnonzero(often)
+        out.append(("found", -1, shard, None, keys.take(pa.array(place)).to_pylist(), totals[place].tolist(), ids[place].astype(np.int64).tolist()))
+        langs = np.array([k[: k.rindex(b"\n")] for k in keys.to_pylist()], object)
+        names, lang = np.unique(langs, return_inverse=True)
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, lang, totals)
+        out.append(("total", -1, shard, None, names.tolist(), sums.tolist(), None))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        names = ["kind", "bundle", "shard", "ids", "keys", "counts", "numbers"]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    return run
+
+
 # --- n-grams, one length after another ------------------------------------------------------------------------------
 
 
@@ -234,16 +306,17 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def _numbered(word_bits: int, split: int):
+def _numbered(word_split: int, word_bits: int, split: int):
     """Local codes to ids of frequent words; sends the pairs of words."""
 
-    def run(bundles: pa.Table, ids: pa.Table) -> pa.Table:
+    def run(bundles: pa.Table, replies: pa.Table) -> pa.Table:
         if not bundles.num_rows:
             return _table([])
         bundle, codes = bundles.column("bundle")[0].as_py(), expand(bundles.column("codes")[0].as_py())
-        table = np.zeros(len(bundles.column("words")[0]) + 1, np.uint64)
-        for local, number in zip(ids.column("local").to_pylist(), ids.column("id").to_pylist(), strict=True):
-            table[np.asarray(local) + 1] = np.asarray(number, np.uint64)
+        keys = bundles.column("keys")[0].as_py()
+        table, shards = np.zeros(len(keys) + 1, np.uint64), _word_shards(keys, word_split)
+        for shard, ids in zip(replies.column("shard").to_pylist(), replies.column("ids").to_pylist(), strict=True):
+            table[np.flatnonzero(shards == shard) + 1] = expand(ids)
         words = table[codes]
         _, keys = _keys(words, words, 2, word_bits)
         filter_ = QuotientFilter.of(Permutation(2 * word_bits)(keys))
@@ -331,22 +404,10 @@ def _split(entries: int, bits: int) -> int:
     return min(bits - 1, max(0, -(-entries // SHARD) - 1).bit_length())
 
 
-def _written_and_read(df: DataFrame, name: str) -> DataFrame:
+def _written_and_read(df: DataFrame, name: str, schema: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy("kind").option("parquet.block.size", 32 << 20).option("compression", "none").parquet(path)
-    return df.sparkSession.read.schema(f"{STATE}").parquet(path)
-
-
-def _dense(df: DataFrame) -> DataFrame:
-    """``df`` with ``id`` from 1 without gaps; what reaches the driver is a number for each partition."""
-    stored = durable(df.withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id()))
-    sizes = sorted((r["part"], r["n"], r["least"]) for r in stored.groupBy("part").agg(F.count("*").alias("n"), F.min("within").alias("least")).collect())
-    first, rows = 1, []
-    for part, n, least in sizes:
-        rows.append((part, first - least))
-        first += n
-    shifts = df.sparkSession.createDataFrame(rows, "part int, shift bigint")
-    return stored.join(F.broadcast(shifts), "part").withColumn("id", F.col("within") + F.col("shift")).drop("part", "within", "shift")
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, min_count: int, bundle: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -360,26 +421,32 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, min_count: i
     path = scratch_path(spark, "codes")
     rows.mapInArrow(_bundle_batches(bundle), BUNDLES).write.option("parquet.block.size", 2 * bundle).option("compression", "none").parquet(path)
     bundles = spark.read.parquet(path)
-    named = bundles.select("bundle", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("local", "w"))
-    named = named.select("bundle", "local", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counted = durable(named.groupBy("lang", "word").agg(F.sum("n").alias("a")))
-    totals = durable(counted.groupBy("lang").agg(F.sum("a").alias("n")))
-    words = durable(_dense(counted.where(F.col("a") >= min_count)))
+    # Words are counted and numbered as n-grams are: sent to shards, which answer in the order of what was sent.
+    word_split = _split(bundles.agg(F.sum("entries")).first()[0] or 0, 32)
+    sent = bundles.select("bundle", "keys", "counts").mapInArrow(_words_sent(word_split), WORDS)
+    merged = sent.groupBy("shard").applyInArrow(_words_merged(min_count, word_split), NUMBERS)
+    merged = _written_and_read(merged, "words", NUMBERS)
+    key = F.decode("w.keys", "UTF-8")
+    sums = merged.where("kind = 'total'").select(F.explode(F.arrays_zip("keys", "counts")).alias("w"))
+    totals = durable(sums.select(key.alias("lang"), F.col("w.counts").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
+    found = merged.where("kind = 'found'").select(F.explode(F.arrays_zip("keys", "counts", "numbers")).alias("w"))
+    found = found.select(F.col("w.numbers").alias("id"), key.alias("key"), F.substring_index(key, "\n", -1).alias("word"), F.col("w.counts").alias("a"))
+    lang = F.left("key", F.length("key") - F.length("word") - 1).alias("lang")
     none = F.array().cast("array<bigint>")
-    first = words.select("id", "lang", F.array("word").alias("words"), "a", F.lit(0).cast("bigint").alias("prefix"), F.col("id").alias("last"))
+    first = found.select("id", lang, F.array("word").alias("words"), "a", F.lit(0).cast("bigint").alias("prefix"), F.col("id").alias("last"))
     levels = [durable(first.select("*", F.lit(0).cast("bigint").alias("suffix"), none.alias("pre"), none.alias("suf")))]
-    size = words.agg(F.max("id").alias("most"), F.sum("a").alias("entries")).first()
+    size = levels[0].agg(F.max("id").alias("most"), F.sum("a").alias("entries")).first()
     if not size["most"]:
         return totals, levels
     word_bits = int(size["most"]).bit_length()
     bits, split = 2 * word_bits, _split(size["entries"], 2 * word_bits)
-    ids = named.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy(F.col("bundle").alias("of"))
-    ids = ids.agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("id"))
-    state = bundles.groupBy("bundle").cogroup(ids.groupBy("of")).applyInArrow(_numbered(word_bits, split), STATE)
+    replies = merged.where("kind = 'reply'").select(F.col("bundle").alias("of"), "shard", "ids").groupBy("of")
+    state = bundles.select("bundle", "keys", "codes").groupBy("bundle").cogroup(replies)
+    state = state.applyInArrow(_numbered(word_split, word_bits, split), STATE)
     for n in range(2, LONGEST + 1):
-        state = _written_and_read(state, f"state_{n}")
+        state = _written_and_read(state, f"state_{n}", STATE)
         merged = state.where("kind = 'message'").groupBy("shard").applyInArrow(_merge(min_count, bits, split), STATE)
-        merged = _written_and_read(merged, f"merged_{n}")
+        merged = _written_and_read(merged, f"merged_{n}", STATE)
         found = durable(merged.where("kind = 'found'").select("data").mapInArrow(_unpacked(word_bits), FOUND))
         levels.append(_described(found, levels))
         size = found.agg(F.max("id").alias("most"), F.sum("a").alias("entries")).first()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from functools import reduce
-from math import exp, log
+from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,31 +149,22 @@ def estimate(
     A round gives each pattern of votes its posterior over the kinds, then counts by it. What a rule gets right about good
     documents is one minus its share of faults there, about its own fault the share itself.
     """
-    faults = {k: {r: _start(k, r)[0] for r in RULES} for k in KINDS_OF_TEXT}
-    priors = dict(START_PRIOR)
+    votes = np.array(list(patterns), np.int8).reshape(-1, len(RULES))
+    n = np.array(list(patterns.values()), float)
+    start, least, most = (np.array([[_start(k, r)[i] for r in RULES] for k in KINDS_OF_TEXT]) for i in range(3))
+    first = np.array([START_PRIOR[k] for k in KINDS_OF_TEXT])
+    bad, cast = (votes < 0).astype(float), (votes != 0).astype(float)
+    faults, priors = start, first
     for _ in range(rounds):
-        logs = {
-            k: (log(priors[k]), [{-1: log(faults[k][r]), 1: log(1 - faults[k][r]), 0: 0.0} for r in RULES]) for k in KINDS_OF_TEXT
-        }
-        bad = {k: {r: _start(k, r)[0] * WEIGHT for r in RULES} for k in KINDS_OF_TEXT}
-        votes = {k: dict.fromkeys(RULES, float(WEIGHT)) for k in KINDS_OF_TEXT}
-        rows, share = float(WEIGHT), {k: p * WEIGHT for k, p in START_PRIOR.items()}
-        for pattern, n in patterns.items():
-            weights = {
-                k: exp(first + sum(own[v] for own, v in zip(rest, pattern, strict=True))) for k, (first, rest) in logs.items()
-            }
-            total = sum(weights.values())
-            rows += n
-            for k, w in weights.items():
-                held = n * w / total
-                share[k] += held
-                for rule, v in zip(RULES, pattern, strict=True):
-                    if v:
-                        votes[k][rule] += held
-                        bad[k][rule] += held if v < 0 else 0.0
-        priors = {k: x / rows for k, x in share.items()}
-        faults = {k: {r: min(max(bad[k][r] / votes[k][r], _start(k, r)[1]), _start(k, r)[2]) for r in RULES} for k in KINDS_OF_TEXT}
-    return faults, priors
+        logs = np.log(priors) + bad @ np.log(faults).T + (cast - bad) @ np.log(1 - faults).T
+        held = np.exp(logs - logs.max(1, keepdims=True, initial=-np.inf))
+        held *= (n / held.sum(1))[:, None]
+        priors = (held.sum(0) + WEIGHT * first) / (n.sum() + WEIGHT)
+        faults = np.clip((held.T @ bad + WEIGHT * start) / (held.T @ cast + WEIGHT), least, most)
+    return (
+        {k: dict(zip(RULES, row, strict=True)) for k, row in zip(KINDS_OF_TEXT, faults.tolist(), strict=True)},
+        dict(zip(KINDS_OF_TEXT, priors.tolist(), strict=True)),
+    )
 
 
 def judged(docs: DataFrame, text_col: str, keep: Mapping[str, Column]) -> DataFrame:
