@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHasher, as_bytes, slices
+from .words import PIECE, WordHasher, as_bytes, slices
 
 # Labelled documents the model is fitted to, those with the smallest hashes; a bound for the driver's memory.
 FITTED = 4_000
+# Lines of a document that are fitted at most, a run of them from a place that its text picks; scoring reads all lines.
+LINES_FITTED = 500
 ROUNDS = 150
 
 # Sums over a line from which its features follow.
@@ -24,7 +27,7 @@ LINE_FEATURES = (
 
 
 class LineReader:
-    """Feature rows of the lines of texts; sums are taken over pieces, so a line may be of any length."""
+    """Feature rows of the lines of texts; a line may be of any length, and its words are counted as a whole."""
 
     def __init__(self) -> None:
         self.hasher = WordHasher(4)
@@ -38,24 +41,27 @@ class LineReader:
         lengths = np.array([len(x) for x in lines], np.int64)
         out[:, 0] = lengths
         for a, b in slices(lines):
-            for at in range(0, max(int(lengths[a:b].max(initial=0)), 1), 1 << 20):
-                part = [x[at : at + (1 << 20)] for x in lines[a:b]] if b == a + 1 else lines[a:b]
-                data = b"\n".join(part)
-                offsets = np.cumsum([0] + [len(x) + 1 for x in part])[:-1]
+            if b == a + 1:  # perhaps a very long line: its bytes are counted in pieces, its words hashed as a whole
+                line, counts = lines[a], np.zeros((1, 5), np.int64)
+                for at in range(0, len(line), PIECE):
+                    counts += self.classes[np.frombuffer(line[at : at + PIECE], np.uint8)].sum(0)
+                hashes = self.hasher.one(line)[0]
+                owner = np.zeros(len(hashes), np.int64)
+            else:
+                data = b"\n".join(lines[a:b])
+                offsets = np.cumsum([0] + [len(x) + 1 for x in lines[a:b]])[:-1]
                 codes, starts, _ = self.hasher.spans(data + b"\n")
                 counts = np.add.reduceat(self.classes[codes], offsets, axis=0, dtype=np.int64)
                 owner = np.searchsorted(offsets, starts, side="right") - 1
                 hashes = self.hasher.one(data)[0]
-                own = out[a:b]
-                own[:, 1] += np.bincount(owner, minlength=b - a)
-                own[:, 2:7] += counts
-                again = owner[1:][(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])]
-                own[:, 7] += np.bincount(again, minlength=b - a)
-                order = np.lexsort((hashes, owner))
-                new = np.r_[True, (np.diff(owner[order]) != 0) | (np.diff(hashes[order]) != 0)] if len(order) else order
-                own[:, 8] += np.bincount(owner[order][new], minlength=b - a)
-                if b > a + 1:
-                    break
+            own = out[a:b]
+            own[:, 1] = np.bincount(owner, minlength=b - a)
+            own[:, 2:7] = counts
+            again = owner[1:][(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])]
+            own[:, 7] = np.bincount(again, minlength=b - a)
+            order = np.lexsort((hashes, owner))
+            new = np.r_[True, (np.diff(owner[order]) != 0) | (np.diff(hashes[order]) != 0)] if len(order) else order
+            own[:, 8] = np.bincount(owner[order][new], minlength=b - a)
         return out
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,12 +213,17 @@ def _read_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts, labels = as_bytes(batch.column(0)), batch.column(1)
         for a, b in slices(texts):
             features, sizes, counts = reader.read(texts[a:b])
-            ends = np.cumsum(counts)[:-1]
+            ends = np.cumsum(counts)
+            runs = []
+            for text, end, n in zip(texts[a:b], ends.tolist(), counts.tolist(), strict=True):
+                taken = min(n, LINES_FITTED)
+                first = end - n + crc32(text) % (n - taken + 1)
+                runs.append(slice(first, first + taken))
             yield pa.RecordBatch.from_arrays(
                 [
                     labels.slice(a, b - a),
-                    pa.array([x.astype("<f4").tobytes() for x in np.split(features, ends)], pa.binary()),
-                    pa.array([x.astype("<f8").tobytes() for x in np.split(sizes, ends)], pa.binary()),
+                    pa.array([features[r].astype("<f4").tobytes() for r in runs], pa.binary()),
+                    pa.array([sizes[r].astype("<f8").tobytes() for r in runs], pa.binary()),
                 ],
                 ["label", "features", "sizes"],
             )
@@ -239,13 +250,13 @@ def in_fold(id_col: Column, fold: tuple[int, int]) -> Column:
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: tuple[int, int], fitted: int = FITTED
 ) -> LineModel:
-    """Fits a model to at most ``fitted`` labelled documents outside the fold."""
+    """Fits a model to at most ``fitted`` labelled documents outside the fold, and ``LINES_FITTED`` lines of each."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~in_fold(F.col("id"), fold))
     known = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fitted)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # Bounded by ``fitted`` rows of two numbers; the second limit holds if ids are repeated.
-    sample = rows.join(F.broadcast(known), "id").select("text", "label").limit(fitted)
+    # Bounded by ``fitted`` rows of two numbers; the second limit holds if ids are repeated, and takes the same rows each time.
+    sample = rows.join(F.broadcast(known), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(fitted).select("text", "label")
     read = sample.mapInArrow(_read_batches, "label int, features binary, sizes binary").toArrow()
     n = 3 + 3 * len(LINE_FEATURES)
     features = [np.frombuffer(x, "<f4").reshape(-1, n) for x in read.column("features").to_pylist()]

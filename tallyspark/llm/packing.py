@@ -86,7 +86,8 @@ def best_fit(counts: Mapping[int, int], capacity: int) -> Plan:
 def fillings(room: int, sizes: list[int], left: Mapping[int, int], keep: int = 4, effort: int = 300) -> list[tuple[int, ...]]:
     """Undominated ways to fill a room, least waste first, then fewest items.
 
-    ``sizes`` are the lengths at hand in order, ``left`` how many of each. A filling is dominated if a
+    The enumeration is bounded: at each item the six largest lengths that fit are tried, each as often as it can be or once, in
+    ``effort`` steps at most, and the best ``keep`` fillings are returned. ``sizes`` are the lengths at hand in order, ``left`` how many of each. A filling is dominated if a
     further item fits, or if one or two of its items can be exchanged for one that is as long and fits: whatever
     packs the rest after the greater filling has no less room than after the lesser.
     """
@@ -130,7 +131,8 @@ def bin_completion(counts: Mapping[int, int], capacity: int, nodes: int = 4_000)
     Branch and bound. The largest item left gets each of its undominated fillings in turn, and a filling is
     used as often as the counts allow. A branch ends when the waste so far means that it cannot need
     fewer bins than the best packing known, at first that of best-fit decreasing. The search ends when
-    the lower bound is met or after ``nodes`` fillings; the best packing known is returned.
+    the lower bound is met or after ``nodes`` fillings; the best packing known is returned. So with the bounds of ``fillings`` the
+    result is optimal where the lower bound is met, and otherwise the best that was found.
     """
     best = best_fit(counts, capacity)
     fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity)

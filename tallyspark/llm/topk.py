@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
 
-# Vectors in a block of candidates and of queries.
+# Vectors in a block of candidates, and queries that meet it in one task: a candidate is sent once for each so many queries.
 CANDIDATES = 8192
-QUERIES = 512
+QUERIES = 16_384
 # How far down the lists the first round goes; each round goes four times as far.
 DEPTH = 8
 
@@ -60,9 +61,10 @@ class SortedLists:
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     """Vectors as rows, shorter ones filled with zeros; doubles while their products are exact, else integers."""
     flat = column.combine_chunks()
+    ends = np.r_[0, np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]
+    row = np.repeat(np.arange(len(flat)), np.diff(ends))
     out = np.zeros((len(flat), dims), np.int64)
-    for i, v in enumerate(flat.to_pylist()):
-        out[i, : len(v)] = v
+    out[row, np.arange(ends[-1]) - ends[row]] = flat.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -72,7 +74,7 @@ def _search_blocks(k: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if candidates.num_rows and queries.num_rows:
-            dims = max(len(v) for t in (candidates, queries) for v in t.column("vector").to_pylist())
+            dims = max(pc.max(pc.list_value_length(t.column("vector"))).as_py() for t in (candidates, queries))
             vectors, wanted = _matrix(candidates.column("vector"), dims), _matrix(queries.column("vector"), dims)
             largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(wanted).max(initial=0)) * max(dims, 1)
             kind = np.float64 if largest < 2**53 else np.int64

@@ -237,6 +237,15 @@ def test_line_quality_on_odd_rows(spark, odd, empty):
 # --- backoff model ----------------------------------------------------------------------------------------------------
 
 
+def test_sums_of_a_line_beyond_a_piece():
+    words = [f"word{i * 7 % 50}" for i in range(300_000)]
+    line = " ".join(words).encode()
+    assert len(line) > 1 << 20
+    sums = LineReader()._sums([line, b"a b a", b""])
+    assert sums[0].tolist()[:2] == [len(line), 300_000] and sums[0, 3] == 4 * 300_000 and sums[0, 8] == 50
+    assert sums[1].tolist() == [5, 3, 0, 3, 0, 0, 0, 0, 2] and not sums[2].any()
+
+
 def test_base_scores(spark, odd):
     def held(key):
         return key is not None and zlib.crc32(str(key).encode()) % 7 == 2
