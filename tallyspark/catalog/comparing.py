@@ -92,6 +92,20 @@ def join_dimensions_salted(spark, sf_dir):
     return joins.join_dimensions_dedup(fact, [orders], salts=4)
 
 
+@query(
+    "join_dimensions_hot",
+    """SELECT event_id, user_id, k AS key, t.label FROM
+       (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS k FROM events)
+       LEFT JOIN (SELECT c_custkey, c_name AS label FROM customer) t ON k = c_custkey""",
+)
+def join_dimensions_hot(spark, sf_dir):
+    """A third of the rows on one key, which is found and spread."""
+    lookup = Lookup(table(spark, sf_dir, "customer"), "c_custkey", "key", {"label": "c_name"}, unique=True)
+    key = F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id")).cast("bigint")
+    fact = table(spark, sf_dir, "events").select("event_id", "user_id", key.alias("key"))
+    return joins.join_dimensions_dedup(fact, [lookup], find_hot=True)
+
+
 @query(
     "missing_dates",
     """SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..model import Dimension, Lookup, Segment, SemanticModel, derived, volume
 from ..operators.derived import ECOMMERCE_RATES
 from ..operators.joins import join_dimensions_dedup
+from ..session import scratch_path
+from ..sources import path_exists, store_lookup
 from ..sources.facts import fact_scan
 from .base import table
 
@@ -78,9 +80,27 @@ def customer_lookup(spark: SparkSession, sf_dir: str, target: str = "user_id", u
     return Lookup(customers(spark, sf_dir), "c_custkey", target, columns, unique)
 
 
+# Where this program has stored the customers of a folder, by application.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_customers(spark: SparkSession, sf_dir: str, target: str = "user_id") -> Lookup:
+    """The customer lookup, joined from its three tables and stored once per session and folder.
+
+    Its size is then known when a query is planned: while it is small the fact stays where it is.
+    """
+    lookup = customer_lookup(spark, sf_dir, target, unique=True)
+    key = spark.sparkContext.applicationId, sf_dir
+    path = _stored.get(key)
+    if path is None or not path_exists(spark, path):
+        path = _stored[key] = scratch_path(spark, "customers")
+        store_lookup(lookup, path)
+    return Lookup(spark.read.parquet(path), lookup.key, target, lookup.columns, unique=True)
+
+
 def shop_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with segment, nation and region of the visitor."""
-    return join_dimensions_dedup(shop(spark, sf_dir), [customer_lookup(spark, sf_dir, unique=True)])
+    return join_dimensions_dedup(shop(spark, sf_dir), [stored_customers(spark, sf_dir)])
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +118,7 @@ def sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         unique=True,
     )
     return join_dimensions_dedup(
-        sales(spark, sf_dir), [orders, customer_lookup(spark, sf_dir, "custkey", unique=True)]
+        sales(spark, sf_dir), [orders, stored_customers(spark, sf_dir, "custkey")]
     )
 
 

@@ -25,20 +25,51 @@ Dates = Sequence[date]
 _KEY = "_lookup_key"
 
 
-def _salted(fact: DataFrame, side: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
-    """Spread each fact key over ``salts`` tasks and give every one of them a copy of the lookup row.
+# A key that holds this share of the fact's rows is hot; keys that a sketch of their counts follows, and copies of a hot key's row.
+HOT_SHARE = 0.01
+TRACKED = 10_000
+HOT_SALTS = 32
+
+
+def hot_keys(fact: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys that hold at least ``share`` of the rows, by a sketch of bounded size taken in one pass over the key.
+
+    The sketch follows ``TRACKED`` keys; a key above the share is among them, as its count is off by the rows divided by ``TRACKED`` at
+    most. So at most 1 / ``share`` keys come back.
+    """
+    kind = fact.schema[key].dataType
+    found = fact.agg(
+        F.count(F.col(quoted(key))).alias("n"), F.expr(f"approx_top_k({quoted(key)}, {int(1 / share)}, {TRACKED})").alias("top")
+    )
+    entries = found.select("n", F.inline("top")).filter(F.col("count") >= share * F.col("n") - F.col("n") / TRACKED)
+    return [r[0] for r in entries.filter(F.col("item").isNotNull()).select(F.col("item").cast(kind)).collect()]
+
+
+def _salted(fact: DataFrame, lookup: Lookup, side: DataFrame, salts: int, hot: Sequence | None) -> tuple[DataFrame, DataFrame]:
+    """Spread each fact key, or only the ``hot`` ones, over ``salts`` tasks and give every one of them a copy of the lookup row.
 
     The salt is a hash of the fact row, so a recomputed task places its rows as before.
     """
     hashable = [f.name for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return fact.withColumn("_salt", salt), side.withColumn("_copy", copies)
+    salt = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in hashable]), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is not None:
+        kind = fact.schema[lookup.target].dataType
+
+        def is_hot(key: Column) -> Column:
+            return F.coalesce(key.isin([F.lit(v).cast(kind) for v in hot]), F.lit(False))
 
+        salt = F.when(is_hot(F.col(quoted(lookup.target))), salt).otherwise(0)
+        copies = F.when(is_hot(F.col(_KEY).cast(kind)), copies).otherwise(F.array(F.lit(0)))
+    return fact.withColumn("_salt", salt), side.withColumn("_copy", F.explode(copies))
 
-def _attach(fact: DataFrame, lookup: Lookup, side: DataFrame, salts: int) -> DataFrame:
-    if salts > 1:
-        fact, side = _salted(fact, side, salts)
+
+def _attach(fact: DataFrame, lookup: Lookup, side: DataFrame, salts: int, find_hot: bool = False) -> DataFrame:
+    hot = hot_keys(fact, lookup.target) if find_hot else None
+    if hot:
+        salts = max(salts, HOT_SALTS)
+    if salts > 1 and (hot or not find_hot):
+        fact, side = _salted(fact, lookup, side, salts, hot)
         match = (F.col(lookup.target) == F.col(_KEY)) & (F.col("_salt") == F.col("_copy"))
         return fact.join(side, match, "left").drop(_KEY, "_salt", "_copy")
     return fact.join(side, F.col(lookup.target) == F.col(_KEY), "left").drop(_KEY)
@@ -51,11 +82,17 @@ def _check_lookup(lookup: Lookup) -> None:
 
 
 def join_dimensions(
-    fact: DataFrame, lookups: Sequence[Lookup], allow_duplicates: bool = False, salts: int = 1
+    fact: DataFrame,
+    lookups: Sequence[Lookup],
+    allow_duplicates: bool = False,
+    salts: int = 1,
+    find_hot: bool = False,
 ) -> DataFrame:
     """LEFT join of the named lookup columns. Duplicated lookup keys multiply fact rows.
 
-    Unless duplicates are allowed, a lookup key that occurs twice fails the job instead.
+    Unless duplicates are allowed, a lookup key that occurs twice fails the job instead. ``find_hot`` looks for hot keys first
+    (``hot_keys``: one pass over the key) and spreads those alone over tasks; it is for lookups too large to be
+    broadcast. ``salts`` without it spreads every key and copies the whole lookup as often.
     """
     for lookup in lookups:
         _check_lookup(lookup)
@@ -71,22 +108,24 @@ def join_dimensions(
             twice = F.raise_error(F.concat(F.lit(f"lookup key {lookup.key} is not unique: "), F.col(_KEY).cast("string")))
             key = F.when(F.col("_n") > 1, twice.cast(rows.schema[_KEY].dataType)).otherwise(F.col(_KEY))
             side = rows.select(key.alias(_KEY), *lookup.columns)
-        fact = _attach(fact, lookup, side, salts)
+        fact = _attach(fact, lookup, side, salts, find_hot)
     return fact
 
 
-def join_dimensions_dedup(fact: DataFrame, lookups: Sequence[Lookup], salts: int = 1) -> DataFrame:
+def join_dimensions_dedup(
+    fact: DataFrame, lookups: Sequence[Lookup], salts: int = 1, find_hot: bool = False
+) -> DataFrame:
     """LEFT join that never changes the number of fact rows: one row per lookup key.
 
     Where a key repeats, each attribute takes its smallest value, so reruns agree. For lookups that are
-    joined again and again, ``store_lookup`` does that once.
+    joined again and again, ``store_lookup`` does that once. ``salts`` and ``find_hot`` are as in ``join_dimensions``.
     """
     for lookup in lookups:
         _check_lookup(lookup)
         if lookup.unique:
             attributes = [F.col(source).alias(name) for name, source in lookup.columns.items()]
             side = lookup.df.filter(F.col(lookup.key).isNotNull()).select(F.col(lookup.key).alias(_KEY), *attributes)
-            fact = _attach(fact, lookup, side, salts)
+            fact = _attach(fact, lookup, side, salts, find_hot)
             continue
         rows = (
             lookup.df.filter(F.col(lookup.key).isNotNull())
@@ -100,7 +139,7 @@ def join_dimensions_dedup(fact: DataFrame, lookups: Sequence[Lookup], salts: int
         # for itself instead of sitting on the aggregate, and only a join between two shuffles of its
         # own has its skewed partitions split by adaptive execution.
         key = F.when(F.col("_n") > 0, F.col(_KEY))
-        fact = _attach(fact, lookup, rows.select(key.alias(_KEY), *lookup.columns), salts)
+        fact = _attach(fact, lookup, rows.select(key.alias(_KEY), *lookup.columns), salts, find_hot)
     return fact
 
 
@@ -310,6 +349,7 @@ def comparison_long(
 __all__ = [
     "column_combinations",
     "column_values",
+    "hot_keys",
     "compare_columns",
     "compare_rows",
     "comparison_long",

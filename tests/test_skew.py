@@ -68,3 +68,32 @@ def test_distinct_count_of_a_hot_group(spark, small, hot):
     got = {r.k: r.ids for r in aggregates.grouped(hot, model, ["k"]).collect()}
     assert got[-1] == 30_000
     assert sum(got.values()) == 90_000
+
+
+def test_hot_keys_are_found_and_spread_alone(spark):
+    from tallyspark.model import Lookup
+    from tallyspark.operators.joins import hot_keys, join_dimensions_dedup
+
+    rows = spark.range(0, 60_000, 1, 6).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000 + 100).alias("key"))
+    side = spark.range(0, 6000).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    assert hot_keys(rows, "key") == [7]
+    assert hot_keys(rows.withColumn("key", F.col("key").cast("string")), "key") == ["7"]
+    assert hot_keys(rows.filter("key > 100"), "key") == [] and hot_keys(rows.filter("key < 0"), "key") == []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        lookup = Lookup(side, "k", "key", {"value": "v"}, unique=True)
+        joined = join_dimensions_dedup(rows, [lookup], find_hot=True)
+        parts = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        plain = [r[0] for r in join_dimensions_dedup(rows, [lookup]).groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(parts) == sum(plain) == 60_000
+        assert max(plain) > 20_000 and max(parts) < 12_000
+        got = joined.filter("value = concat('v', key)").count()
+        assert got == rows.filter("key < 6000").count() and joined.columns == ["id", "key", "value"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", before)
+        for c in ("autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(f"spark.sql.{c}")
