@@ -1,7 +1,8 @@
 """Wall time of the headline queries, one JSON line.
 
 Each query runs to completion into a sink that keeps nothing, so the time is that of the plan, not
-of moving rows to Python. The first run of each query compiles; the better of two is reported.
+of moving rows to Python. The first run of each query compiles; the better of two is reported. Queries that also hold their result
+against another are timed without that.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def main() -> None:
             best = float("inf")
             for _ in range(runs):
                 start = time.perf_counter()
-                REGISTRY[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                (REGISTRY[name].timed or REGISTRY[name].build)(spark, sf_dir).write.format("noop").mode("overwrite").save()
                 best = min(best, time.perf_counter() - start)
             times[name] = round(best, 3)
         spark.stop()

@@ -12,7 +12,7 @@ from ..operators.aggregates import grouped
 from ..operators.aggregates import page as paged
 from ..session import durable, scratch_path
 from ..sources import store_lookup
-from .base import query, rounded, table
+from .base import query, rounded, table, timed
 from .models import (
     EV,
     LI,
@@ -554,7 +554,7 @@ def daily_bayes_test(spark, sf_dir):
     """
     args = (shop_wide(spark, sf_dir), SHOP, CONTROL, TREATMENTS, list(_DAILY_METRICS))
     stats = durable(tests.daily_statistics(*args))
-    drawn = tests.daily_bayes_test(*args).join(stats, ["metric_id", "segment"])
+    drawn = tests.daily_bayes_draws(stats).join(stats, ["metric_id", "segment"])
     variance = [F.pow(F.col(f"{s}_std"), 2) / F.col(f"{s}_n") for s in ("control", "treatment")]
     error = F.sqrt(variance[0] + variance[1])
     exact = norm_cdf(F.col("mean_difference") / error)
@@ -578,3 +578,8 @@ def daily_bayes_test(spark, sf_dir):
         .otherwise(inside[0] & inside[1])
         .alias("interval_agrees"),
     )
+
+
+@timed("daily_bayes_test")
+def _daily_bayes_test(spark, sf_dir):
+    return tests.daily_bayes_test(shop_wide(spark, sf_dir), SHOP, CONTROL, TREATMENTS, list(_DAILY_METRICS))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..model import Filters, Segment
 from ..operators import aggregates as ops
 from ..plans.rollups import rollup_frame
-from .base import query, rounded
+from .base import query, rounded, timed
 from .models import (
     EV,
     FUNNEL,
@@ -213,6 +213,11 @@ def group_count_approx(spark, sf_dir):
     return exact.withColumn("is_close", F.abs(estimate - F.col("total_count")) <= 0.05 * F.col("total_count"))
 
 
+@timed("group_count_approx")
+def _group_count_approx(spark, sf_dir):
+    return ops.group_count_approx(shop(spark, sf_dir), SHOP, ["search_term", "user_id"])
+
+
 @query(
     "composite_key",
     """SELECT l_returnflag, count(DISTINCT CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)) AS pairs,

@@ -418,17 +418,18 @@ def daily_bayes_test(
     filters: Filters | None = None,
     stored: bool = False,
 ) -> DataFrame:
-    """Monte Carlo comparison of mean daily values, from each column's daily count, mean and deviation.
+    """Monte Carlo comparison of mean daily values, from each column's daily count, mean and deviation."""
+    return daily_bayes_draws(daily_statistics(df, model, control, treatments, metrics, filters, stored))
 
-    Tests are dealt over tasks and drawn as arrays, a bounded number at a time.
-    """
-    stats = daily_statistics(df, model, control, treatments, metrics, filters, stored)
-    stats = stats.repartition("metric_id", "segment")
-    return stats.mapInPandas(_daily_sampler(), _DAILY_SCHEMA)
+
+def daily_bayes_draws(stats: DataFrame) -> DataFrame:
+    """The test of ``daily_statistics``. Tests are dealt over tasks and drawn as arrays, a bounded number at a time."""
+    return stats.repartition("metric_id", "segment").mapInPandas(_daily_sampler(), _DAILY_SCHEMA)
 
 
 __all__ = [
     "LOWER_IS_BETTER_KEYWORDS",
+    "daily_bayes_draws",
     "daily_bayes_test",
     "daily_statistics",
     "eligible_metrics",
