@@ -106,7 +106,7 @@ def count_tokens(
 
     Returns id, ``field`` (its name), ``section`` (number within the field, from 0), ``start`` and ``end``
     (characters in the document), ``n_tokens``, and ``n_shared`` of them that reach into another section.
-    Null and empty fields are empty sections with no tokens of their own; rows with null or repeated ids are
+    A null or empty field is a section that holds its separator alone, or nothing if it is the last; rows with null or repeated ids are
     counted each for itself; other columns are not looked at. A scan without a shuffle.
     """
     if by not in ("line", "field"):

@@ -73,6 +73,37 @@ def test_counts_add_up_to_the_document(spark, odd, plain, by):
         assert have == want
 
 
+@pytest.mark.parametrize("by", ["line", "field"])
+def test_counts_per_section_against_character_by_character(spark, plain, odd, by):
+    """Each token's bytes follow from its name, one character for a byte; each character knows its section."""
+    for docs in (odd.where("doc_id <> 6 OR doc_id IS NULL"), spark.read.parquet(f"{SF}/documents.parquet").limit(60)):
+        want = Counter()
+        for r in docs.collect():
+            values = [r["source"] or "", r["text"] or ""]
+            section, owner = {}, []
+            for f, value in enumerate(values):
+                line = 0
+                section[f, 0] = len(owner)
+                for c in value + ("\n" if f == 0 else ""):
+                    section.setdefault((f, line), len(owner))
+                    owner.append((f, line))
+                    line += by == "line" and c == "\n"
+            text = "\n".join(values)
+            of_byte = [k for k, c in enumerate(text) for _ in c.encode()]
+            tokens, shared, at = Counter(), Counter(), 0
+            for name in plain.encode(text, add_special_tokens=False).tokens:
+                touched = [owner[k] for k in range(of_byte[at], of_byte[at + len(name) - 1] + 1)]
+                at += len(name)
+                held = Counter(touched)
+                best = max(held, key=lambda s: (held[s], (-s[0], -s[1])))
+                tokens[best] += 1
+                shared[best] += len(held) > 1
+            for s in section:
+                want[r["doc_id"], ("source", "text")[s[0]], s[1], tokens[s], shared[s]] += 1
+        got = Counter((r["doc_id"], r["field"], r["section"], r["n_tokens"], r["n_shared"]) for r in count_tokens(docs, fields=("source", "text"), by=by).collect())
+        assert got == want
+
+
 def test_counts_of_nothing(empty):
     assert count_tokens(empty).count() == 0
     with pytest.raises(ValueError, match="by"):
