@@ -529,3 +529,30 @@ def collocations(
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+
+
+def collocations_sql(min_count: int = 100, top: int = 2000) -> str:
+    """The result of ``collocations`` over documents in DuckDB's SQL."""
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+    n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, {LONGEST + 1}) AS t(k))),
+    f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g
+                       GROUP BY lang, k, phrase HAVING count(*) >= {min_count}),
+    s AS (SELECT f.lang, f.phrase, f.a, c, l.a AS l, r.a AS r, n.n,
+                 (1000::HUGEINT * f.a * n.n) // (l.a::HUGEINT * r.a::HUGEINT) AS score
+          FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1) f JOIN n ON n.lang = f.lang
+          JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.ws[1:c], ' ')
+          JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.ws[c + 1:], ' ')),
+    best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    inside AS (SELECT DISTINCT lang, a, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:], ' ')]) AS phrase
+               FROM f WHERE k > 2)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+           r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM best ANTI JOIN inside USING (lang, a, phrase)
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {top}
+    """

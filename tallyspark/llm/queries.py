@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .backoff_lm import score_texts
-from .collocations import collocations
+from .collocations import collocations, collocations_sql
 from .hnsw import nearest
 from .line_crf import line_quality
 from .mixing import mix_sources, mixing_sql
@@ -18,7 +18,7 @@ from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .topk import top_k
-from .variants import spelling_variants
+from .variants import spelling_variants, variants_sql
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +112,6 @@ SQL: dict[str, str] = {
     "op5_exact_top_k": TOP_K_SQL,
     "op8_quality_rules": quality_sql(),
     "op9_mix_sources": mixing_sql(seed=42),
+    "op12_spelling_variants": variants_sql(),
+    "op13_collocations": collocations_sql(),
 }

@@ -278,3 +278,33 @@ def spelling_variants(
         roots = roots.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
     out = known.join(roots, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def variants_sql(spoil: int = 199, min_length: int = 6, min_count: int = 5, ratio: int = 5) -> str:
+    """The result of ``spelling_variants`` over documents in DuckDB's SQL, crc32 by its usual table."""
+    return f"""
+    WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+    runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+    pairs AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS hexed FROM runs GROUP BY ALL),
+    hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hexed), 2),
+        lambda i: ('0x' || substr(hexed, i, 2))::BIGINT)), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS h
+        FROM pairs, t),
+    spoilt AS (SELECT CASE WHEN h % {spoil} = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n
+               FROM hashed),
+    v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spoilt WHERE length(word) >= {min_length} GROUP BY word HAVING sum(n) >= {min_count}),
+    cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short
+             FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM v)),
+    near AS (SELECT DISTINCT * FROM (
+        SELECT a.word AS a, a.n AS a_n, b.word AS b, b.n AS b_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+        UNION ALL SELECT c.word, c.n, v.word, v.n FROM cuts c JOIN v ON v.word = c.short
+        UNION ALL SELECT v.word, v.n, c.word, c.n FROM cuts c JOIN v ON v.word = c.short)),
+    best AS (SELECT a, count(*) AS n_near, any_value(a_n) AS a_n, arg_min({{'w': b, 'n': b_n}}, (-b_n, b)) AS best FROM near GROUP BY a),
+    known AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= {ratio} * n THEN best.w END AS form,
+                                  CASE WHEN best.n >= {ratio} * n THEN best.n END AS form_n FROM v LEFT JOIN best ON a = word),
+    up AS (SELECT word, word AS root, 0 AS step FROM known
+           UNION ALL SELECT up.word, known.form, step + 1 FROM up JOIN known ON known.word = up.root WHERE known.form IS NOT NULL)
+    SELECT k.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
+    FROM known k JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) r ON r.word = k.word
+    """
