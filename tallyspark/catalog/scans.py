@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import compare_columns, comparison_long
 from ..session import scratch_path
 from ..sources.facts import column_profile as profile_columns
+from ..sources.facts import preview as preview_rows
 from ..sources.facts import table_info as describe_table
 from ..sources.lookups import conform_join_key as conform
 from ..sources.lookups import load_lookup as read_lookup
@@ -36,6 +37,15 @@ def table_info(spark, sf_dir):
     return describe_table(shop(spark, sf_dir))
 
 
+@query(
+    "preview",
+    """SELECT event_id, CAST(ts AS DATE) AS date, event_type, (SELECT count(*) FROM events) AS row_count FROM events
+       ORDER BY event_id LIMIT 10""",
+)
+def preview(spark, sf_dir):
+    return preview_rows(shop(spark, sf_dir).select("event_id", "date", "event_type"), ["event_id"], 10)
+
+
 @query("load_lookup", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
 def load_lookup(spark, sf_dir):
     csv = scratch_path(spark, "customers.csv")

@@ -249,18 +249,14 @@ def filter_options(
 ) -> DataFrame:
     """The first values of every dimension in their natural order, as ``dimension_values`` has them.
 
-    One pass over the data: a row per dimension, in which only that dimension's own column is filled, so values
-    keep their types until they are ordered. Each map task keeps at most ``limit`` values per dimension before
-    the shuffle (Spark's window group limit), so a dimension with billions of values never meets in one task.
+    One pass over the data, which keeps a bounded set for each dimension in every task: the ``limit`` smallest values so far, merged
+    with each batch of rows. A task hands on no more than those, so a dimension with billions of values costs no
+    more than one with few, and no row is multiplied by the dimensions. Values keep their types until they are ordered.
     """
-    rows = apply_filters(df, model, filters, dimensions)
-    typed = {d: rows.schema[d].dataType for d in dimensions}
-
-    def entry(d: str) -> Column:
-        cells = [(F.col(d) if o == d else F.lit(None).cast(t)).alias(f"_{i}") for i, (o, t) in enumerate(typed.items())]
-        return F.struct(F.lit(d).alias("dimension"), *cells)
-
-    long = rows.select(F.inline(F.array(*[entry(d) for d in dimensions])))
+    rows = apply_filters(df, model, filters, dimensions).select(*dimensions)
+    fields = [T.StructField(f"_{i}", rows.schema[d].dataType) for i, d in enumerate(dimensions)]
+    schema = T.StructType([T.StructField("dimension", T.StringType()), *fields])
+    long = rows.mapInArrow(_smallest_values(list(dimensions), limit), schema)
     cells = [f"_{i}" for i in range(len(dimensions))]
     order = Window.partitionBy("dimension").orderBy(*[F.col(c).asc_nulls_first() for c in cells])
     first = long.distinct().withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
@@ -268,6 +264,41 @@ def filter_options(
     return first.select("dimension", own.alias("value"), "position")
 
 
+def _smallest_values(dimensions: list[str], limit: int):
+    """The batch function of ``filter_options``; it needs pyarrow on the executors, not this package."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held: list = [None] * len(dimensions)
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for i in range(len(dimensions)):
+                values = pc.unique(batch.column(i))
+                if pa.types.is_floating(values.type):
+                    values = pc.add(values, pa.scalar(0, values.type))  # one zero, whatever its sign
+                if held[i] is not None:
+                    values = pa.concat_arrays([held[i], values])
+                values = pc.unique(values)
+                if len(values) > limit:
+                    last = values.slice(0, 0)
+                    if pa.types.is_floating(values.type):  # not a number is the largest
+                        odd = pc.fill_null(pc.is_nan(values), False)
+                        last, values = values.filter(odd), values.filter(pc.invert(odd))
+                    order = pc.array_sort_indices(values, order="ascending", null_placement="at_start")
+                    values = pa.concat_arrays([values.take(order), last])[:limit]
+                held[i] = values
+        for i, values in enumerate(held):
+            if values is not None and len(values):
+                name = pa.array([dimensions[i]] * len(values), pa.string())
+                cells = [values if k == i else pa.nulls(len(values), f.type) for k, f in enumerate(schema)]
+                yield pa.RecordBatch.from_arrays([name, *cells], ["dimension", *[f"_{k}" for k in range(len(cells))]])
+
+    return run
+
+
 def group_count(
     df: DataFrame, model: SemanticModel, dimensions: Sequence[str], filters: Filters | None = None
 ) -> DataFrame:

@@ -1,6 +1,6 @@
 """Scans, lookups, daily tables and export."""
 
-from .facts import column_profile, column_role, fact_scan, inferred_type, table_info
+from .facts import column_profile, column_role, fact_scan, inferred_type, preview, table_info
 from .lookups import conform_join_key, load_lookup, store_lookup
 from .tables import append_dates, export_csv, path_exists, stored_dates, write_daily_table
 
@@ -14,6 +14,7 @@ __all__ = [
     "inferred_type",
     "load_lookup",
     "path_exists",
+    "preview",
     "store_lookup",
     "stored_dates",
     "table_info",

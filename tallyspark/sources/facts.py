@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +105,16 @@ def column_role(name: str, data_type: T.DataType) -> tuple[str, bool]:
     return "dimension", not ("search" in lower and "term" in lower)
 
 
+def preview(df: DataFrame, order_by: Sequence[str], rows: int = 10) -> DataFrame:
+    """The first rows in the order of the given columns, each with ``row_count``, the number of rows there are.
+
+    A top-k beside a count that reads no column; nothing is sorted in full.
+    """
+    total = df.agg(F.count(F.lit(1))).scalar()
+    first = df.orderBy(*[F.col(c).asc_nulls_first() for c in order_by]).limit(rows)
+    return first.withColumn("row_count", total)
+
+
 def column_profile(df: DataFrame, samples: int = 5, exact: bool = False) -> DataFrame:
     """Per column: type, role, NULLs, distinct values and a few sample values.
 

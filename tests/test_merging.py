@@ -259,3 +259,21 @@ def test_refresh_of_an_enriched_copy_reads_no_stored_rows(spark, fact, tmp_path)
     assert jobs.refresh_enriched_source(fact, MODEL, path, lookups=[lookup], source_dates=days) == 15
     assert jobs.refresh_enriched_source(fact, MODEL, path, lookups=[lookup], source_dates=days) == 0
     assert stored_dates(spark, path) == days
+
+
+# --- first values of every dimension ------------------------------------------------------------------------------
+
+
+def test_filter_options_keep_a_bounded_set(spark, fact):
+    nan = float("nan")
+    wide = fact.withColumn("ratio", F.when(F.col("value") == 0, -0.0).when(F.col("value") == 1, 0.0).when(F.col("value") == 2, nan).otherwise(F.col("value") / 7))
+    wide = wide.withColumn("code", F.concat(F.lit("u"), F.col("user").cast("string"))).repartition(5)
+    names = ["color", "size", "ratio", "code", "date"]
+    got = aggregates.filter_options(wide, MODEL, names, limit=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+    for d in names:
+        want = [r["value"] for r in aggregates.dimension_values(wide, MODEL, d, limit=7).collect()]
+        have = [r["value"] for r in got.filter(F.col("dimension") == d).orderBy("position").collect()]
+        assert have == want, d
+    assert aggregates.filter_options(wide.filter("user < 0"), MODEL, names).count() == 0
