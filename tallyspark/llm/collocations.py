@@ -18,9 +18,9 @@ from .words import as_bytes
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
 # Bytes of text in a bundle, and tokenised at once; entries of a shard on average.
-BUNDLE = 16 << 20
+BUNDLE = 8 << 20
 PIECE = 1 << 20
-SHARD = 4 << 20
+SHARD = 2 << 20
 LONGEST = 5
 
 
