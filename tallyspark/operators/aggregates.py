@@ -399,6 +399,14 @@ def _index(rows: DataFrame, dimension: str, allowed: Sequence[tuple[int, int, Se
             if v == EMPTY_MARKER and not isinstance(kind, T.StringType):
                 continue
             entries.append((None if v == NULL_MARKER else "" if v == EMPTY_MARKER else v, shape, segment))
+    if isinstance(kind, T.StringType):  # texts are the values: what one allows is known here
+        by_value: dict[str | None, dict[int, list[int]]] = {}
+        for v, shape, segment in entries:
+            by_value.setdefault(v, {}).setdefault(shape, []).append(segment)
+        listed = [(v, *[sorted(own.get(s, [])) for s in shapes]) for v, own in by_value.items()]
+        schema = ", ".join([f"{name} string", *[f"{name}_{s} array<int>" for s in shapes]])
+        index = rows.sparkSession.createDataFrame(listed, schema).coalesce(1)
+        return F.broadcast(index) if len(entries) <= INDEX_BROADCAST else index
     # One partition: the few rows need no exchange of their own.
     text = rows.sparkSession.createDataFrame(entries, "v string, shape int, segment int").coalesce(1)
     typed = text.select(F.col("v").cast(kind).alias(name), "shape", "segment")
