@@ -97,3 +97,59 @@ def test_hot_keys_are_found_and_spread_alone(spark):
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", before)
         for c in ("autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
             spark.conf.unset(f"spark.sql.{c}")
+
+
+@pytest.fixture
+def repeated(spark, tmp_path):
+    """Events of 200 nations in no order, and 200 suppliers in each nation: 800 000 pairs, and 100 of an event without a nation."""
+    mixed = F.xxhash64("id", F.lit(7))
+    # Two events have a customer without a nation and two have no customer; one nation has no supplier.
+    users = F.when(F.col("id") < 2, 5000).when(F.col("id") < 4, 6000).otherwise(F.pmod(mixed, F.lit(1000)))
+    events = spark.range(0, 4004, 1, 1).select(F.col("id").alias("event_id"), F.current_timestamp().alias("ts"), users.alias("user_id"))
+    customers = spark.range(0, 1000, 1, 1).selectExpr("id AS c_custkey", "CAST(id % 201 AS int) AS c_nationkey")
+    customers = customers.union(spark.sql("SELECT 5000L, CAST(NULL AS int)"))
+    suppliers = spark.range(0, 40_000, 1, 1).selectExpr("id AS s_suppkey", "CAST(id % 200 AS int) AS s_nationkey")
+    suppliers = suppliers.union(spark.sql("SELECT 77777L, CAST(NULL AS int)"))
+    for name, rows in (("events", events), ("customer", customers), ("supplier", suppliers)):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_multiplied_rows_are_stored_small(spark, repeated, tmp_path):
+    """Rows of one key lie together: a file holds the lookup rows that repeat in a fraction of a byte a row."""
+    from tallyspark.catalog import REGISTRY
+
+    REGISTRY["join_dimensions_duplicates"].build(spark, repeated).write.parquet(f"{tmp_path}/out")
+    made = spark.read.parquet(f"{tmp_path}/out")
+    for name in ("events", "customer", "supplier"):
+        spark.read.parquet(f"{repeated}/{name}.parquet").createOrReplaceTempView(f"repeated_{name}")
+    want = spark.sql(
+        "SELECT event_id, s_suppkey AS supplier FROM repeated_events LEFT JOIN repeated_customer ON user_id = c_custkey "
+        "LEFT JOIN repeated_supplier ON c_nationkey = s_nationkey"
+    )
+    assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty()
+    stored = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert made.count() > 700_000 and stored < 0.5 * made.count()
+
+
+@pytest.mark.parametrize("find_hot", [False, True])
+def test_clustered_join_agrees_with_the_plain_one(spark, find_hot):
+    fact = spark.range(0, 300, 1, 3).selectExpr("id", "CASE WHEN id % 50 = 0 THEN NULL ELSE id % 11 END AS k")
+    side = spark.range(0, 90).selectExpr("CAST(id % 9 AS int) AS key", "CAST(id AS string) AS v").union(spark.sql("SELECT CAST(NULL AS int), 'x'"))
+    for lookup in (Lookup(side, "key", "k", {"attribute": "v"}), Lookup(side.filter("key < 0"), "key", "k", {"attribute": "v"})):
+        want = joins.join_dimensions(fact, [lookup], allow_duplicates=True)
+        got = joins.join_dimensions(fact, [lookup], allow_duplicates=True, find_hot=find_hot, cluster=True)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_tasks_of_a_clustered_join_follow_the_rows_made(spark, monkeypatch):
+    """A key that few fact rows have, and half of the lookup, is spread; so are rows that are few bytes before the join."""
+    monkeypatch.setattr(joins, "CLUSTERED_ROWS", 4000)
+    fact = spark.range(0, 2000, 1, 2).selectExpr("id", "IF(id < 16, -1L, id % 1000) AS k")
+    side = spark.range(0, 6000).selectExpr("IF(id % 2 = 0, -1, id % 1000) AS key", "id AS v")
+    lookup = Lookup(side, "key", "k", {"v": "v"})
+    made = joins.join_dimensions(fact, [lookup], allow_duplicates=True, find_hot=True, cluster=True)
+    parts = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == joins.join_dimensions(fact, [lookup], allow_duplicates=True).count() > 16 * 3000
+    assert len(parts) >= 5 and max(parts) < 30_000
