@@ -153,3 +153,58 @@ def test_tasks_of_a_clustered_join_follow_the_rows_made(spark, monkeypatch):
     parts = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(parts) == joins.join_dimensions(fact, [lookup], allow_duplicates=True).count() > 16 * 3000
     assert len(parts) >= 5 and max(parts) < 30_000
+
+
+def test_long_lists_are_stored_small(spark, tmp_path):
+    """A list that no page of a file holds: the rows still come in an order that repeats within a page."""
+    fact = spark.range(0, 1200, 1, 3).selectExpr("id * 7919 AS id", "CASE WHEN id % 300 = 0 THEN NULL ELSE id % 3 END AS k")
+    # The third key has no lookup row.
+    side = spark.range(0, 24_000, 1, 3).selectExpr("id % 2 AS key", "id * 104729 % 1000003 AS v")
+    lookup = Lookup(side, "key", "k", {"v": "v"})
+    joins.join_dimensions(fact, [lookup], allow_duplicates=True, find_hot=True, cluster=True).write.parquet(f"{tmp_path}/out")
+    made, want = spark.read.parquet(f"{tmp_path}/out"), joins.join_dimensions(fact, [lookup], allow_duplicates=True)
+    assert made.columns == want.columns
+    said = [df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38)"))).first() for df in (made, want)]
+    assert said[0] == said[1] and made.count() == 404 + (400 + 396) * 12_000
+    stored = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert stored < 0.25 * made.count()
+
+
+def test_clustered_join_of_strings_with_numbers(spark, monkeypatch):
+    """Two hot keys of the fact that are one key of the lookup."""
+    monkeypatch.setattr(joins, "CLUSTERED_ROWS", 500)
+    fact = spark.range(0, 120, 1, 3).selectExpr("id", "CASE id % 4 WHEN 0 THEN '1' WHEN 1 THEN '01' WHEN 2 THEN '7' END AS k")
+    lookup = Lookup(spark.range(0, 90).selectExpr("CAST(id % 3 AS int) AS key", "id AS v"), "key", "k", {"v": "v"})
+    want = joins.join_dimensions(fact, [lookup], allow_duplicates=True)
+    got = joins.join_dimensions(fact, [lookup], allow_duplicates=True, find_hot=True, cluster=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert want.count() == 60 * 30 + 60
+
+
+@pytest.mark.parametrize("salts, find_hot", [(1, False), (3, False), (1, True)])
+def test_clustered_join_of_many_parts_agrees_with_the_plain_one(spark, monkeypatch, salts, find_hot):
+    """Keys in several parts with lookup rows from several tasks, rows that come twice, any kind of column and key, odd names."""
+    monkeypatch.setattr(joins, "CLUSTERED_ROWS", 1000)
+    monkeypatch.setattr(joins, "CLUSTERED_BLOCK", 8)
+    monkeypatch.setattr(joins, "CLUSTERED_SIDE", 3)
+    fact = spark.range(0, 140, 1, 3).selectExpr(
+        "id div 2 AS id", "IF(id % 7 = 0, NULL, id % 5) AS `k k`", "map('a', id div 2) AS m", "array(id % 3, NULL) AS a", "IF(id % 9 = 0, NULL, 'x') AS `s.s`"
+    )
+    side = spark.range(0, 1300).selectExpr("CAST(IF(id < 1200, 1, id % 4) AS smallint) AS key", "id div 2 AS v", "map(id, id % 2) AS m2")
+    plain = [F.col("id"), F.col("`k k`"), F.map_entries("m"), F.col("a"), F.col("`s.s`"), F.col("`v v`"), F.map_entries("m2")]
+    for rows, df in ((fact, side), (fact, side.filter("false")), (fact.filter("false"), side)):
+        lookup = Lookup(df, "key", "k k", {"v v": "v", "m2": "m2"})
+        want = joins.join_dimensions(rows, [lookup], allow_duplicates=True)
+        got = joins.join_dimensions(rows, [lookup], allow_duplicates=True, salts=salts, find_hot=find_hot, cluster=True)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.select(plain).collect())) == sorted(map(str, want.select(plain).collect()))
+
+
+def test_clustered_join_makes_no_rows_ahead(spark):
+    """The join itself puts out tiles, sorted before they are unpacked: no operator holds all rows of a block of the fact."""
+    fact = spark.range(0, 600).selectExpr("id", "id % 2 AS k")
+    side = spark.range(0, 1000).selectExpr("id % 2 AS key", "id AS v")
+    made = joins.join_dimensions(fact, [Lookup(side, "key", "k", {"v": "v"})], allow_duplicates=True, cluster=True)
+    assert made.count() == 300_000
+    plan = final_plan(made)
+    assert plan.index("Generate inline(_rows") < plan.index("Generate inline(_side") < plan.index("Sort [_target") < plan.index("SortMergeJoin")
